@@ -31,3 +31,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digest
 
     return round_trip_digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over 2-word shingle sets at Jaccard 0.8."""
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
