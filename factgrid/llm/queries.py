@@ -39,3 +39,20 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label at cosine 0.98."""
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector against all others."""
+    from .topk import integer_vectors, top_k
+
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
