@@ -56,3 +56,11 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 1024 tokens."""
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
