@@ -64,3 +64,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
