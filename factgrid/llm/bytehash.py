@@ -78,14 +78,13 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * back[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text after lower-casing A-Z.
+def spans(data: np.ndarray, starts: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes not in ``outside`` inside each text, after lower-casing A-Z.
 
-    Returns word hashes, the row of each word, and each word's start and end.
+    Returns the lower-cased bytes, the row of each run, and its start and end.
     """
     low = _LOWER[data]
-    # an artificial space after each text keeps words inside their text
-    solid = ~_SPACE[low]
+    solid = ~outside[low]
     edge = np.zeros(len(low) + 1, bool)
     edge[starts] = True
     begin = solid.copy()
@@ -94,7 +93,15 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     stop[:-1] &= ~solid[1:] | edge[1:-1]
     s = np.flatnonzero(begin)
     e = np.flatnonzero(stop) + 1
-    row = np.searchsorted(starts, s, side="right") - 1
+    return low, np.searchsorted(starts, s, side="right") - 1, s, e
+
+
+def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text after lower-casing A-Z.
+
+    Returns word hashes, the row of each word, and each word's start and end.
+    """
+    low, row, s, e = spans(data, starts)
     return span_hash(prefix(low), s, e), row, s, e
 
 

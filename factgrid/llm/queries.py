@@ -72,3 +72,11 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the rows not held out."""
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
