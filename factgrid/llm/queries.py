@@ -88,3 +88,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and filter-model scores of every document."""
+    from .lm import by_seventh, score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), by_seventh())
