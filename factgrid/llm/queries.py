@@ -96,3 +96,11 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import by_seventh, score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), by_seventh())
+
+
+@query
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50-byte strings of earlier documents."""
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
