@@ -114,9 +114,9 @@ def _score(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id``, base counts per kind, ``base_sha256`` and ``spans`` of each row.
+    """``doc_id``, base counts per kind, ``base_sha256``, ``spans`` and ``version`` of each row.
 
-    Null texts are empty: no counts and the digest of nothing. ``spans`` holds
+    ``version`` is a hash of the text. Null texts are empty: no counts and the digest of nothing. ``spans`` holds
     base spans and those added by context, never overlapping a base span. Rows
     with a null doc_id get base spans only; rows that share a doc_id get each
     other's added spans only where their texts are equal. Other columns are not read.
@@ -149,7 +149,7 @@ def personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
     out = cut.select("doc_id", "version", "found").join(added, ["doc_id", "version"], "left")
     count = [F.size(F.filter("found", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     every = F.array_sort(F.concat("found", F.coalesce("more", F.expr("CAST(array() AS array<struct<b:int,k:int,e:int>>)"))))
-    return out.select("doc_id", *count, F.sha2(_text(F.col("found")), 256).alias("base_sha256"), _text(every).alias("spans"))
+    return out.select("doc_id", *count, F.sha2(_text(F.col("found")), 256).alias("base_sha256"), _text(every).alias("spans"), "version")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -158,10 +158,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Overlapping spans are replaced together, under the kind that starts first.
     Other columns are kept; ``docs`` must have ``doc_id``.
     """
-    found = personal_data(docs, text).select("doc_id", "spans").where("spans <> ''").groupBy("doc_id").agg(F.first("spans").alias("__spans"))
+    found = personal_data(docs, text).where("spans <> ''").select("doc_id", F.col("version").alias("__version"), "spans").groupBy("doc_id", "__version").agg(F.first("spans").alias("__spans"))
     parts = F.transform(F.split("__spans", ","), lambda s: F.split(s, ":"))
     spans = F.transform(parts, lambda p: F.struct(p[1].cast("int").alias("b"), p[2].cast("int").alias("e"), F.upper(p[0]).alias("k")))
-    joined = docs.join(found, "doc_id", "left").withColumn("__s", spans).withColumn("__t", F.col(text))
+    versioned = docs.withColumn("__version", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = versioned.join(found, ["doc_id", "__version"], "left").withColumn("__s", spans).withColumn("__t", F.col(text))
     new = F.expr(
         """aggregate(__s, named_struct('at', 0, 'out', ''),
         (a, x) -> IF(x.b < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out),
