@@ -1,0 +1 @@
+"""Verified record analytics on Spark: records in, exact cited answers out."""
