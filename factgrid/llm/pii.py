@@ -147,7 +147,7 @@ def personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
     same_seed = loose.join(sure, "value").where("doc_id is not null")
     added = same_seed.groupBy("doc_id", "version").agg(F.collect_set(F.struct("b", "k", "e")).alias("more"))
     out = cut.select("doc_id", "version", "found").join(added, ["doc_id", "version"], "left")
-    count = [F.size(F.filter("found", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    count = [F.expr(f"CAST(size(filter(found, x -> x.k = {k})) AS long)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     every = F.array_sort(F.concat("found", F.coalesce("more", F.expr("CAST(array() AS array<struct<b:int,k:int,e:int>>)"))))
     return out.select("doc_id", *count, F.sha2(_text(F.col("found")), 256).alias("base_sha256"), _text(every).alias("spans"), "version")
 
