@@ -18,8 +18,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .bytehash import chunks
 
@@ -237,7 +239,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
     a column already named ``out`` is replaced. No shuffle.
     """
     kept = [c for c in df.columns if c != out]
-    schema = df.select(*kept).schema.add(out, "array<int>")
+    schema = df.select(*kept).schema.add(out, ArrayType(IntegerType()))
 
     def run(batches):
         for batch, first, ids, n in encoded_batches(batches, path, text):
@@ -258,7 +260,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "text")
         bpe = load(path)
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
-            n = np.array([0 if v is None else v for v in pa.compute.list_value_length(col).to_pylist()], np.int64)
+            n = np.array([0 if v is None else v for v in pc.list_value_length(col).to_pylist()], np.int64)
             flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             texts = [b.decode() for b in bpe.decode(flat, n)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
