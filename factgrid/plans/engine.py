@@ -18,7 +18,7 @@ from ..operators.index import known_entities
 from ..operators.policy import apply_policy, denied
 from ..operators.search import encode, hamming_top_k
 from ..operators.verified import TEMPLATE, answer_verified
-from ..sources.records import AccessPolicy
+from ..sources.records import AccessPolicy, number_rows
 
 DENIAL = "The access policy does not permit this answer."
 
@@ -49,10 +49,12 @@ class Answer:
 
 
 class Engine:
-    """Answers over an index of entries (``pos, id, text`` and, for lookups, ``hv``)."""
+    """Answers over entries (``id, text``; ``pos``, ``fields`` and ``hv`` are added where missing)."""
 
     def __init__(self, entries: DataFrame, settings: Settings | None = None, audit: AuditLog | None = None, generator: Callable[[str], str] | None = None):
         self.spark: SparkSession = entries.sparkSession
+        if "pos" not in entries.columns:
+            entries = number_rows(entries.withColumn("__at", F.monotonically_increasing_id()), "__at").withColumnRenamed("n", "pos")
         self.entries = entries if "fields" in entries.columns else entries.withColumn("fields", field_map("text"))
         if "hv" not in entries.columns:
             self.entries = encode(self.entries)
