@@ -9,7 +9,7 @@
    paired with the member that shares most buckets and with the smallest id.
    Pairs pass a collision-corrected Jaccard estimate, then a count on full sets.
 4. Buckets whose members still lie in different components are compared across
-   components, so that no link between components is lost to the choice of
+   components, block against block, so that no link is lost to the choice of
    pivots; buckets inside one component need no more pairs.
 """
 
@@ -26,7 +26,9 @@ from .bytehash import chunks, mix, pair_hash, words
 from .common import connected_components, stash
 
 _U = np.uint64
-REGISTERS = 128
+REGISTERS = 256
+#: Members of a bucket that are compared with each other at once.
+BLOCK = 512
 MANTISSA = 10
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
@@ -138,9 +140,9 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                     k = mix(k * _U(0x9E3779B97F4A7C15) + m[:, c])
                 keys[:, b] = k
             ids = np.repeat(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(m))), pa.array(ids)], names=["bucket", "band", "id"])
 
-    return reps.select("id", "sketch").mapInArrow(run, "bucket long, id long")
+    return reps.select("id", "sketch").mapInArrow(run, "bucket long, band int, id long")
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, threshold: float, slack: float) -> DataFrame:
@@ -184,15 +186,94 @@ def _set_batch(batch, ids, sets):
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets)))], names=["id", "items"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = shingle_arrays(docs.select("doc_id", text).join(need, "doc_id", "left_semi"), size, text)
     both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
     return both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
 
 
+def _small(sets: DataFrame) -> DataFrame:
+    """``id, items``: sets of 32-bit hashes; intersections of these are never too small."""
+
+    def run(batches):
+        for batch in batches:
+            col = batch.column(1)
+            out = [np.unique(x.values.to_numpy().astype(np.uint32)).tobytes() for x in col]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "items"])
+
+    return sets.mapInArrow(run, "id long, items binary")
+
+
+def _across(members: DataFrame, reps: DataFrame, sets: DataFrame, comp: DataFrame, rows: int, threshold: float, slack: float) -> DataFrame:
+    """Pairs of one bucket in different components that may be linked.
+
+    Buckets are cut into blocks and blocks compared pairwise: first on their
+    registers, then by sets of short hashes, which can only overstate a
+    similarity. A pair is looked at in its first common band only.
+    """
+    least = threshold - slack * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    owned = members.select("bucket", "band", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = owned.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("x <> y").select("bucket", "parts")
+    owned = stash(owned.join(mixed, "bucket"))
+    body = reps.select("id", "n", "sketch").join(_small(sets.join(owned.select("id").distinct(), "id", "left_semi")), "id")
+    cut = owned.join(body, "id")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    cell = ["bucket", "i", "j"]
+    dealt = cut.select(*cell, "band", "block", "id", "component", "n", "sketch", "items").repartition(*cell).sortWithinPartitions(*cell)
+
+    def compare(held):
+        band = held[0][0]
+        block, ids, comps, n = (np.array([r[k] for r in held]) for k in range(1, 5))
+        regs = np.frombuffer(b"".join(r[5] for r in held), np.uint16).reshape(len(held), -1)
+        lo, hi = block.min(), block.max()
+        values, count = np.unique(comps, return_counts=True)
+        if len(values) < 2:
+            return None
+        few = np.flatnonzero(comps != values[count.argmax()])
+        a_s, b_s = [], []
+        for r in few.tolist():
+            may = (comps != comps[r]) & (np.minimum(n, n[r]) >= threshold * np.maximum(n, n[r])) & ((block != block[r]) if lo != hi else True)
+            may = np.flatnonzero(may)
+            may = may[(regs[may] == regs[r]).mean(axis=1) >= least]
+            a_s.append(np.full(len(may), r))
+            b_s.append(may)
+        a, b = np.concatenate(a_s), np.concatenate(b_s)
+        a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+        if not len(a):
+            return None
+        a, b = np.unique(np.stack((a, b)), axis=1)
+        same = regs[a, : band * rows] == regs[b, : band * rows]
+        new = ~same.reshape(len(a), band, rows).all(axis=2).any(axis=1) if band else np.ones(len(a), bool)
+        new &= estimate(regs[a], regs[b], n[a], n[b]) >= least
+        a, b = a[new], b[new]
+        linked = np.zeros(len(a), bool)
+        items = [np.frombuffer(r[6], np.uint32) for r in held]
+        for r in np.unique(a).tolist():
+            at = np.flatnonzero(a == r)
+            others = [items[k] for k in b[at]]
+            size = np.array([len(x) for x in others])
+            common = np.add.reduceat(np.isin(np.concatenate(others), items[r]).astype(np.int64), np.cumsum(size) - size)
+            linked[at] = common + 1e-9 >= threshold * (len(items[r]) + size - common)
+        return ids[a[linked]], ids[b[linked]]
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            at_s = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            for at, row in zip(at_s, zip(*(batch.column(k).to_pylist() for k in range(3, 10)))):
+                if at != now:
+                    if len(held) > 1 and (got := compare(held)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b"])
+                    held, now = [], at
+                held.append(row)
+        if len(held) > 1 and (got := compare(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, slack: float = 4.0, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -214,21 +295,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     stars = members.join(pivot, "bucket").select("id", F.explode(F.array("pivot", "low")).alias("to")).where("id <> to")
     pairs = stars.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
     pairs = stash(_alike(pairs, reps, percent / 100, slack))
-    heads = docs.select("doc_id", text)
-    edges = stash(_confirm(pairs, heads, size, percent, text))
-    comp = connected_components(edges)
-    # buckets that still hold several components: compare across them
-    labelled = members.select("bucket", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    labelled = stash(labelled.join(mixed, "bucket", "left_semi"))
-    left, right = labelled.toDF("bucket", "a", "ca"), labelled.toDF("bucket", "b", "cb")
-    across = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = stash(_alike(across.join(pairs, ["a", "b"], "left_anti"), reps, percent / 100, slack))
-    more = _confirm(across, heads, size, percent, text)
-    more = stash(more)
-    if not more.isEmpty():
-        comp = connected_components(edges.union(more))
-    owner = reps.select("f1", "f2", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
+    # full sets of all documents that share a bucket; the text is dealt out once
+    need = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    sets = stash(shingle_arrays(docs.select("doc_id", text).join(need, "doc_id", "left_semi"), size, text))
+    edges = stash(_confirm(pairs, sets, percent))
+    comp = stash(connected_components(edges))
+    more = stash(_across(members, reps, sets, comp, rows, percent / 100, slack))
+    more = stash(_confirm(more, sets, percent))
+    # components that a late link unites
+    first = F.coalesce("component", "id")
+    late = more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    late = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    owner = reps.select("f1", "f2", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", first.alias("node"))
+    owner = owner.join(late, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     found = full.select("doc_id", "n_shingles", "f1", "f2").join(owner, ["f1", "f2"], "left")
     cid = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     cid = F.when(F.col("doc_id").isNotNull(), cid)
