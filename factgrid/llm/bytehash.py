@@ -42,7 +42,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of at most ``limit`` bytes (one row at least).
 
     Yields ``(first row, bytes, starts)``; ``starts`` has one entry more than
