@@ -74,7 +74,7 @@ def segments(data: np.ndarray, starts: np.ndarray):
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(low)) - 1
     s, e = pos[head], pos[last] + WINDOW
-    return low[head], span_hash(c, s, e), row[head], s, e
+    return mix(low[head]), span_hash(c, s, e), row[head], s, e  # least hashes crowd near zero: spread them
 
 
 def _slot(key: np.ndarray, bits: int):
