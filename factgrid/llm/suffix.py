@@ -8,10 +8,11 @@ are equal. A text is cut into segments, runs of windows with one anchor.
    hashes, folded per task. A segment whose whole content stands in an earlier
    document is removed at once. Where one anchor has different segments, the
    first carrier of each content is noted in a Bloom filter of fixed size.
-2. The noted segments' bytes go to their bucket, where a multi-document suffix
-   order is built column by column: each round inserts one symbol of every
-   segment from its end, which turns the collection's Burrows-Wheeler transform
-   and common prefixes of one round, read from files, into those of the next.
+2. The noted segments' bytes go to their bucket. Those that share 40 bytes
+   around the anchor with another document enter a multi-document suffix order,
+   built column by column: each round inserts one symbol of every segment from
+   its end, which turns the collection's Burrows-Wheeler transform and common
+   prefixes of one round, read from files, into those of the next.
    Neighbours with a common prefix of 50 bytes are equal windows.
 3. Anchors with very many contents do not meet in one task: their windows are
    grouped by hash, with partial aggregation, instead.
@@ -20,6 +21,7 @@ are equal. A text is cut into segments, runs of windows with one anchor.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import os
@@ -36,8 +38,8 @@ from .lm import planes, unplanes
 
 _U = np.uint64
 WINDOW, GRAM = 50, 20
-#: Windows of one segment at most (periodic texts have endless runs of one anchor).
-RUN = 64
+#: Windows of one segment at most: as many as can hold one place (periodic texts have endless runs of one anchor).
+RUN = WINDOW - GRAM + 1
 #: Bits of the filter of noted segments; it is the only thing broadcast.
 NOTED_LOG2 = 27
 #: Contents of one anchor that may meet in one task.
@@ -109,58 +111,134 @@ def _crowded(anchor: np.ndarray) -> np.ndarray:
     return mix(anchor & _U(0xFFFFFFFF)) ^ _U(0x5DEECE66D)
 
 
+def _shared_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Equal bytes from places ``a`` and ``b`` on, eight at a time; ``depth`` or more are not told apart."""
+    common = np.full(len(a), depth, np.int64)
+    on = np.arange(len(a))
+    for k in range(0, depth, 8):
+        x = words[a[on] + k] ^ words[b[on] + k]
+        differs = x != 0
+        end = on[differs]
+        common[end] = k + (x[differs].view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+        on = on[~differs]
+        if not len(on):
+            break
+    return common
+
+
 def column_order(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW):
     """Suffix order of a collection of short strings, column by column.
 
-    Yields nothing until the last round, then returns ``(string, offset, common)``
-    of all suffixes in order; ``common`` is the length, up to ``depth``, of the
-    prefix shared with the suffix before. Strings are told apart by their
-    number where equal. The state between rounds (next symbol to the left,
-    string and common prefix of every suffix so far, in order) lies in files
-    that are read and written from front to back.
+    Returns ``(string, offset, common)`` of all suffixes in order; ``common``
+    is the length, up to ``depth``, of the prefix shared with the suffix before.
+    Equal suffixes stand in the order of their strings. ``text`` is UTF-8, in
+    which byte 255 does not occur; it marks that nothing stands to the left.
+
+    Each round inserts one suffix of every string, one symbol longer than its
+    last. The Burrows-Wheeler transform tells its place (the smaller symbols
+    and the equal ones before), and only the common prefixes on both sides of
+    it change. Transform, places and common prefixes lie in files that each
+    round reads and writes from front to back.
     """
     m, size = len(starts) - 1, np.diff(starts)
-    with tempfile.TemporaryDirectory() as folder:
-        names = ("symbol", "string", "common", "length")
-        kinds = (np.int16, np.int32, np.uint8, np.int32)
+    place = np.int32 if len(text) < 2**31 else np.int64
+    left = np.full(len(text) + 1, 255, np.uint8)
+    left[1:] = text
+    left[starts[:-1]] = 255
+    rest = np.repeat(starts[1:], size) - np.arange(len(text))
+    padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view("<u8").ravel()
+    with contextlib.ExitStack() as on_exit:
+        folder = on_exit.enter_context(tempfile.TemporaryDirectory())
+        kinds = {"symbol": np.uint8, "place": place, "common": np.uint8}
+        files = [(on_exit.enter_context(open(os.path.join(folder, k), "w+b", buffering=0)), kind) for k, kind in kinds.items()]
 
         def put(*cols):
-            for k, c, t in zip(names, cols, kinds):
-                c.astype(t).tofile(os.path.join(folder, k))
+            for (f, kind), c in zip(files, cols):
+                f.seek(0)
+                c.astype(kind, copy=False).tofile(f)
 
         def get():
-            return [np.fromfile(os.path.join(folder, k), t) for k, t in zip(names, kinds)]
+            for f, kind in files:
+                f.seek(0)
+                yield np.fromfile(f, kind)
 
         # round 0: the empty suffix of every string, before it the string's last symbol
-        who = np.arange(m)
-        last = np.where(size > 0, text[np.maximum(starts[1:] - 1, 0)].astype(np.int16) if len(text) else -1, -1)
-        put(last, who, np.zeros(m), np.zeros(m))
-        for _ in range(int(size.max(initial=0))):
-            symbol, string, common, length = get()
-            order = np.argsort(symbol, kind="stable")  # first by symbol, then in the order of the rest
-            order = order[np.searchsorted(symbol[order], 0) :]  # whole strings have nothing to the left
-            sym = symbol[order]
-            # prefix shared with the one before: one more than the least between their places
-            levels = [common]
-            while len(levels[-1]) > 1 << (len(levels) - 1) and (1 << len(levels)) <= len(common):
-                half = 1 << (len(levels) - 1)
-                levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-            lo, hi = order[:-1] + 1, order[1:]
-            same = sym[1:] == sym[:-1]
-            shared = np.zeros(len(order), np.int64)
-            span = hi[same] - lo[same] + 1
-            k = np.log2(span).astype(np.int64)
-            flat = np.concatenate(levels)
-            begin = np.cumsum([0] + [len(x) for x in levels[:-1]])
-            left, right = flat[begin[k] + lo[same]], flat[begin[k] + hi[same] - (1 << k) + 1]
-            shared[1:][same] = np.minimum(np.minimum(left, right).astype(np.int64) + 1, depth)
-            string, length = string[order], length[order] + 1
-            before = starts[string + 1] - length - 1
-            nxt = np.where(before >= starts[string], text[np.maximum(before, 0)].astype(np.int16), -1)
-            # the empty suffixes stay in front: their symbols never change
-            put(np.concatenate((last, nxt)), np.concatenate((who, string)), np.concatenate((np.zeros(m, np.int64), shared)), np.concatenate((np.zeros(m, np.int64), length)))
-        _, string, common, length = get()
-    return string.astype(np.int64), size[string] - length, common
+        last = np.full(m, 255, np.uint8)
+        last[size > 0] = text[starts[1:][size > 0] - 1]
+        put(last, starts[1:], np.zeros(m, np.uint8))
+        fresh = np.flatnonzero(last != 255)
+        while len(fresh):
+            symbol, at, common = get()
+            order = np.argsort(symbol, kind="stable")
+            new = np.zeros(len(symbol), bool)
+            new[fresh] = True
+            rank = np.flatnonzero(new[order])
+            begins = at[order[rank]] - 1
+            to = rank + m  # the empty suffixes stay in front
+            keep = np.ones(len(symbol) + len(to), bool)
+            keep[to] = False
+            cols = []
+            for old, add in ((symbol, left[begins]), (at, begins), (common, np.zeros(len(to), np.uint8))):
+                col = np.empty(len(keep), old.dtype)
+                col[keep] = old
+                col[to] = add
+                cols.append(col)
+            symbol, at, common = cols
+            beside = np.zeros(len(keep) + 1, bool)
+            beside[to] = beside[to + 1] = True
+            beside = np.flatnonzero(beside[:-1])
+            common[beside] = 0
+            beside = beside[beside > m]
+            a, b = at[beside - 1].astype(np.int64), at[beside].astype(np.int64)
+            common[beside] = np.minimum(_shared_prefix(words, a, b, depth), np.minimum(rest[a], rest[b]))
+            put(symbol, at, common)
+            fresh = to[symbol[to] != 255]
+        _, at, common = get()
+    string = np.concatenate((np.arange(m), np.searchsorted(starts, at[m:], side="right") - 1))
+    return string, at - starts[string], common
+
+
+def _seeded(text: np.ndarray, starts: np.ndarray, doc: np.ndarray):
+    """``string, start, end``: the parts of segments that may share a window with another document.
+
+    A window holds its anchor's 20 bytes and 30 more on both sides together, so
+    it also holds one of three 40-byte strings around the anchor: from 20 or 10
+    bytes before it or from its first byte. A segment none of whose three
+    stands in another document has no window in common with one; otherwise
+    only the windows with such a string are kept. A segment in which the anchor
+    stands twice is kept whole.
+    """
+    size, m = np.diff(starts), len(starts) - 1
+    c = prefix(text)
+    room = size - GRAM + 1
+    own = np.repeat(np.arange(m), room)
+    at = np.arange(len(own)) + np.repeat(starts[:-1] - (np.cumsum(room) - room), room)
+    h = span_hash(c, at, at + GRAM)
+    edge = np.cumsum(room) - room
+    # the anchor is least in every window of the segment, and so in the segment
+    least = np.minimum.reduceat(h, edge)
+    is_least = h == least[own]
+    whole = np.add.reduceat(is_least.astype(np.int64), edge) > 1
+    p = at[is_least][np.searchsorted(own[is_least], np.arange(m))]
+    start, end = np.where(whole, starts[:-1], starts[1:]), np.where(whole, starts[1:], starts[:-1])
+    part = (WINDOW - GRAM) // 3
+    for k in range(3):
+        s = p - part * k
+        e = s + GRAM + 2 * part
+        inside = np.flatnonzero((s >= starts[:-1]) & (e <= starts[1:]))
+        key = span_hash(c, s[inside], e[inside])
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], inside[order]
+        if not len(key):
+            continue
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        shared = np.minimum.reduceat(doc[who], head) < np.maximum.reduceat(doc[who], head)
+        who = who[np.repeat(shared, np.diff(np.append(head, len(key))))]
+        start[who] = np.minimum(start[who], np.maximum(p[who] - part * (k + 1), starts[who]))
+        end[who] = np.maximum(end[who], np.minimum(p[who] + WINDOW - part * k, starts[who + 1]))
+    found = np.flatnonzero(end - start >= WINDOW)
+    return found, start[found] - starts[found], end[found] - starts[found]
 
 
 def _repeats(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, depth: int = WINDOW):
@@ -178,6 +256,16 @@ def _repeats(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, depth: int =
     return _ranges(string[gone], offset[gone], depth)
 
 
+def _bucket_repeats(text: np.ndarray, starts: np.ndarray, doc: np.ndarray):
+    """``_repeats`` of a bucket's segments, of which only the seeded parts are put in order."""
+    string, s, e = _seeded(text, starts, doc)
+    size = e - s
+    edge = np.concatenate(([0], np.cumsum(size)))
+    body = text[np.arange(edge[-1]) + np.repeat(starts[string] + s - edge[:-1], size)]
+    own, a, b = _repeats(body, edge, doc[string])
+    return string[own], a + s[own], b + s[own]
+
+
 def _ranges(owner: np.ndarray, at: np.ndarray, depth: int):
     """Unite windows at neighbouring places of one owner."""
     order = np.lexsort((at, owner))
@@ -321,7 +409,7 @@ def _ordered(noted: DataFrame) -> DataFrame:
             at = np.concatenate([unplanes(x[1], 5) for x in parts]).astype(np.int64)
             size = np.concatenate([unplanes(x[2], 2) for x in parts]).astype(np.int64)
             text = np.frombuffer(b"".join(x[3] for x in parts), np.uint8)
-            own, s, e = _repeats(text, np.concatenate(([0], np.cumsum(size))), doc)
+            own, s, e = _bucket_repeats(text, np.concatenate(([0], np.cumsum(size))), doc)
             yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(at[own] + s), pa.array(at[own] + e)], names=["doc_id", "start", "end"])
 
     packed = noted.where("bucket is not null").select("bucket", "docs", "starts", "sizes", "bytes")
