@@ -6,15 +6,18 @@ of a frequent token is one entry per blob. The task that gets a bucket adds the
 counts up and writes (a) the exact unigram counts of the bucket and (b) the
 bucket's segment of the filter: an n-gram of count c is inserted once for each
 level 1 .. 1 + floor(log_BASE c), and its quantised count is read back by
-probing level after level until one is absent. A segment has a fixed number of
-bits; if it cannot hold all n-grams of its bucket at ``BITS_EACH`` bits an
-insertion, the rarest pairs go without and back off to unigrams. The filter as
-a whole is therefore ``2**filter_log2`` bits whatever the corpus, and is the
-only thing broadcast besides a bounded table of the most frequent tokens.
+probing level after level until one is absent. A segment has ``BITS_EACH`` bits
+or more for each of its insertions, so that every n-gram of the corpus is held.
+While every segment fits its share of ``2**filter_log2`` bits, the filter is
+broadcast; when one does not, no segment is, and the n-grams of the texts go to
+the bucket with their segment. Both ways read the same segments and give the
+same scores. A bounded table of the most frequent tokens is always broadcast.
 
 Scoring: frequent tokens have exact counts in that table; the other tokens of a
 text go, again as blobs, to the bucket with their exact counts, from where
-partial sums return to the text.
+partial sums return to the text. Where segments are not broadcast, the distinct
+n-grams of each run of texts go to their buckets too, and their levels return to
+the run's bytes, which are read again to put them together.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ _END, _START = (mix(np.array([x], np.uint64))[0] for x in (11, 12))
 _FOLD = 3_000_000
 #: Texts whose partial sums travel as one row.
 _BLOCK_LOG2 = 12
+#: Bytes of texts whose distinct n-grams are asked together, where segments are not broadcast.
+_RUN = 8 << 20
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -79,6 +84,18 @@ def tokens(data: np.ndarray, starts: np.ndarray):
     return out, np.repeat(np.arange(n), count + 1), before
 
 
+def run_tokens(data: np.ndarray, starts: np.ndarray):
+    """``tokens`` of a run of texts, read about 1 MB at a time."""
+    out, first = [], 0
+    while first < len(starts) - 1:
+        last = max(int(np.searchsorted(starts, starts[first] + (1 << 20), side="right")) - 1, first + 1)
+        last = min(last, len(starts) - 1)
+        h, row, before = tokens(data[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
+        out.append((h, row + first, before))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _fold(h: np.ndarray, log2: int, kind: int, width: int):
     """Blobs of the distinct hashes and their counts, one per bucket."""
     keys, n = np.unique(h, return_counts=True)
@@ -109,13 +126,24 @@ class Segment:
             yield (x & _U(bits - 1)).astype(np.int64)
             x = x + step
 
+    @staticmethod
+    def level(n: np.ndarray) -> np.ndarray:
+        """Insertions of an n-gram of count ``n``."""
+        return 1 + np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
+
+    @classmethod
+    def size(cls, parts: list[tuple[np.ndarray, np.ndarray]], least: int) -> int:
+        """Bits, a power of two from ``least`` on, that hold all n-grams."""
+        need = BITS_EACH * sum(int(cls.level(n).sum()) for _, n in parts)
+        return max(least, 1 << max(need - 1, 0).bit_length())
+
     @classmethod
     def build(cls, parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[bytes, int]:
         """Bytes of a segment, and the least pair count it holds; earlier parts have priority."""
         seg = np.zeros(bits, bool)
         room, cut = bits // BITS_EACH, 1
         for key, n in parts:
-            level = 1 + np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
+            level = cls.level(n)
             need = np.bincount(level, level)[::-1].cumsum()[::-1]  # insertions of this level and above
             fit = np.flatnonzero(need <= room)
             least = int(fit[0]) if len(fit) else len(need)
@@ -130,8 +158,8 @@ class Segment:
         return np.packbits(seg, bitorder="little").tobytes(), cut
 
 
-def probe(filter_bytes: np.ndarray, bucket: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
-    """Quantised counts (0: absent) by repeated membership probes."""
+def levels(filter_bytes: np.ndarray, bucket: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """Count levels (0: absent) by repeated membership probes."""
     level = np.zeros(len(key), np.int64)
     left = np.arange(len(key))
     base = bucket * bits
@@ -147,13 +175,22 @@ def probe(filter_bytes: np.ndarray, bucket: np.ndarray, key: np.ndarray, bits: i
                 break
         left = left[live]
         level[left] = lv
-    # the middle of the counts that share a level
+    return level
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts that share a level."""
     low, high = np.ceil(BASE ** (level - 1.0) - 1e-9), np.ceil(BASE ** level.astype(float) - 1e-9) - 1
     return np.where(level > 0, (low + np.maximum(high, low)) / 2, 0.0)
 
 
+def probe(filter_bytes: np.ndarray, bucket: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """Quantised counts (0: absent)."""
+    return middle(levels(filter_bytes, bucket, key, bits))
+
+
 def count_ngrams(train: DataFrame, log2: int, bits: int) -> DataFrame:
-    """Exact unigram counts (kind 0) and filter segments (kind 2) of all training texts, by bucket."""
+    """Exact unigram counts (kind 0) and filter segments (kind 2, ``bits`` or more each) of all training texts, by bucket."""
 
     def fold(batches):
         held, n = [], 0
@@ -197,7 +234,7 @@ def count_ngrams(train: DataFrame, log2: int, bits: int) -> DataFrame:
                 parts.append((short(keys, log2), n))
             if two:
                 parts.append(add(two))
-            seg, _ = Segment.build(parts, bits)
+            seg, _ = Segment.build(parts, Segment.size(parts, bits))  # holds all, so nothing is cut
             out.append((b, 2, seg, b""))
             yield _blobs(out)
 
@@ -205,7 +242,7 @@ def count_ngrams(train: DataFrame, log2: int, bits: int) -> DataFrame:
     return train.select("text").mapInArrow(fold, schema).repartition("bucket").mapInArrow(gather, schema)
 
 
-def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: float = MU, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: float = MU, head: int = HEAD, spread: bool | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row.
 
     ``held_out`` is a column; rows where it is not true are learned from. Tokens
@@ -214,7 +251,9 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
     ``score`` the log10 probability under pair counts from the filter smoothed
     by the unigram model. Null texts are empty (one token). Rows with a null
     doc_id count as training rows; repeated rows are scored each. An empty
-    table gives an empty result. Other columns are not read.
+    table gives an empty result. Other columns are not read. ``spread`` says
+    whether segments stay in their buckets (by default, when one outgrows its
+    share of ``2**filter_log2`` bits); scores do not depend on it.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
@@ -246,44 +285,69 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
                 top = n >= _U(1 << least)
                 yield pa.RecordBatch.from_arrays([pa.array([planes(keys[top], 8)], pa.binary()), pa.array([planes(n[top], 8)], pa.binary())], names=["keys", "counts"])
 
-    # bounded: at most ``head`` tokens, and 2**filter_log2 bits
+    largest = grams.where("kind = 2").agg(F.coalesce(F.max(F.length("keys")), F.lit(0))).first()[0]
+    if spread is None or largest > bits // 8:
+        spread = largest > bits // 8
+    # bounded: at most ``head`` tokens, and 2**filter_log2 bits or none
     got = unigrams.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
     keys = np.concatenate([unplanes(r.keys, 8) for r in got] + [np.zeros(0, np.uint64)])
     counts = np.concatenate([unplanes(r.counts, 8) for r in got] + [np.zeros(0, np.uint64)]).astype(np.int64)
     order = np.argsort(keys)
-    whole = np.zeros((1 << filter_log2) // 8, np.uint8)
-    for r in grams.where("kind = 2").select("bucket", "keys").toLocalIterator():
+    whole = np.zeros(0 if spread else (1 << filter_log2) // 8, np.uint8)
+    for r in [] if spread else grams.where("kind = 2").select("bucket", "keys").toLocalIterator():
         whole[r.bucket * (bits // 8) : (r.bucket + 1) * (bits // 8)] = np.frombuffer(r["keys"], np.uint8)
     shared = spark.sparkContext.broadcast((whole, keys[order], counts[order]))
     del whole
     norm = float(n_all + n_types + 1)
 
+    def exact_counts(u):
+        """Whether tokens are in the broadcast table, and their counts there."""
+        _, hkeys, hcounts = shared.value
+        at = np.minimum(np.searchsorted(hkeys, u), max(len(hkeys) - 1, 0))
+        known = hkeys[at] == u if len(hkeys) else np.zeros(len(u), bool)
+        c = np.zeros(len(u))
+        c[known] = hcounts[at[known]]
+        return known, c
+
+    def joined(h, row, before, own, pair, n):
+        """Log probabilities of the texts from the counts of their tokens and pairs."""
+        _, hkeys, hcounts = shared.value
+        prior = np.empty(len(h))
+        prior[1:] = own[:-1]
+        prior[before == _START] = float(hcounts[np.searchsorted(hkeys, _END)]) if len(hkeys) and _END in hkeys else 0.0
+        pair = np.minimum(pair, np.minimum(prior, np.maximum(own, 0)))
+        return np.bincount(row, np.log10((pair + mu * (own + 1) / norm) / (prior + mu)), n)
+
     def score(batches):
-        filt, hkeys, hcounts = shared.value
+        filt = shared.value[0]
         uid = TaskContext.get().partitionId() << 40
         names = ["kind", "bucket", "uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "keys", "rows", "counts"]
+        run = []
+
+        def text_run(run):
+            """A row with the bytes of a run of texts, whose uids follow each other."""
+            size = np.cumsum([0, *(len(d) for _, d, _ in run)])
+            data = np.concatenate([d for _, d, _ in run]).tobytes()
+            starts = np.concatenate([np.zeros(1, np.int64), *(x[1:] + o for (_, _, x), o in zip(run, size))])
+            null = [pa.nulls(1, x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([3], pa.int32()), pa.nulls(1, pa.int32()), pa.array([run[0][0]], pa.int64()), *null, pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary()), pa.array([starts.astype("<i8").tobytes()], pa.binary()), pa.nulls(1, pa.binary())],
+                names=names,
+            )
+
         for batch in batches:
             for first, data, starts in chunks(batch.column(1)):
                 h, row, before = tokens(data, starts)
                 n = len(starts) - 1
                 u, inv = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(hkeys, u), max(len(hkeys) - 1, 0))
-                known = hkeys[at] == u if len(hkeys) else np.zeros(len(u), bool)
-                c = np.zeros(len(u))
-                c[known] = hcounts[at[known]]
-                est = c.copy()
-                rare = ~known
-                est[rare] = probe(filt, _bucket(u[rare], log2), short(u[rare], log2), bits)
-                own = est[inv]
-                prior = np.empty(len(h))
-                prior[1:] = own[:-1]
-                first_of = before == _START
-                n_docs = float(hcounts[np.searchsorted(hkeys, _END)]) if len(hkeys) and _END in hkeys else 0.0
-                prior[first_of] = n_docs
+                known, c = exact_counts(u)
                 two = pair_hash(before, h)
-                pair = np.minimum(probe(filt, _bucket(two, log2), short(two, log2), bits), np.minimum(prior, np.maximum(own, 0)))
-                p = (pair + mu * (own + 1) / norm) / (prior + mu)
-                logp = np.bincount(row, np.log10(p), n)
+                if spread:
+                    logp = np.zeros(n)
+                else:
+                    est = c.copy()
+                    est[~known] = probe(filt, _bucket(u[~known], log2), short(u[~known], log2), bits)
+                    logp = joined(h, row, before, est[inv], probe(filt, _bucket(two, log2), short(two, log2), bits), n)
                 exact = known[inv]
                 base = np.bincount(row[exact], np.log10((c[inv[exact]] + 1) / norm), n)
                 ids = np.arange(uid, uid + n)
@@ -294,6 +358,11 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
                      pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[exact], minlength=n)), pa.array(base), pa.array(logp), pa.nulls(z, pa.binary()), pa.nulls(z, pa.binary()), pa.nulls(z, pa.binary())],
                     names=names,
                 )
+                if spread:
+                    run.append((ids[0], data, starts))
+                    if sum(len(d) for _, d, _ in run) >= _RUN:
+                        yield text_run(run)
+                        run = []
                 # the rest: distinct (token, text) with multiplicity, to where exact counts are
                 token, text = inv[~exact], row[~exact]
                 if not len(token):
@@ -309,6 +378,8 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
                     [pa.array(np.ones(z, np.int32)), pa.array(full, pa.int32()), *null, pa.array([planes(k[s], 8) for s in cut], pa.binary()), pa.array([planes(r[s], 8) for s in cut], pa.binary()), pa.array([planes(mult[s], 4) for s in cut], pa.binary())],
                     names=names,
                 )
+        if run:
+            yield text_run(run)
 
     schema = "kind int, bucket int, uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, keys binary, rows binary, counts binary"
     scored = stash(rows.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(score, schema))
@@ -356,9 +427,85 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
             at = np.flatnonzero(held[0])
             yield pa.RecordBatch.from_arrays([pa.array((block << _BLOCK_LOG2) + at), pa.array(held[0, at]), pa.array(held[1, at].astype(np.int64))], names=["uid", "more", "also"])
 
+    def read(data, starts):
+        """Tokens of a run, and the distinct n-grams that segments are asked for."""
+        starts = np.frombuffer(starts, "<i8").astype(np.int64)
+        data = np.frombuffer(pa.decompress(data, int(starts[-1]), "zstd", asbytes=True) if starts[-1] else b"", np.uint8)
+        h, row, before = run_tokens(data, starts)
+        u, inv = np.unique(h, return_inverse=True)
+        known, own = exact_counts(u)
+        two = pair_hash(before, h)
+        return len(starts) - 1, h, row, before, u, inv, known, own, two, np.unique(np.concatenate((u[~known], two)))
+
+    def ask(batches):
+        for batch in batches:
+            for uid, data, starts in zip(*(c.to_pylist() for c in batch.columns)):
+                k = read(data, starts)[-1]
+                edge = np.searchsorted(_bucket(k, log2), np.arange((1 << log2) + 1))
+                full = np.flatnonzero(np.diff(edge)).tolist()
+                keys = [planes(short(k[edge[b] : edge[b + 1]], log2), 6) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), uid)), pa.array(np.ones(len(full), np.int32)), pa.array(keys, pa.binary())], names=["bucket", "uid", "part", "keys"])
+
+    def look(batches):
+        """Levels of what is asked of each segment, which comes before its questions."""
+        own, seg = None, None
+        for batch in batches:
+            bucket, uid, part, keys = (c.to_pylist() for c in batch.columns)
+            i = 0
+            while i < len(bucket):
+                if not part[i]:
+                    own, seg = bucket[i], np.frombuffer(keys[i], np.uint8)
+                    i += 1
+                    continue
+                j = i
+                while j < len(bucket) and bucket[j] == bucket[i] and part[j]:
+                    j += 1
+                k = [unplanes(x, 6) for x in keys[i:j]]
+                edge = np.cumsum([0, *map(len, k)])
+                k = np.concatenate(k)
+                # a bucket without a segment has no n-gram of the training texts
+                got = levels(seg, np.zeros(len(k), np.int64), k, 8 * len(seg)) if own == bucket[i] else np.zeros(len(k), np.int64)
+                got = got.astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid[i:j], pa.int64()), pa.array(bucket[i:j], pa.int32()), pa.array([got[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
+                    names=["uid", "bucket", "keys"],
+                )
+                i = j
+
+    def finish(batches):
+        """Scores of runs of texts, whose bytes come before the levels, bucket by bucket."""
+
+        def one(uid, data, starts, got):
+            n, h, row, before, u, inv, known, own, two, k = read(data, starts)
+            count = middle(np.frombuffer(b"".join(got), np.uint8).astype(np.int64))
+            own[~known] = count[np.searchsorted(k, u[~known])]
+            logp = joined(h, row, before, own[inv], count[np.searchsorted(k, two)], n)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), pa.array(logp)], names=["uid", "spread"])
+
+        held = None
+        for batch in batches:
+            for uid, bucket, keys, starts in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket < 0:
+                    if held:
+                        yield one(*held)
+                    held = (uid, keys, starts, [])
+                else:
+                    held[3].append(keys)
+        if held:
+            yield one(*held)
+
     partial = both.repartition("bucket").mapInArrow(answer, "block long, uids binary, more binary, also binary")
     rest = partial.repartition("block").mapInArrow(unite, "uid long, more double, also long")
     out = scored.where("kind = 0").select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(rest, "uid", "left")
+    if spread:
+        texts = scored.where("kind = 3")
+        none = F.lit(None).cast("binary").alias("rows")
+        probes = grams.where("kind = 2").select("bucket", F.lit(0).cast("long").alias("uid"), F.lit(0).alias("part"), "keys")
+        probes = probes.unionAll(texts.select("uid", "keys", "rows").mapInArrow(ask, "bucket int, uid long, part int, keys binary"))
+        found = probes.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(look, "uid long, bucket int, keys binary")
+        runs = texts.select("uid", F.lit(-1).alias("bucket"), "keys", "rows").unionAll(found.select("uid", "bucket", "keys", none))
+        ends = runs.repartition("uid").sortWithinPartitions("uid", "bucket").mapInArrow(finish, "uid long, spread double")
+        out = out.drop("score").join(ends.withColumnRenamed("spread", "score"), "uid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),

@@ -255,6 +255,24 @@ def test_language_model(spark, odd):
     assert lm.score_texts(texts(spark, [(None, "a b"), (None, "a b")]), lm.by_seventh(), filter_log2=20).count() == 2
 
 
+def test_filter_grows_with_the_corpus(spark, odd):
+    df = texts(spark, odd)
+    score = lambda **k: {r.doc_id: r.score for r in lm.score_texts(df, lm.by_seventh(), **k).collect()}
+    near, far = score(filter_log2=20), score(filter_log2=20, spread=True)
+    assert near.keys() == far.keys() and all(math.isclose(near[i], far[i], rel_tol=1e-9) for i in near)
+    few = score(filter_log2=12)  # far less than the corpus needs: no pair may be lost
+    assert all(abs(few[i] - near[i]) <= 0.02 * abs(near[i]) for i in near)
+
+
+def test_segment_holds_all():
+    rng = np.random.default_rng(1)
+    parts = [(rng.integers(0, 2**48, n, dtype=np.uint64), rng.integers(1, 400, n)) for n in (500, 3000)]
+    bits = lm.Segment.size(parts, 64)
+    seg, cut = lm.Segment.build(parts, bits)
+    assert cut == 1 and len(seg) == bits // 8 and lm.Segment.size(parts, 1 << 20) == 1 << 20
+    assert all((lm.probe(np.frombuffer(seg, np.uint8), np.zeros(len(k), np.int64), k, bits) > 0).all() for k, _ in parts)
+
+
 def test_filter_counts():
     rng = np.random.default_rng(0)
     keys, counts = rng.integers(0, 2**48, 3000, dtype=np.uint64), rng.integers(1, 400, 3000)
