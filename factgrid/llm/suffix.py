@@ -207,7 +207,7 @@ def _seeded(text: np.ndarray, starts: np.ndarray, doc: np.ndarray):
     bytes before it or from its first byte. A segment none of whose three
     stands in another document has no window in common with one; otherwise
     only the windows with such a string are kept. A segment in which the anchor
-    stands twice is kept whole.
+    stands twice is kept whole, and has three strings around each of its places.
     """
     size, m = np.diff(starts), len(starts) - 1
     c = prefix(text)
@@ -220,23 +220,25 @@ def _seeded(text: np.ndarray, starts: np.ndarray, doc: np.ndarray):
     least = np.minimum.reduceat(h, edge)
     is_least = h == least[own]
     whole = np.add.reduceat(is_least.astype(np.int64), edge) > 1
-    p = at[is_least][np.searchsorted(own[is_least], np.arange(m))]
+    p, own = at[is_least], own[is_least]
     start, end = np.where(whole, starts[:-1], starts[1:]), np.where(whole, starts[1:], starts[:-1])
     part = (WINDOW - GRAM) // 3
     for k in range(3):
         s = p - part * k
         e = s + GRAM + 2 * part
-        inside = np.flatnonzero((s >= starts[:-1]) & (e <= starts[1:]))
+        inside = np.flatnonzero((s >= starts[own]) & (e <= starts[own + 1]))
         key = span_hash(c, s[inside], e[inside])
         order = np.argsort(key, kind="stable")
         key, who = key[order], inside[order]
         if not len(key):
             continue
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        shared = np.minimum.reduceat(doc[who], head) < np.maximum.reduceat(doc[who], head)
+        owner = doc[own[who]]
+        shared = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
         who = who[np.repeat(shared, np.diff(np.append(head, len(key))))]
-        start[who] = np.minimum(start[who], np.maximum(p[who] - part * (k + 1), starts[who]))
-        end[who] = np.maximum(end[who], np.minimum(p[who] + WINDOW - part * k, starts[who + 1]))
+        to, who = p[who], own[who]
+        start[who] = np.minimum(start[who], np.maximum(to - part * (k + 1), starts[who]))
+        end[who] = np.maximum(end[who], np.minimum(to + WINDOW - part * k, starts[who + 1]))
     found = np.flatnonzero(end - start >= WINDOW)
     return found, start[found] - starts[found], end[found] - starts[found]
 

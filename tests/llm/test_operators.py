@@ -425,6 +425,29 @@ def test_repeats_text_and_odd_rows(spark):
     assert suffix.remove_repeats(df.limit(0), noted_log2=20).count() == 0
 
 
+def test_repeats_of_doubled_phrases():
+    """A phrase of 20 to 31 bytes twice running in one document and once in another, with the same continuation."""
+    rng = random.Random(9)
+    some = lambda n: bytes(rng.choice(b"abcdefghij") for _ in range(n))
+    docs = []
+    for n in range(20, 32):
+        for k in range(600):
+            phrase, more = some(n), some(60)
+            docs += [pair := [some(30) + 2 * phrase + more, some(30) + phrase + more], pair[::-1]][k % 2]
+    starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    data = np.frombuffer(b"".join(docs), np.uint8)
+    anchor, _, row, s, e = suffix.segments(data, starts)
+    order = np.argsort(anchor, kind="stable")
+    row, s, e = row[order], s[order], e[order]
+    edge = np.concatenate(([0], np.cumsum(e - s)))
+    text = np.concatenate([data[a:b] for a, b in zip(s, e)])
+    gone = np.zeros(len(data), bool)
+    for w, a, b in zip(*(x.tolist() for x in suffix._bucket_repeats(text, edge, row))):
+        gone[s[w] + a : s[w] + b] = True
+    want = repeats([(i, d.decode()) for i, d in enumerate(docs)])
+    assert [int(gone[a:b].sum()) for a, b in zip(starts, starts[1:])] == [want[i][1] for i in range(len(docs))]
+
+
 def test_column_order():
     rng = random.Random(4)
     parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 20))) for _ in range(40)]
