@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from factgrid.operators import verified
 from factgrid.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,5 +38,24 @@ def test_query(spark, sf, duck, name):
     assert rows == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
+def test_answers_search_all_records(spark, sf, monkeypatch):
+    """Hits, records and names of ver01_answers come from the whole table."""
+    seen = {}
+    answer = verified.answer_verified
+    monkeypatch.setattr(verified, "answer_verified", lambda q, r, e, v: (seen.update(r=r, e=e, v=v), answer(q, r, e, v))[1])
+    QUERIES["ver01_answers"](spark, sf).count()
+    assert seen["e"].count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert seen["v"].count() == spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count() > 40
+    assert seen["r"].select("score").distinct().count() > 1
+
+
+def test_known_names_are_joined_by_equality(spark):
+    q = spark.createDataFrame([(1, "Is Redwood or wood here?"), (2, "red"), (3, None)], "query_id long, question string")
+    v = spark.createDataFrame([("wood",), ("redwood",), ("red",), ("here?",), (None,)], "name string")
+    got = verified.mentioned(q, v)
+    assert "contains(" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {(r.query_id, r.name) for r in got.collect()} >= {(1, "wood"), (1, "redwood"), (1, "here?")} and not got.where("query_id = 2 and name = 'red'").count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
