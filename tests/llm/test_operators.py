@@ -182,6 +182,17 @@ def test_bpe_round_trip(spark, odd):
     assert bpe.round_trip_digest(df.limit(0), VOCAB).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "=-"])
+def test_bpe_of_long_unbroken_words(letters):
+    rng = random.Random(6)
+    tok, own = Tokenizer.from_file(VOCAB), bpe.ByteBpe(VOCAB, table_words=50)
+    for n in (255, 256, 257, 3000, 200_000):
+        text = "".join(rng.choice(letters) for _ in range(n)).encode()
+        ids, count = own.encode(np.frombuffer(text + b" x y" + text[:9], np.uint8), np.array([0, n, n + 13]))
+        want = [tok.encode(t.decode(), add_special_tokens=False).ids for t in (text, b" x y" + text[:9])]
+        assert ids.tolist() == want[0] + want[1] and count.tolist() == list(map(len, want))
+
+
 # -- 3 embeddings, 7 top-k -----------------------------------------------------------
 
 
@@ -215,15 +226,15 @@ def test_near_vectors(spark, window):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("block,page", [(2048, 4096), (4, 16)])
+def test_top_k(spark, block, page):
     x = vectors(2, 150)
     x[10:20] = x[10]  # ties
     rows = [(int(i), [float(v) for v in x[i]], 1) for i in range(150)] + [v for v in ODD_VECTORS if v[0] != 906]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     v = topk.integer_vectors(df)
     got = {}
-    for r in topk.top_k(v, v.where("vec_id % 10 = 0"), block=block).collect():
+    for r in topk.top_k(v, v.where("vec_id % 10 = 0"), block=block, page=page).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     q = {i: np.floor(256 * np.array(e, float)).astype(int) for i, e, _ in rows if e and None not in e and np.isfinite(np.array(e, float)).all()}
     want = {}
@@ -235,6 +246,25 @@ def test_top_k(spark, block):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0 == topk.top_k(v, v.limit(0)).count()
 
 
+@pytest.mark.parametrize("page", [4096, 8])
+def test_top_k_of_wide_few_and_repeated_vectors(spark, page):
+    rng = np.random.default_rng(3)
+    scale = 10.0 ** rng.integers(-2, 38, (60, 1))
+    x = (rng.standard_normal((60, 6)) * scale).astype(np.float32)
+    x[:4] = 1e9 * rng.standard_normal((4, 6))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(7, [float(c) for c in x[7]])] * 9 + [(200, [1.0]), (201, [2.0]), (201, [3.0]), (202, [1.0, 1.0])]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("page", F.lit(1)))
+    got = {}
+    for r in topk.top_k(v, v, page=page).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ints = [(i, [math.floor(256 * np.float64(np.float32(c))) for c in e]) for i, e in rows]
+    for i, q in dict(ints[::-1]).items():
+        best = sorted((-sum(a * b for a, b in zip(q, e)), j) for j, e in ints if j != i and len(e) == len(q))[:5]
+        if i != 201:  # either of its two rows may be the query
+            assert sorted(got.get(i, [])) == [(n + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(best)], i
+    assert 202 not in got and [r[1] for r in sorted(got[200])] == [201, 201]
+
+
 # -- 4 language model -----------------------------------------------------------------
 
 
