@@ -31,33 +31,51 @@ def _times(pattern: list[int], have: np.ndarray) -> int:
     return int((have[size] // need).min())
 
 
-def _complement(gap: int, most: int, have: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths of at most ``most`` with the sum ``gap``."""
-    top = min(most, gap)
-    if gap <= most and have[gap]:
-        return [gap]
-    # pairs: b from large to small, a = gap - b
-    b = np.arange(min(top, gap - 1), (gap - 1) // 2, -1)
-    if len(b):
-        ok = (have[b] > 0) & (have[gap - b] > 0) & ((2 * b != gap) | (have[b] > 1))
-        if ok.any():
-            x = int(b[ok.argmax()])
-            return [x, gap - x]
-    for c in range(min(top, gap - 2), (gap - 1) // 3, -1):
-        if not have[c]:
-            continue
-        rest = gap - c
-        b = np.arange(min(c, rest - 1), (rest - 1) // 2, -1)
-        if not len(b):
-            continue
-        a = rest - b
-        need_b = 1 + (b == c)
-        ok = (have[b] >= need_b + (a == b)) & (have[a] > 0)
-        if ok.any():
-            x = int(b[ok.argmax()])
-            if _times([c, x, rest - x], have):
-                return [c, x, rest - x]
-    return None
+class _Sums:
+    """Index of single, pair and triple sums of the lengths that are left.
+
+    ``pair[s]`` is the largest length to look at for two lengths with the sum
+    ``s``, ``triple[s]`` that for three. Counts only fall, so what cannot be
+    filled now cannot be filled later: the entries only move down, and all
+    look-ups together read each combination of a sum once.
+    """
+
+    def __init__(self, capacity: int):
+        self.pair = np.arange(capacity + 1) - 1
+        self.triple = np.arange(capacity + 1) - 2
+
+    def find_pair(self, gap: int, have: np.ndarray, note: bool = True) -> list[int] | None:
+        b = int(self.pair[gap])
+        while 2 * b >= gap > b:
+            a = gap - b
+            if have[b] > (a == b) and have[a] > 0:
+                if note:
+                    self.pair[gap] = b
+                return [b, a]
+            b -= 1
+        if note:
+            self.pair[gap] = 0
+        return None
+
+    def find(self, gap: int, have: np.ndarray) -> list[int] | None:
+        """One, two or three lengths of positive count with the sum ``gap``."""
+        if have[gap]:
+            return [gap]
+        if two := self.find_pair(gap, have):
+            return two
+        c = int(self.triple[gap])
+        while 3 * c >= gap and c > 0:
+            if have[c] and (two := self.find_pair(gap - c, have)):
+                if c in two:  # one less of ``c`` is there for the pair; that is no fall of its count
+                    have[c] -= 1
+                    two = self.find_pair(gap - c, have, note=False)
+                    have[c] += 1
+                if two:
+                    self.triple[gap] = c
+                    return [c, *two]
+            c -= 1
+        self.triple[gap] = 0
+        return None
 
 
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -65,26 +83,28 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[l
 
     ``counts[l]`` pieces have length ``l``; lengths are 1 to ``capacity``. Every
     step exhausts a length up to less than a pattern's need, so the number of
-    patterns is bounded by the capacity and not by the number of pieces.
+    patterns is bounded by the capacity and not by the number of pieces. A gap
+    that no combination fills exactly takes the largest length that fits, and
+    what is left of it is looked up again.
     """
     have = counts.astype(np.int64).copy()
-    out: list[tuple[list[int], int]] = []
+    sums, out = _Sums(capacity), []
     for size in range(capacity, 0, -1):
         while have[size]:
             pattern, gap = [size], capacity - size
             left = have.copy()
             left[size] -= 1
             while gap:
-                exact = _complement(gap, size, left)
+                exact = sums.find(gap, left)
                 if exact:
                     pattern += exact
                     break
-                fits = np.flatnonzero(left[1 : min(gap, size) + 1])
+                fits = np.flatnonzero(left[1 : gap + 1])
                 if not len(fits):
                     break
                 best = int(fits[-1]) + 1
                 pattern.append(best)
-                left[best] -= 1
+                left[best] -= 1  # as the pattern is used at least once, this is no more than what goes
                 gap -= best
             n = _times(pattern, have)
             for x in pattern:
@@ -162,22 +182,22 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         histogram[r.length] = r.n
     at = _places(pack_histogram(histogram, capacity))
 
-    def run(batches):
+    def place(of_task: pa.Table, first_ranks: pa.Table) -> pa.Table:
+        """The pieces of one task of the first pass, with the first rank there of each length."""
+        first = np.zeros(capacity + 1, np.int64)
+        first[first_ranks["length"].to_numpy()] = first_ranks["first"].to_numpy()
+        length = of_task["length"].to_numpy()
+        rank = of_task["rank"].to_numpy() + first[length]
         edge = np.searchsorted(at["length"], np.arange(capacity + 2))
-        for batch in batches:
-            length = batch.column(3).to_numpy()
-            rank = batch.column(5).to_numpy()
-            where = np.empty(len(rank), np.int64)
-            order = np.argsort(length, kind="stable")
-            cuts = np.flatnonzero(np.diff(length[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                a, b = edge[length[part[0]]], edge[length[part[0]] + 1]
-                where[part] = a + np.searchsorted(at["low"][a:b], rank[part], side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(at["sequence"][where] + rank - at["low"][where]), pa.array(at["offset"][where])],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    ranked = pieces.join(offsets.drop("n"), ["task", "length"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        where = np.empty(len(rank), np.int64)
+        order = np.argsort(length, kind="stable")
+        cuts = np.flatnonzero(np.diff(length[order])) + 1
+        for part in np.split(order, cuts) if len(order) else []:
+            a, b = edge[length[part[0]]], edge[length[part[0]] + 1]
+            where[part] = a + np.searchsorted(at["low"][a:b], rank[part], side="right") - 1
+        out = of_task.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        return out.append_column("sequence_id", pa.array(at["sequence"][where] + rank - at["low"][where])).append_column("offset", pa.array(at["offset"][where]))
+
+    # a task's pieces and its at most ``capacity`` offsets meet by the task: nothing that grows is broadcast
+    dealt = pieces.groupBy("task").cogroup(offsets.select("task", "length", "first").groupBy("task"))
+    return dealt.applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
