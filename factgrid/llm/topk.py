@@ -1,33 +1,36 @@
 """Exact top-k by integer inner product with a vector-approximation file.
 
-Every vector is kept twice in one written table: as quantised cells (one byte a
-dimension) and exactly. For a bounded block of queries, a first scan reads cells
-only and finds the k-th best lower bound of each query; a second scan computes
-exact products only where a cell's upper bound can still reach it, in the order
-of the bounds, until the k-th result is certain.
+Every vector is kept twice: exactly in one table, and as quantised cells (one
+byte a dimension, scaled to the vector's own range) in pages of another, which
+is all that the two searching passes read. Each page meets each block of
+queries: the first pass finds the k-th best lower bound of every query, the
+second returns the ids whose upper bound reaches it. Only these ids are joined
+with their exact vectors, and each query takes them in the order of their bounds
+until its k-th result is certain.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Queries compared at once: what is broadcast is at most this many vectors.
-QUERY_BLOCK = 2048
+#: Queries of one block and vectors of one page, on average: what one step holds in memory.
+QUERY_BLOCK, PAGE = 512, 1 << 15
+_LONG = 2**63
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """``vec_id, v`` with v = floor(scale * x) per component, as packed 64-bit integers.
+    """``vec_id, v`` with v = floor(scale * x) per component, as packed doubles (which hold these integers exactly).
 
-    Rows with a null id or vector, an empty vector, or null, non-finite or
-    over-large (beyond 2**31 after scaling) components are left out.
+    Rows with a null id or vector, an empty vector, or null or non-finite
+    components are left out; so are doubles too large to be scaled.
     """
 
     def run(batches):
@@ -37,154 +40,225 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                 x = x.values
                 if i is None or x is None or not len(x) or x.null_count:
                     continue
-                v = np.floor(scale * x.to_numpy(zero_copy_only=False).astype(np.float64))
-                if np.isfinite(v).all() and np.abs(v).max() < 2**31:
+                with np.errstate(over="ignore"):
+                    v = np.floor(scale * x.to_numpy(zero_copy_only=False).astype(np.float64))
+                if np.isfinite(v).all():
                     ids.append(i)
-                    out.append(v.astype(np.int64).tobytes())
+                    out.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
     return df.select(F.col(id_col).cast("long"), vector).mapInArrow(run, "vec_id long, v binary")
 
 
-def _by_length(rows: list[bytes]):
-    """Row numbers of each vector length."""
-    size = np.array([len(r) for r in rows])
-    return [(s, np.flatnonzero(size == s)) for s in np.unique(size).tolist()]
+def product(q: np.ndarray, v: np.ndarray) -> int:
+    """The exact inner product of two integer vectors held as doubles."""
+    if float(np.abs(q) @ np.abs(v)) < 2**52:
+        return int(q @ v)
+    return sum(int(a) * int(b) for a, b in zip(q.tolist(), v.tolist()))
 
 
-def _approximate(vectors: DataFrame, shift: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            rows = batch.column(1).to_pylist()
-            cells = [(np.frombuffer(r, np.int64) >> shift).astype(np.int8).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["vec_id", "v", "cells"])
-
-    return vectors.mapInArrow(run, "vec_id long, v binary, cells binary")
-
-
-class _Queries:
-    """A block of queries of one length, with what bounds need."""
+def cells_of(v: np.ndarray) -> tuple[np.ndarray, int]:
+    """Cells ``c`` (int8) and shift ``s``: every component lies from c * 2**s to (c + 1) * 2**s - 1."""
+    most = float(np.abs(v).max())
+    s = max(0, math.frexp(most)[1] - 7)
+    c = np.floor(np.ldexp(v, -s))
+    return c.astype(np.int8), s
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, shift: int):
-        self.ids, self.q, self.f = ids, q, q.astype(np.float64)
-        width = float((1 << shift) - 1)
-        self.up = width * np.maximum(self.f, 0).sum(axis=1)
-        self.down = width * np.minimum(self.f, 0).sum(axis=1)
-        self.unit = float(1 << shift)
 
-    def middle(self, cells: np.ndarray) -> np.ndarray:
-        """Products with the low corners of the cells; bounds are this plus ``down`` / ``up``."""
-        return self.f @ (cells.astype(np.float64) * self.unit).T
-
-
-def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer products of one query with rows of vectors."""
-    if len(q) * float(np.abs(q).max()) * float(np.abs(v).max()) < 2**53:
-        return (v.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return (v * q).sum(axis=1)
+def _pages(store: DataFrame, k: int) -> DataFrame:
+    """One row per page: ids, shifts and cells of its vectors, by vector length.
 
+    Of equal vectors a page keeps those that can be results: k of each id, and
+    2 * k in all by id, since a query's own rows are at most k of these.
+    """
 
-def _floors(table: DataFrame, queries: dict[int, _Queries], k: int) -> DataFrame:
-    """For each query and task, its k best lower bounds over cells of other rows."""
+    def pack(page, rows):
+        rows.sort(key=lambda r: (len(r[2]), r[3], r[0]))
+        kept, same, own = [], 0, 0
+        for n, r in enumerate(rows):
+            last = rows[n - 1] if n else None
+            if last and (last[2], last[3]) == (r[2], r[3]):
+                own = own + 1 if last[0] == r[0] else 0
+            else:
+                same = own = 0
+            if own < k and same < 2 * k:
+                kept.append(r)
+                same += 1
+        for size in sorted({len(r[2]) for r in kept}):
+            some = [r for r in kept if len(r[2]) == size]
+            yield page, size, np.array([r[0] for r in some]).tobytes(), np.array([r[1] for r in some], np.int32).tobytes(), b"".join(r[2] for r in some)
+
+    def batch_of(out):
+        page, size, ids, shifts, cells = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(page, pa.int32()), pa.array(size, pa.int32()), *[pa.array(x, pa.binary()) for x in (ids, shifts, cells)]], names=["page", "dims", "ids", "shifts", "cells"])
 
     def run(batches):
-        best = {s: np.full((len(q.ids), 0), 0.0) for s, q in queries.items()}
+        held, now = [], None
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for s, at in _by_length(rows):
-                if (q := queries.get(s * 8)) is None:
-                    continue
-                low = q.middle(np.frombuffer(b"".join(rows[i] for i in at), np.int8).reshape(len(at), -1)) + q.down[:, None]
-                low[q.ids[:, None] == ids[at][None, :]] = -np.inf
-                low = np.concatenate((best[s * 8], low), axis=1)
-                best[s * 8] = -np.partition(-low, min(k, low.shape[1]) - 1, axis=1)[:, :k]
-        for s, q in queries.items():
-            got = best[s]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, got.shape[1])), pa.array(got.reshape(-1))], names=["query_id", "low"])
+            for page, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if page != now and held:
+                    yield batch_of(list(pack(now, held)))
+                    held = []
+                now = page
+                held.append(row)
+        if held:
+            yield batch_of(list(pack(now, held)))
+
+    dealt = store.select("page", "vec_id", "shift", "cells", "digest").repartition("page").sortWithinPartitions("page")
+    return dealt.mapInArrow(run, "page int, dims int, ids binary, shifts binary, cells binary")
+
+
+class _Bounds:
+    """Bounds of the products of a block of queries with the vectors of a page."""
+
+    def __init__(self, ids: bytes, shifts: bytes, cells: bytes, dims: int):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.unit = np.ldexp(1.0, np.frombuffer(shifts, np.int32).astype(np.int64))
+        self.low = np.frombuffer(cells, np.int8).reshape(-1, dims).astype(np.float64) * self.unit[:, None]
+
+    def of(self, qids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds, rounded outwards; a query's own id is bounded by minus infinity."""
+        at = q @ self.low.T
+        slack = 1e-12 * q.shape[1] * np.abs(q).sum(axis=1)[:, None] * (129 * self.unit)[None, :]
+        width = (self.unit - 1)[None, :]
+        low = at + np.minimum(q, 0).sum(axis=1)[:, None] * width - slack
+        high = at + np.maximum(q, 0).sum(axis=1)[:, None] * width + slack
+        own = qids[:, None] == self.ids[None, :]
+        low[own] = high[own] = -np.inf
+        return low, high
+
+
+def _meet(pages: DataFrame, blocks: DataFrame, n_pages: int, answer, schema: str) -> DataFrame:
+    """``answer(bounds by dims, block, ids, vectors, floors)`` of every page with every block of queries.
+
+    The blocks are dealt to all pages; a task holds one page and one block of
+    one vector length at a time.
+    """
+    none = F.lit(None).cast("binary")
+    left = pages.select("page", F.lit(0).alias("part"), F.lit(0).alias("block"), "dims", "ids", "shifts", "cells", none.alias("floors"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1))).alias("page")
+    right = blocks.select(every, F.lit(1).alias("part"), "block", "dims", "ids", none.alias("shifts"), F.col("vectors").alias("cells"), "floors")
+    dealt = left.unionAll(right).repartition("page").sortWithinPartitions("page", "part", "block")
 
-    return table.select("vec_id", "cells").mapInArrow(run, "query_id long, low double")
+    def run(batches):
+        now, have = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page, part, block, dims, ids, shifts, cells, floors = (c[i].as_py() for c in batch.columns)
+                if page != now:
+                    now, have = page, {}
+                if not part:
+                    have[dims] = _Bounds(ids, shifts, cells, dims)
+                elif dims in have:
+                    q = np.frombuffer(cells, np.float64).reshape(-1, dims)
+                    if (got := answer(have[dims], block, np.frombuffer(ids, np.int64), q, floors)) is not None:
+                        yield got
 
+    return dealt.mapInArrow(run, schema)
 
-def _refine(table: DataFrame, queries: dict[int, _Queries], floors: dict[int, np.ndarray], k: int) -> DataFrame:
-    """Each task's exact k best of each query, reading vectors in the order of their upper bounds."""
 
-    def run(batches):
-        top = {s: [[] for _ in q.ids] for s, q in queries.items()}
-        bound = {s: f.copy() for s, f in floors.items()}
-        for batch in batches:
-            ids, rows, exact = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for s, at in _by_length(rows):
-                if (q := queries.get(s * 8)) is None:
-                    continue
-                high = q.middle(np.frombuffer(b"".join(rows[i] for i in at), np.int8).reshape(len(at), -1)) + q.up[:, None]
-                high[q.ids[:, None] == ids[at][None, :]] = -np.inf
-                v = np.frombuffer(b"".join(exact[i] for i in at), np.int64).reshape(len(at), -1)
-                own = ids[at]
-                limit = bound[s * 8]
-                for r in np.flatnonzero((high >= limit[:, None]).any(axis=1)).tolist():
-                    may = np.flatnonzero(high[r] >= limit[r])
-                    may = may[np.argsort(-high[r][may], kind="stable")]
-                    for a in range(0, len(may), 256):
-                        part = may[a : a + 256]
-                        part = part[high[r][part] >= limit[r]]
-                        if not len(part):
-                            break  # the rest is bounded below the k-th result
-                        held = top[s * 8][r]
-                        held += zip((-_product(q.q[r], v[part])).tolist(), own[part].tolist())
-                        held.sort()
-                        del held[k:]
-                        if len(held) == k:
-                            limit[r] = max(limit[r], -held[-1][0])
-        for s, q in queries.items():
-            out = [(int(i), v, -p) for i, held in zip(q.ids, top[s]) for p, v in held]
-            if out:
-                a, b, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", "vec_id", "score"])
-
-    return table.select("vec_id", "cells", "v").mapInArrow(run, "query_id long, vec_id long, score long")
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK, page: int = PAGE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows of ``vectors`` for each of ``queries``.
 
     Both have ``vec_id, v`` from ``integer_vectors``. The score is the integer
     inner product; a query's own id is no candidate; ties go to the smaller
     vec_id; a query with fewer candidates gets all. Only vectors of the
-    query's length are candidates. Empty inputs give an empty result. Repeated
-    rows of vectors are ranked each; repeated queries are answered once.
+    query's length are candidates. Scores are ranked exactly at any size; one
+    that no long can hold is shown as the nearest long. Empty inputs give an
+    empty result. Repeated rows of vectors are ranked each; of queries that
+    share an id one is answered. Other columns are not read.
     """
     spark = vectors.sparkSession
-    size = vectors.select(F.max(F.length("v")).alias("n")).first()["n"]
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not size:
-        return spark.createDataFrame([], schema)
+    n = vectors.count()
+    n_pages = max(1, math.ceil(n / page))
 
-    def largest(batches):
+    def approximate(batches):
         for batch in batches:
-            m = [int(np.abs(np.frombuffer(r, np.int64)).max()) for r in batch.column(0).to_pylist()]
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array([max(m)], pa.int64())], names=["m"])
-
-    most = vectors.select("v").mapInArrow(largest, "m long").agg(F.max("m")).first()[0]
-    shift = max(0, math.ceil(math.log2((most + 1) / 128)))
-    store = stash(_approximate(vectors, shift))
-    asked = stash(queries.dropDuplicates(["vec_id"]))
-    n_blocks = max(1, math.ceil(asked.count() / (block * 0.8)))
-    parts = []
-    for b in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).collect()
-        own: dict[int, _Queries] = {}
-        for s in {len(r.v) for r in rows}:
-            some = [r for r in rows if len(r.v) == s]
-            own[s] = _Queries(np.array([r.vec_id for r in some]), np.frombuffer(b"".join(r.v for r in some), np.int64).reshape(len(some), -1), shift)
-        if not own:
-            continue
-        ranked = _floors(store, own, k).groupBy("query_id").agg(F.sort_array(F.collect_list("low"), asc=False).alias("low"))
-        floor = {r.query_id: r.low for r in ranked.select("query_id", F.get("low", F.lit(k - 1)).alias("low")).collect()}
-        floors = {s: np.array([-np.inf if floor.get(int(i)) is None else floor[int(i)] for i in q.ids]) for s, q in own.items()}
-        parts.append(_refine(store, own, floors, k))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order))
-    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            cells, shifts, digests = [], [], []
+            for b in batch.column(1).to_pylist():
+                c, s = cells_of(np.frombuffer(b, np.float64))
+                cells.append(c.tobytes())
+                shifts.append(s)
+                digests.append(hashlib.blake2b(b, digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shifts, pa.int32()), pa.array(cells, pa.binary()), pa.array(digests, pa.binary())], names=["vec_id", "v", "shift", "cells", "digest"])
+
+    store = vectors.select("vec_id", "v").mapInArrow(approximate, "vec_id long, v binary, shift int, cells binary, digest binary")
+    store = stash(store.withColumn("page", F.pmod(F.xxhash64("vec_id"), F.lit(n_pages)).cast("int")))
+    pages = stash(_pages(store, k))
+    asked = stash(queries.select("vec_id", "v").dropDuplicates(["vec_id"]))
+    n_blocks = max(1, math.ceil(asked.count() / block))
+    dims = (F.length("v") / 8).cast("int").alias("dims")
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")
+    rows = asked.select(own, dims, "vec_id", "v").groupBy("block", "dims").agg(F.collect_list(F.struct("vec_id", "v")).alias("r"))  # a block
+
+    def pack(batches):
+        for batch in batches:
+            ids, q = [], []
+            for r in batch.column(2).to_pylist():
+                ids.append(np.array([x["vec_id"] for x in r]).tobytes())
+                q.append(b"".join(x["v"] for x in r))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(q, pa.binary())], names=["block", "dims", "ids", "vectors"])
+
+    blocks = stash(rows.mapInArrow(pack, "block int, dims int, ids binary, vectors binary"))
+
+    def lows(bounds, block, ids, q, _):
+        low, _ = bounds.of(ids, q)
+        best = np.full((len(ids), k), -np.inf)
+        got = -np.partition(-low, k - 1, axis=1)[:, :k] if low.shape[1] > k else low
+        best[:, : got.shape[1]] = got
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([q.shape[1]], pa.int32()), pa.array([best.tobytes()], pa.binary())], names=["block", "dims", "lows"])
+
+    def floor(batches):
+        best: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for b, d, low in zip(*(c.to_pylist() for c in batch.columns)):
+                low = np.frombuffer(low).reshape(-1, k)
+                low = np.concatenate((best[b, d], low), axis=1) if (b, d) in best else low
+                best[b, d] = -np.partition(-low, k - 1, axis=1)[:, :k]
+        for (b, d), low in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([d], pa.int32()), pa.array([low.min(axis=1).tobytes()], pa.binary())], names=["block", "dims", "floors"])
+
+    first = _meet(pages, blocks.withColumn("floors", F.lit(None).cast("binary")), n_pages, lows, "block int, dims int, lows binary")
+    floors = first.repartition("block", "dims").mapInArrow(floor, "block int, dims int, floors binary")
+
+    def candidates(bounds, block, ids, q, floors):
+        _, high = bounds.of(ids, q)
+        # fewer than k vectors leave the floor at minus infinity, where a query's own id is too
+        at, which = np.nonzero((high >= np.frombuffer(floors)[:, None]) & np.isfinite(high))
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(bounds.ids[which]), pa.array(high[at, which])], names=["query_id", "vec_id", "high"])
+
+    found = _meet(pages, blocks.join(stash(floors), ["block", "dims"]), n_pages, candidates, "query_id long, vec_id long, high double")
+    # each exact vector is read for those queries only that it may answer; rows that share an id share their greatest bound
+    found = found.groupBy("query_id", "vec_id").agg(F.max("high").alias("high"))
+    exact = found.join(store.select("vec_id", "v"), "vec_id").select("query_id", "vec_id", "high", "v")
+    lead = asked.select(F.col("vec_id").alias("query_id"), F.lit(None).cast("long").alias("vec_id"), F.lit(float("inf")).alias("high"), "v")
+    dealt = lead.unionAll(exact).repartition("query_id").sortWithinPartitions("query_id", F.desc("high"), F.col("vec_id").asc_nulls_first())
+
+    def certain(batches):
+        now, q, held, done = None, None, [], False
+
+        def out():
+            rows = [(now, r + 1, i, max(min(-s, _LONG - 1), -_LONG)) for r, (s, i) in enumerate(held)]
+            a, b, c, d = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            vec = batch.column(3)
+            for n, (i, j, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if j is None:
+                    if held:
+                        yield out()
+                    now, q, held, done = i, np.frombuffer(vec[n].as_py(), np.float64), [], False
+                    continue
+                done = done or len(held) == k and high < -held[-1][0]
+                if done:
+                    continue  # the rest is bounded below the k-th result
+                v = np.frombuffer(vec[n].as_py(), np.float64)
+                if len(v) == len(q):
+                    held.append((-product(q, v), j))
+                    held.sort()
+                    del held[k:]
+        if held:
+            yield out()
+
+    return dealt.mapInArrow(certain, "query_id long, rank int, vec_id long, score long")
