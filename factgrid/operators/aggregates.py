@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import amount, decimals, field
@@ -12,13 +12,36 @@ from ..functions.questions import parse
 QUESTIONS_PER_SCAN = 200
 
 
-def _conditions(q, fields: str):
+def mentions(entity: str, text: str = "text") -> Column:
+    """Whether a record holds a name, in any case."""
+    return F.contains(F.lower(text), F.lit(entity.lower()))
+
+
+def beyond(value: Column, bound, below: bool = False) -> Column:
+    """Whether an amount lies above a bound, or below it."""
+    bound = F.lit(bound)
+    return (value < bound) if below else (value > bound)
+
+
+#: Fields that a question may filter by.
+FILTERS = ("Status", "Trend", "Region")
+
+
+def _read_once(entries: DataFrame, names: list[str], fields: str) -> DataFrame:
+    """What questions look at: the text and filter fields in lower case, and each asked field's amount with its digits."""
+    cols = [F.lower("text").alias("__text")] + [F.lower(F.coalesce(field(fields, f), F.lit(""))).alias(f"__{f}") for f in FILTERS]
+    for k, name in enumerate(names):
+        cols += [amount(field(fields, name), 6).alias(f"__v{k}"), decimals(field(fields, name)).alias(f"__d{k}")]
+    return entries.select(*cols)
+
+
+def _conditions(q):
     test = F.lit(True)
-    for name, value in (("Status", q.status), ("Trend", q.trend), ("Region", q.region)):
+    for name, value in zip(FILTERS, (q.status, q.trend, q.region)):
         if value is not None:
-            test = test & (F.lower(F.coalesce(field(fields, name), F.lit(""))) == value.lower())
+            test = test & (F.col(f"__{name}") == value.lower())
     if q.entity is not None:
-        test = test & F.contains(F.lower("text"), F.lit(q.entity))
+        test = test & F.contains("__text", F.lit(q.entity))
     return test
 
 
@@ -49,26 +72,25 @@ def answer_aggregates(entries: DataFrame, questions: DataFrame, fields: str = "f
     rows, group = [], []
 
     def scan(group):
-        aggs = []
+        aggs, names = [], sorted({q.field for q in group if q.field is not None})
         for i, q in enumerate(group):
-            hit = _conditions(q, fields)
+            hit = _conditions(q)
             if q.entity is not None:
-                aggs.append(F.coalesce(F.bool_or(F.contains(F.lower("text"), F.lit(q.entity))), F.lit(False)).alias(f"there_{i}"))
+                aggs.append(F.coalesce(F.bool_or(F.contains("__text", F.lit(q.entity))), F.lit(False)).alias(f"there_{i}"))
             if q.field is None:
                 aggs.append(F.count(F.when(hit, 1)).alias(f"n_{i}"))
                 continue
-            raw = field(fields, q.field)
-            v = amount(raw, 6)
+            v, digits = (F.col(f"__{x}{names.index(q.field)}") for x in "vd")
             if q.bound is not None:
-                hit = hit & ((v < F.lit(q.bound)) if q.below else (v > F.lit(q.bound)))
+                hit = hit & beyond(v, q.bound, q.below)
             v = F.when(hit, v)
-            aggs += [F.count(v).alias(f"n_{i}"), F.max(F.when(v.isNotNull(), decimals(raw))).alias(f"scale_{i}")]
+            aggs += [F.count(v).alias(f"n_{i}"), F.max(F.when(v.isNotNull(), digits)).alias(f"scale_{i}")]
             if q.operation in ("sum", "avg"):
                 aggs.append(F.sum(v).alias(f"v_{i}"))
             elif q.operation in ("max", "min"):
                 best = F.max if q.operation == "max" else F.min
-                aggs += [best(v).alias(f"v_{i}"), (F.max_by if q.operation == "max" else F.min_by)(decimals(raw), v).alias(f"own_{i}")]
-        got = entries.agg(*aggs).first()
+                aggs += [best(v).alias(f"v_{i}"), (F.max_by if q.operation == "max" else F.min_by)(digits, v).alias(f"own_{i}")]
+        got = _read_once(entries, names, fields).agg(*aggs).first()
         for i, q in enumerate(group):
             if q.entity is not None and not got[f"there_{i}"]:
                 continue
@@ -100,10 +122,10 @@ def _shown(operation, name, got, i, n):
 
 
 def sentence(row) -> str:
-    """An aggregate answer as a cited sentence."""
-    end = "Computed deterministically from the index; no language model involved."
+    """An aggregate answer as a sentence that names its filter."""
+    end = "This is a calculation over the records themselves."
     if row.field is None:
-        return f"Count of records ({row.filters}): {row.value}\n{end}"
+        return f"{row.value} records ({row.filters})\n{end}"
     if row.value is None:
-        return f"No records with a {row.field} value match ({row.filters}); nothing to compute."
+        return f"No {row.field} is given in the records asked for ({row.filters})."
     return f"{row.operation} of {row.field} over {row.record_count} records ({row.filters}): {row.value}\n{end}"

@@ -6,7 +6,7 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "id long, ts string, payload string, prev_sha256 string, event_sha256 string"
@@ -14,32 +14,78 @@ FIELDS = ("ts", "principal", "policy", "question", "answer_path", "refused", "po
 
 
 class AuditLog:
-    """A single writer appends; anybody may read and verify in parallel.
+    """Writers append; anybody may read and verify in parallel.
 
     The chain is sequential by nature, so ``record`` is a driver-side append of
-    one row. The canonical payload is stored, so no reader must rebuild it.
-    Removal at the tail shows only against an anchored head.
+    one row. A number is taken by creating the head file of that number, which
+    fails if another writer has it: two writers cannot fork the chain. The head
+    file holds its event, so that an event whose row was not written before a
+    crash is written by the next writer. The canonical payload is stored, so no
+    reader must rebuild it. Removal at the tail shows only against an anchored
+    head.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._head: tuple[int, str] | None = None  # number and hash of the last event known here
 
     def events(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/events")
         except Exception as e:  # nothing was recorded yet
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], SCHEMA)
             raise
 
+    # -- heads -------------------------------------------------------------
+    def _fs(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/heads")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _file(self, n: int):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/heads/{n:019d}")
+
+    def _append(self, row: list) -> None:
+        self.spark.createDataFrame([tuple(row)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+
+    def _read_head(self) -> tuple[int, str]:
+        """The last event by the head files, of which a few are kept; its row is written if it is missing."""
+        fs, at = self._fs()
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        if not names:
+            return 0, ""
+        row = json.loads(self.spark.read.text(f"{self.path}/heads/{names[-1]}").first().value)
+        if self.events().where(F.col("id") == row[0]).isEmpty():
+            self._append(row)
+        return row[0], row[4]
+
+    def _take(self, row: list) -> bool:
+        """Create the head file of the row's number, unless it is there."""
+        fs, _ = self._fs()
+        try:
+            out = fs.create(self._file(row[0]), False)
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+        if row[0] > 2:
+            fs.delete(self._file(row[0] - 2), False)
+        return True
+
     def record(self, event: dict) -> int:
-        head = self.events().agg(F.max_by(F.struct("id", "event_sha256"), "id").alias("h")).first().h
-        n, prev = (head.id + 1, head.event_sha256) if head else (1, "")
-        body = {"ts": datetime.now(UTC).isoformat(timespec="milliseconds")} | event
-        payload = json.dumps([body.get(k) for k in FIELDS])
-        own = hashlib.sha256((payload + prev).encode()).hexdigest()
-        self.spark.createDataFrame([(n, body["ts"], payload, prev, own)], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
-        return n
+        while True:
+            n, prev = self._head or self._read_head()
+            body = {"ts": datetime.now(UTC).isoformat(timespec="milliseconds")} | event
+            payload = json.dumps([body.get(k) for k in FIELDS])
+            own = hashlib.sha256((payload + prev).encode()).hexdigest()
+            row = [n + 1, body["ts"], payload, prev, own]
+            if self._take(row):
+                self._append(row)
+                self._head = (n + 1, own)
+                return n + 1
+            self._head = None  # another writer was first
 
     def last(self, n: int = 50) -> DataFrame:
         return newest(self.events(), n)
@@ -54,20 +100,30 @@ def newest(events: DataFrame, n: int = 50, key: str = "id") -> DataFrame:
     return events.orderBy(F.desc(key)).limit(n).orderBy(key)
 
 
-def broken_links(events: DataFrame, runs: int = 64) -> DataFrame:
+def broken_links(events: DataFrame, own: Column | None = None, per_range: int = 1_000_000) -> DataFrame:
     """Events whose own hash, or whose link to the event before, is wrong.
 
-    Only the last event of each id range needs its neighbour in another range:
-    ranges are checked by themselves and their edges joined, so no task sees
-    the whole log.
+    ``own`` is the hash an event should have (by default that of its payload
+    and the hash before). Only the last event of each range of ids needs its
+    neighbour in another range: ranges of ``per_range`` ids are checked by
+    themselves and their edges joined, so no task sees the whole log.
     """
-    span = events.agg(F.min("id").alias("lo"), (F.max("id") - F.min("id") + 1).alias("n"))
-    e = events.crossJoin(F.broadcast(span)).withColumn("run", F.floor((F.col("id") - F.col("lo")) * runs / F.col("n")))  # one row
+    own = F.sha2(F.concat("payload", "prev_sha256"), 256) if own is None else own
+    e = events.withColumn("run", F.floor(F.col("id") / per_range))
     in_run = Window.partitionBy("run").orderBy("id")
     e = e.withColumn("before", F.lag("event_sha256").over(in_run))
     tails = e.groupBy("run").agg(F.max_by("event_sha256", "id").alias("tail"))
     chain = tails.withColumn("edge", F.lag("tail").over(Window.orderBy("run"))).select("run", "edge")  # one row a range
-    e = e.join(F.broadcast(chain), "run")
+    e = e.join(chain, "run")
     expected = F.coalesce("before", "edge", F.lit(""))
-    own = F.sha2(F.concat("payload", "prev_sha256"), 256)
     return e.where((F.col("prev_sha256") != expected) | (F.col("event_sha256") != own)).select("id")
+
+
+def changed_records(events: DataFrame, entries: DataFrame) -> DataFrame:
+    """``event_id, id``: cited records whose text is no longer the one that was hashed, or that are gone."""
+    ids, hashes = (F.from_json(F.get_json_object("payload", f"$[{FIELDS.index(f)}]"), "array<string>") for f in ("record_ids", "record_hashes"))
+    cited = events.select(F.col("id").alias("event_id"), F.explode(F.arrays_zip(ids.alias("id"), hashes.alias("h"))).alias("c")).select("event_id", "c.id", "c.h")
+    now = entries.select("id", F.sha2("text", 256).alias("now"))
+    # an id that several records share is unchanged if one of them is the cited one
+    same = cited.join(now, "id", "left").groupBy("event_id", "id", "h").agg(F.max((F.col("now") == F.col("h")).cast("int")).alias("same"))
+    return same.where(F.coalesce("same", F.lit(0)) == 0).select("event_id", "id")

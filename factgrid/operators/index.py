@@ -45,20 +45,46 @@ def known_entities(entries: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array_union(F.transform(values, F.lower), F.transform(id_tokens("text"), F.lower))).alias("name")).distinct()
 
 
+def _log(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_log")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, at, sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_log(spark, path)[2])
+
+
 def save(entries: DataFrame, path: str, dimensions: int = 10_000, encoding: str = "v1") -> None:
-    """Write a new version beside the old ones, then move the pointer to it."""
+    """Write a new version beside the old ones, then enter it in the log under the next number.
+
+    A number is taken by creating its file, which fails if another writer was
+    first; the greatest number is the current version.
+    """
     spark = entries.sparkSession
     version = uuid.uuid4().hex
     entries.write.parquet(f"{path}/data-{version}")
     count = spark.read.parquet(f"{path}/data-{version}").count()
     meta = json.dumps({"schema_version": 1, "dimensions": dimensions, "encoding": encoding, "entry_count": count, "version": version})
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("append").text(f"{path}/_meta-log")
+    while True:
+        fs, at, names = _log(spark, path)
+        try:
+            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(at, f"{int(names[-1]) + 1 if names else 0:010d}"), False)
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                continue
+            raise
+        out.write(bytearray(meta.encode()))
+        out.close()
+        return
 
 
 def load(spark: SparkSession, path: str, dimensions: int = 10_000, encoding: str = "v1") -> DataFrame:
-    """The version last pointed at; a wrong dimension, encoding or count is an error."""
-    log = spark.read.text(f"{path}/_meta-log").select("value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("p"))
-    meta = json.loads(log.orderBy(F.desc("at"), F.desc("p")).first().value)
+    """The current version; a wrong dimension, encoding or count is an error."""
+    _, _, names = _log(spark, path)
+    if not names:
+        raise ValueError(f"no index at {path}")
+    meta = json.loads(spark.read.text(f"{path}/_log/{names[-1]}").first().value)
     entries = spark.read.parquet(f"{path}/data-{meta['version']}")
     if meta["dimensions"] != dimensions or meta["encoding"] != encoding:
         raise ValueError(f"index of {meta['dimensions']} dimensions, encoding {meta['encoding']}")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.records import number_rows
+from .search import holding
+
 
 def retrieval_quality(expected: DataFrame, ranked: DataFrame, k: int = 5) -> DataFrame:
     """``recall, mrr, n`` of ``expected (query_id, id)`` in ``ranked (query_id, id, rank)``."""
@@ -19,13 +22,19 @@ def overlap(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
 
 
 def latency(df: DataFrame, value: str) -> DataFrame:
-    """``mean, median, p95, n``; p95 is the element at place floor(0.95 * (n - 1)) of the sorted values."""
-    stats = df.agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.count(value).alias("n")).first()
-    if not stats.n:
-        return df.sparkSession.createDataFrame([], "mean double, median double, p95 double, n long")
-    place = int(0.95 * (stats.n - 1))
-    p95 = df.agg(F.expr(f"percentile_disc({(place + 1) / stats.n!r}) WITHIN GROUP (ORDER BY {value})")).first()[0]
-    return df.sparkSession.createDataFrame([(stats["mean"], stats.median, p95, stats.n)], "mean double, median double, p95 double, n long")
+    """``mean, median, p95, n``; p95 is the element at place floor(0.95 * (n - 1)) of the sorted values. No values, no row.
+
+    Values are sorted by range, so that each has its place without one task
+    seeing all of them; only those at the wanted places are read for a figure.
+    """
+    own = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    placed = number_rows(own.orderBy("v").withColumn("__at", F.monotonically_increasing_id()), "__at").withColumnRenamed("n", "place")
+    one = placed.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    last, at = F.col("n") - 1, F.col("place")
+    low, high, far = F.floor(last / 2), F.ceil(last / 2), F.floor(F.lit(0.95) * last)
+    few = placed.crossJoin(F.broadcast(one)).where(at.isin(low, high, far))  # one row
+    out = few.groupBy("n", "mean").agg(F.avg(F.when(at.isin(low, high), F.col("v"))).alias("median"), F.max(F.when(at == far, F.col("v"))).alias("p95"))
+    return out.select("mean", "median", "p95", "n")
 
 
 def rates(df: DataFrame, flags: list[str]) -> DataFrame:
@@ -44,5 +53,6 @@ def misses(judged: DataFrame) -> DataFrame:
 
 
 def leaks(outputs: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """``query_id, value``: outputs (query_id, text) that hold a forbidden value (value)."""
-    return outputs.join(forbidden, F.contains(F.lower("text"), F.lower("value"))).select("query_id", "value").distinct()
+    """``query_id, value``: outputs (query_id, text) that hold a forbidden value (value), in any case."""
+    named = forbidden.select("value", F.lower("value").alias("name")).where("name <> ''").distinct()
+    return holding(outputs.select("query_id", F.lower("text").alias("q")), named, "query_id").join(named, "name").select("query_id", "value").distinct()

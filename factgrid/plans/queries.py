@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import questions as qx
 from ..operators import aggregates, audit, index, metrics, policy, search, verified
 from ..sources import generators, records
 from ..sources.records import AccessPolicy
+from ..storage import stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,7 +94,17 @@ def prj04_redact(spark, sf_dir):
 
 @query(f"WITH {E_SQL} SELECT id, {TEXT} || chr(10) || 'Source: ' || id AS answer FROM e")
 def prj05_template(spark, sf_dir):
-    return order_entries(spark, sf_dir).select("id", F.replace(F.replace(F.lit(verified.TEMPLATE), F.lit("{source}"), F.col("id")), F.lit("{summary}"), F.col("text")).alias("answer"))
+    return order_entries(spark, sf_dir).select("id", verified.filled(verified.TEMPLATE, F.col("text"), F.col("id")).alias("answer"))
+
+
+@query("SELECT p_name AS id, p_name || chr(10) || 'Brand: ' || p_brand AS text, p_brand AS tag, 'Tell me about ' || p_name AS instruction, 'Brand: ' || p_brand AS output FROM part")
+def prj05_formats(spark, sf_dir):
+    """Records as retrieval entries and as training rows."""
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.concat(F.lit("Brand: "), "p_brand").alias("content"), F.array("p_brand").alias("tags"))
+    both = p.withColumn("r", F.struct("title", "content", "tags"))
+    entry = records.retrieval_format(both.select("r.*")).select("id", "text", F.get("tags", F.lit(0)).alias("tag")).distinct()
+    train = records.training_format(both.select("r.*"), "Tell me about {title}").select(F.substring_index("instruction", "about ", -1).alias("id"), "instruction", "output", F.substring_index("output", ": ", -1).alias("tag"))
+    return train.join(entry, ["id", "tag"]).select("id", "text", "tag", "instruction", "output")
 
 
 @query(f"WITH {E_SQL} SELECT id FROM e WHERE status = 'open' AND region IN ('ASIA', 'EUROPE')")
@@ -102,13 +114,13 @@ def flt01_equal(spark, sf_dir):
 
 @query(f"WITH {E_SQL} SELECT id FROM e WHERE contains(lower({TEXT}), 'customer_00000001')")
 def flt02_entity(spark, sf_dir):
-    return order_entries(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("customer_00000001"))).select("id")
+    return order_entries(spark, sf_dir).where(aggregates.mentions("Customer_00000001")).select("id")
 
 
 @query(f"WITH {E_SQL} SELECT id, amount > 250000.5 AS over, amount < 1000 AS under FROM e WHERE amount > 250000.5 OR amount < 1000")
 def flt03_threshold(spark, sf_dir):
     v = fx.amount(fx.field("fields", "Amount"))
-    return order_entries(spark, sf_dir).select("id", (v > F.lit(250000.5).cast("decimal(38,2)")).alias("over"), (v < 1000).alias("under")).where("over or under")
+    return order_entries(spark, sf_dir).select("id", aggregates.beyond(v, Decimal("250000.5")).alias("over"), aggregates.beyond(v, 1000, below=True).alias("under")).where("over or under")
 
 
 EU = AccessPolicy("eu", {"Region": frozenset({"Europe"})}, frozenset({"amount"}))
@@ -156,9 +168,11 @@ def agg08_questions(spark, sf_dir):
 
 @query(f"WITH {E_SQL} SELECT CAST(sum(amount) AS DECIMAL(38,2)) AS total, count(*) AS n, max(amount) AS most, CAST(round(CAST(sum(amount) AS DECIMAL(38,6)) / count(*), 2) AS DECIMAL(38,2)) AS mean FROM e WHERE status = 'open'")
 def agg03_open_orders(spark, sf_dir):
-    v = fx.amount(fx.field("fields", "Amount"))
-    e = order_entries(spark, sf_dir).where(F.lower(fx.field("fields", "Status")) == "open")
-    return e.agg(F.sum(v).cast("decimal(38,2)").alias("total"), F.count(v).alias("n"), F.max(v).cast("decimal(18,2)").alias("most"), F.round(F.sum(v).cast("decimal(38,6)") / F.count(v), 2).cast("decimal(38,2)").alias("mean"))
+    """Four questions about the open orders, answered in one scan."""
+    asked = _questions(spark, [f"What is the {w} amount of all open orders?" for w in ("total", "highest", "average")] + ["How many open orders with an amount are there?"])
+    told = aggregates.answer_aggregates(order_entries(spark, sf_dir), asked)
+    of = lambda name, kind: F.max(F.when(F.col("operation") == name, F.replace("value", F.lit(","), F.lit("")))).cast(kind)
+    return told.agg(of("sum", "decimal(38,2)").alias("total"), of("count", "long").alias("n"), of("max", "decimal(18,2)").alias("most"), of("avg", "decimal(38,2)").alias("mean"))
 
 
 @query(f"WITH {E_SQL}, g AS (SELECT customer AS entity, list_sort(list_distinct(list(status))) AS v FROM e GROUP BY 1) SELECT entity, array_to_string(v, ',') AS vals, CAST(len(v) AS INTEGER) AS n_values FROM g WHERE len(v) > 1")
@@ -172,12 +186,9 @@ def agg09_conflicts(spark, sf_dir):
   v AS (SELECT doc_id, i, sum(k * ((h >> i) & 1)) AS s FROM c JOIN b USING (w), range(32) r(i) GROUP BY ALL)
   SELECT v.doc_id, CAST(sum(CASE WHEN 2 * s > n THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS bits FROM v JOIN n USING (doc_id) GROUP BY 1""")
 def agg10_majority(spark, sf_dir):
-    """Majority vote over 32 token bits, the SQL twin of the 10,000-bit bundle."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(fx.words("text")).alias("w"))
-    c = t.groupBy("doc_id", "w").agg(F.count("*").alias("k")).withColumn("h", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long"))
-    votes = c.groupBy("doc_id").agg(F.sum("k").alias("n"), *[F.sum(F.col("k") * F.shiftright("h", i).bitwiseAND(1)).alias(f"s{i}") for i in range(32)])
-    bits = sum((F.when(2 * F.col(f"s{i}") > F.col("n"), 1 << i).otherwise(0).cast("long") for i in range(1, 32)), F.when(2 * F.col("s0") > F.col("n"), 1).otherwise(0).cast("long"))
-    return votes.select("doc_id", bits.alias("bits"))
+    """The bundling operator with short token vectors, which SQL can make, too."""
+    hv = search.encode(table(spark, sf_dir, "documents").select("doc_id", "text").where(F.size(fx.words("text")) > 0), encoding="md5-32")
+    return hv.select("doc_id", F.conv(F.hex("hv"), 16, 10).cast("long").alias("bits"))
 
 
 @query(f"WITH {E_SQL} SELECT DISTINCT lower(customer) AS name FROM e UNION SELECT lower(id) FROM e")
@@ -295,10 +306,11 @@ def jn06_names(spark, sf_dir):
     return verified.mentioned(p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("question")), vocabulary)
 
 
-@query(f"WITH {E_SQL} SELECT pos AS query_id, customer AS value FROM e WHERE region = 'ASIA' AND customer IN (SELECT replace(c_name, '#', '_') FROM customer WHERE c_custkey % 20 = 0)")
+@query(f"WITH {E_SQL} SELECT pos AS query_id, customer AS value FROM e WHERE region = 'ASIA'")
 def jn09_leaks(spark, sf_dir):
+    """All customer names looked for in all orders of a region."""
     out = order_entries(spark, sf_dir).where(fx.field("fields", "Region") == "ASIA").select(F.col("pos").alias("query_id"), "text")
-    secret = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.replace("c_name", F.lit("#"), F.lit("_")).alias("value"))
+    secret = table(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("#"), F.lit("_")).alias("value"))
     return metrics.leaks(out, secret)
 
 
@@ -315,11 +327,7 @@ def _chain(spark, sf_dir):
   SELECT id FROM (SELECT id, prev, own, payload, coalesce(lag(own) OVER (ORDER BY id), '') AS before FROM c) WHERE prev <> before OR sha256(payload) <> own""")
 def win01_chain(spark, sf_dir):
     """Broken places of a linked log (here an event's hash covers its own payload)."""
-    links = _chain(spark, sf_dir)
-    order = Window.partitionBy(F.floor(F.col("id") / 4096)).orderBy("id")
-    edge = links.groupBy((F.floor(F.col("id") / 4096) + 1).alias("run")).agg(F.max_by("event_sha256", "id").alias("edge"))
-    e = links.withColumn("before", F.lag("event_sha256").over(order)).withColumn("run", F.floor(F.col("id") / 4096)).join(edge, "run", "left")
-    return e.where((F.col("prev_sha256") != F.coalesce("before", "edge", F.lit(""))) | (F.sha2("payload", 256) != F.col("event_sha256"))).select("id")
+    return audit.broken_links(_chain(spark, sf_dir), own=F.sha2("payload", 256), per_range=4096)
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
@@ -346,13 +354,13 @@ def scl08_parse(spark, sf_dir):
     return qx.parse(_questions(spark)).select(F.col("query_id").cast("int").alias("query_id"), "operation", "field", "status", "bound", "entity")
 
 
-@query("SELECT o_orderkey AS pos, 1 AS n FROM orders WHERE o_orderkey % 200 < 100")
+@query("SELECT o_orderkey AS pos, CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 1 AS DECIMAL(38,2)) AS invented FROM orders")
 def set02_grounding(spark, sf_dir):
-    """Answers with one invented figure: exactly that figure is found (for places below 100)."""
-    e = order_entries(spark, sf_dir).where("pos % 200 < 100")
+    """Answers with one invented figure: that figure alone is found (others are the record's own, or too small to matter)."""
+    e = order_entries(spark, sf_dir)
     v = fx.amount(fx.field("fields", "Amount"))
-    answer = F.concat(F.lit("Paid "), fx.field("fields", "Amount"), F.lit(" of "), (v + 1).cast("decimal(18,2)").cast("string"), F.lit(" ("), (F.col("pos") % 200).cast("string"), F.lit(")"))
-    return e.select("pos", F.size(fx.ungrounded(answer, F.col("text"), F.lit(""))).alias("n"))
+    answer = F.concat(F.lit("Paid "), fx.field("fields", "Amount"), F.lit(" of "), (v + 1).cast("decimal(18,2)").cast("string"), F.lit(" ("), (F.col("pos") % 100).cast("string"), F.lit(")"))
+    return e.select("pos", F.array_join(fx.ungrounded(answer, F.col("text"), F.lit("")), " ").cast("decimal(38,2)").alias("invented"))
 
 
 @query("SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{m}')" for m in fx.AGGREGATION_MARKERS) + " AS marked FROM conversations")
@@ -380,8 +388,8 @@ def set03_overlap(spark, sf_dir):
 
 @query(f"WITH {E_SQL} SELECT DISTINCT customer FROM e WHERE region = 'EUROPE' EXCEPT SELECT customer FROM e WHERE status = 'open'")
 def set05_difference(spark, sf_dir):
-    e = order_entries(spark, sf_dir).select(fx.field("fields", "Customer").alias("customer"), fx.field("fields", "Region").alias("region"), fx.field("fields", "Status").alias("status"))
-    return e.where("region = 'EUROPE'").select("customer").distinct().join(e.where("status = 'open'").select("customer"), "customer", "left_anti")
+    e = order_entries(spark, sf_dir).select(fx.field("fields", "Customer").alias("id"), fx.field("fields", "Region").alias("region"), fx.field("fields", "Status").alias("status"))
+    return index.delete(e.where("region = 'EUROPE'").select("id").distinct(), e.where("status = 'open'")).select(F.col("id").alias("customer"))
 
 
 @query(f"""WITH {E_SQL}, q AS (SELECT pos, customer, status FROM e), g AS (SELECT customer, list_sort(list_distinct(list(status))) AS v FROM q WHERE customer IN (SELECT replace(c_name, '#', '_') FROM customer WHERE c_custkey < 40) GROUP BY 1)
@@ -394,7 +402,8 @@ def ver01_answers(spark, sf_dir):
     # as many hits as the customer with most records has, so that no record is left out
     most = e.groupBy("c").count().agg(F.max("count")).first()[0] or 1
     hits = search.bm25_top_k(e.select(F.col("pos").alias("doc_id"), "text"), q.withColumnRenamed("question", "text"), most)
-    ranked = hits.withColumnRenamed("doc_id", "pos").join(e.select("pos", "id", "text"), "pos").select("query_id", "rank", "id", "text", "score")
+    ranked = hits.withColumnRenamed("doc_id", "pos").join(e.select("pos", "id", "text"), "pos")
+    ranked = stash(ranked.select("query_id", "rank", "id", "text", "score"))  # read several times
     return verified.answer_verified(q, ranked, e.select("pos", "id", "text"), e.select(F.lower("c").alias("name")).distinct()).select("query_id", "path", F.array_join("values", ",").alias("vals"))
 
 
@@ -412,10 +421,66 @@ def src06_generate(spark, sf_dir):
 
 
 @query()
+def src07_profile(spark, sf_dir):
+    """Records of an industry profile."""
+    profile = {
+        "name": "freight", "entities": {"Load": {"prefix": "Load_", "count": 300}, "Haulier": {"prefix": "Haulier_", "count": 40}},
+        "record_types": [
+            {"type": "Load", "entity": "Load", "weight": 0.7, "tags": ["load"], "fields": [{"name": "Haulier", "kind": "entity", "ref": "Haulier"}, {"name": "Weight", "kind": "int", "min": 5, "max": 900}, {"name": "Arrival", "kind": "date", "years": [2025]}]},
+            {"type": "Freight Bill", "title": "Freight Bill {entity}", "entity": "Haulier", "weight": 0.3, "fields": [{"name": "Amount", "kind": "money", "min": 10, "max": 5000}, {"name": "Status", "kind": "choice", "values": ["open", "paid"]}, {"name": "Discount", "kind": "percent", "max": 9}]},
+        ],
+    }
+    return generators.profile_records(spark, profile, 5000)
+
+
+def invoice_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as invoices, whose titles have a customer, a month and a year."""
+    o = table(spark, sf_dir, "orders").withColumn("when", F.date_format("o_orderdate", "MMM yyyy"))
+    e = order_entries(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("pos"), "when"), "pos")
+    return e.withColumn("id", F.concat(F.lit("Invoice "), fx.field("fields", "Customer"), F.lit(" "), "when"))
+
+
+@query(f"""WITH {E_SQL}, i AS (SELECT customer, strftime(o_orderdate, '%b %Y') AS w, {MONEY} AS money, status FROM e JOIN orders ON pos = o_orderkey)
+  SELECT 'What is the amount of the invoice of ' || customer || ' for ' || w || '?' AS instruction, '' AS input, 'The invoice of ' || customer || ' for ' || w || ' comes to an amount of ' || money || '; its status is ' || status || '.' AS output FROM i UNION ALL
+  SELECT 'Which status has the invoice of ' || customer || ' for ' || w || '?', '', 'The status of this invoice is ' || status || '.' FROM i""")
 def scl30_training(spark, sf_dir):
-    return generators.training_pairs(order_entries(spark, sf_dir))
+    return generators.training_pairs(invoice_entries(spark, sf_dir))
 
 
 @query()
 def scl31_style(spark, sf_dir):
-    return generators.style_pairs(order_entries(spark, sf_dir), {"status": "state", "amount": "value"}, "{summary}\nSource: {source}")
+    return generators.style_pairs(invoice_entries(spark, sf_dir), {"status": "state", "amount": "value"}, "{summary}\nSource: {source}")
+
+
+_WORDS = "SELECT item_id, w, CAST(generate_subscripts(w, 1) AS BIGINT) - 1 AS i, unnest(w) AS x FROM (SELECT item_id, string_split_regex(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\x0B\\f\\r]+') AS w FROM benchmark)"
+
+
+@query(f"WITH t AS ({_WORDS}), d AS (SELECT item_id, x, md5('42|' || item_id || '|' || i) AS d FROM t) SELECT item_id, string_agg(x, ' ' ORDER BY d) AS text FROM d GROUP BY 1")
+def scl25_shuffled(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", generators.shuffled(F.trim(F.col("text")), "item_id").alias("text"))
+
+
+@query(f"""WITH t AS ({_WORDS}), d AS (SELECT item_id, i, x, length(x) AS n, CAST('0x' || substr(md5('42|' || item_id || '|' || i), 1, 8) AS BIGINT) AS h FROM t),
+  a AS (SELECT *, CAST(2 + (h // 1000) % greatest(n - 2, 1) AS INTEGER) AS k FROM d),
+  s AS (SELECT item_id, i, CASE WHEN n > 3 AND h % 1000 < 600 AND NOT regexp_full_match(x, '[A-Za-z]+_[A-Za-z0-9]+|[A-Za-z]+(-[A-Za-z0-9]*[0-9][A-Za-z0-9]*)+') THEN substr(x, 1, k - 1) || substr(x, k + 1, 1) || substr(x, k, 1) || substr(x, k + 2) ELSE x END AS x FROM a)
+  SELECT item_id, string_agg(x, ' ' ORDER BY i) AS text FROM s GROUP BY 1""")
+def scl25_typos(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", generators.with_typos(F.trim(F.col("text")), "item_id").alias("text"))
+
+
+@query()
+def scl26_paraphrases(spark, sf_dir):
+    """A question in other words about each order that is rendered as an invoice."""
+    return generators.paraphrases(invoice_entries(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+  d AS (SELECT q.vec_id AS query_id, v.vec_id AS pos, list_transform(list_zip(q.b, v.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END) AS x FROM v q, v WHERE q.vec_id % 50 = 0),
+  s AS (SELECT query_id, pos, CAST(list_sum(x) AS BIGINT) AS distance, list_sum(list_concat(x[1:8], x[33:40])) AS near FROM d),
+  c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY near, pos) <= 100),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, pos) AS rank FROM c) SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, distance FROM r WHERE rank <= 5""")
+def top03_sketch(spark, sf_dir):
+    """Nearest by whole vectors among the hundred nearest by two of eight bytes."""
+    e = _signs(spark, sf_dir)
+    q = e.where("pos % 50 = 0").select(F.col("pos").alias("query_id"), "hv")
+    return search.sketch_top_k(e, q, 5, candidates=100, every=4, bits=64).select("query_id", "rank", "pos", "distance")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import index
 from ..operators.audit import AuditLog
+from .engine import Engine, Settings, prepared
 
 SLUG = re.compile(r"[a-z0-9][a-z0-9_-]{0,63}")
 
@@ -23,7 +24,12 @@ class Tenants:
         return str(PurePosixPath(self.root) / name / part) if "://" not in self.root else f"{self.root}/{name}/{part}"
 
     def create(self, name: str, entries: DataFrame) -> None:
-        index.save(entries, self.path(name, "index"))
+        """Save the entries with their vectors, which no question makes again."""
+        index.save(prepared(entries), self.path(name, "index"))
+
+    def engine(self, name: str, settings: Settings | None = None, **given) -> Engine:
+        """The tenant's engine, over its own index and with its own log."""
+        return Engine.open(self.spark, self.path(name, "index"), settings=settings, audit=self.audit(name), **given)
 
     def entries(self, name: str) -> DataFrame:
         return index.load(self.spark, self.path(name, "index"))

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import stash
+
 
 def entries_from_records(records: DataFrame, id_column: str | None = None, text_columns: list[str] | None = None, tag_columns: list[str] | None = None) -> DataFrame:
     """Render each row; NULL and empty values give no line.
@@ -31,23 +33,25 @@ def entries_from_records(records: DataFrame, id_column: str | None = None, text_
 
 
 def number_rows(df: DataFrame, order: str) -> DataFrame:
-    """Add ``n`` = 0, 1, … without one task seeing all rows.
+    """Replace ``order`` by ``n`` = 0, 1, …, without a shuffle of the rows.
 
-    ``order`` is a monotonically increasing id: its high bits are the partition,
-    so only the counts per partition pass through a single window.
+    ``order`` is a monotonically increasing id: its high bits are the partition
+    and its low 33 bits the place there, so only the counts per partition pass
+    through a single window. The ids are not the same if they are made twice,
+    so the rows are written once.
     """
+    df = stash(df)
     part = F.shiftright(order, 33)
     sizes = df.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__first"))
     numbered = df.withColumn("__p", part).join(F.broadcast(first), "__p")  # one row per partition
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return numbered.withColumn("n", F.col("__first") + within).drop("__p", "__first", order)
+    return numbered.withColumn("n", F.col("__first") + F.col(order).bitwiseAND((1 << 33) - 1)).drop("__p", "__first", order)
 
 
 def sniff_delimiter(head: str) -> str:
-    """The most frequent of ``, ; tab |`` in the first line; a comma if none occurs."""
-    first = head.lstrip("﻿").split("\n", 1)[0]
+    """The most frequent of ``, ; tab |`` in the first line that is not blank; a comma if none occurs."""
+    first = next((x for x in head.lstrip("﻿").splitlines() if x.strip()), "")
     best = max(",;\t|", key=first.count)
     return best if first.count(best) else ","
 
@@ -55,8 +59,7 @@ def sniff_delimiter(head: str) -> str:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, **render) -> DataFrame:
     """Entries of a delimited file with a header; all values are text, the delimiter is found if not given."""
     if delimiter is None:
-        head = spark.read.text(path).limit(1).collect()
-        delimiter = sniff_delimiter(head[0].value if head else "")
+        delimiter = sniff_delimiter("\n".join(r.value for r in spark.read.text(path).limit(20).collect()))
     table = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, inferSchema=False, encoding="UTF-8", escape='"')
     return entries_from_records(table.toDF(*[c.lstrip("﻿") for c in table.columns]), **render)
 
@@ -107,6 +110,16 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None, **rende
     return entries_from_records(spark.createDataFrame(body, ", ".join(f"`{n}` string" for n in names)), **render)
 
 
+def retrieval_format(records: DataFrame) -> DataFrame:
+    """``id, text, tags`` of ``title, content, tags``: the title is the id and the text's first line."""
+    return records.select(F.col("title").alias("id"), F.concat_ws("\n", "title", "content").alias("text"), "tags")
+
+
+def training_format(records: DataFrame, question: str) -> DataFrame:
+    """``instruction, input, output`` of ``title, content``; ``{title}`` in ``question`` becomes the title."""
+    return records.select(F.replace(F.lit(question), F.lit("{title}"), F.col("title")).alias("instruction"), F.lit("").alias("input"), F.col("content").alias("output"))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """A frozen question set: ``question, answerable, reason``."""
     return spark.read.schema("question string, answerable boolean, reason string").json(path)

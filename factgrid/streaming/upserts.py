@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import index
+from ..sources.records import number_rows
 
 
 def dense(df: DataFrame, order: str) -> DataFrame:
-    """Number the few rows of one micro-batch from 0."""
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1)
+    """Number the rows of a micro-batch from 0 in their order."""
+    return number_rows(df.orderBy(order).withColumn("__at", F.monotonically_increasing_id()), "__at").withColumnRenamed("n", "pos")
 
 
 def upsert_stream(changes: DataFrame, path: str, order: str, checkpoint: str):
@@ -23,12 +24,7 @@ def upsert_stream(changes: DataFrame, path: str, order: str, checkpoint: str):
     def apply(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         delta = dense(index.keep_last(batch, "id", order), order).select("pos", "id", "text")
-        try:
-            base = index.load(spark, path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            base = spark.createDataFrame([], "pos long, id string, text string")
+        base = index.load(spark, path) if index.exists(spark, path) else spark.createDataFrame([], "pos long, id string, text string")
         index.save(index.upsert(base, delta), path)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgrid.functions import fields as fx
+from factgrid.functions import prompts
 from factgrid.functions import questions as qx
-from factgrid.operators import aggregates, audit, index, policy, search
+from factgrid.operators import aggregates, audit, index, metrics, policy, search, verified
 from factgrid.plans.engine import Engine, Settings
 from factgrid.plans.tenants import Tenants
 from factgrid.sources import generators, records
@@ -134,19 +135,66 @@ def test_engine_and_audit(spark, tmp_path, entries):
     assert engine.query("What is the status of Customer_0099?").refused
     secret = AccessPolicy("p", {}, frozenset({"Amount"}))
     assert engine.query("What is the amount of Customer_0003?", secret).policy_denied
+    assert log.verify() == (True, None) and audit.changed_records(log.events(), entries).count() == 0
+    edited = entries.withColumn("text", F.when(F.col("id") == "INV-3", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    assert [(r.event_id, r.id) for r in audit.changed_records(log.events(), edited).collect()] == [(2, "INV-3")]
+    assert [(r.event_id, r.id) for r in audit.changed_records(log.events(), entries.where("id <> 'INV-3'")).collect()] == [(2, "INV-3")]
     engine.settings.mode = "styled"
     assert engine.query("What is the status of Customer_0003?").blocked_generation == "It is 999.99"
     assert log.verify() == (True, None) and log.events().count() == 5
-    assert [r.id for r in log.last(2).collect()] == [4, 5]
+    other = audit.AuditLog(spark, f"file://{tmp_path}/log")  # two writers: neither forks the chain
+    assert (other.record({"question": "a"}), log.record({"question": "b"}), other.record({"question": "c"})) == (6, 7, 8)
+    assert log.verify() == (True, None) and log.events().count() == 8
+    log._take([9, "t", "lost", log.events().where("id = 8").first().event_sha256, hashlib.sha256(("lost" + log.events().where("id = 8").first().event_sha256).encode()).hexdigest()])
+    assert audit.AuditLog(spark, f"file://{tmp_path}/log").record({"question": "d"}) == 10  # a row lost in a crash is written by the next writer
+    assert log.verify() == (True, None) and log.events().count() == 10
+    assert [r.id for r in log.last(2).collect()] == [9, 10]
     bad = log.events().withColumn("payload", F.when(F.col("id") == 2, "edited").otherwise(F.col("payload")))
     assert [r.id for r in audit.broken_links(bad).collect()] == [2]
-    assert [r.id for r in audit.broken_links(log.events().where("id <> 3")).collect()] == [4]
+    for n in (1, 2, 3, 1000):
+        assert [r.id for r in audit.broken_links(log.events().where("id <> 3"), per_range=n).collect()] == [4]
+        assert [r.id for r in audit.broken_links(log.events().where("id not between 3 and 7"), per_range=n).collect()] == [8]
+
+
+def test_generative_answers_fall_back(spark, entries):
+    said = ["Invoice 3 has 49.50 and is paid.", "It is 777.77."]
+    engine = Engine(entries, Settings(min_score=0.0, mode="generative"), generator=lambda p: said[0] if "49.50" in p and "RECORDS" in p else "")
+    good = engine.query("What is the status of Customer_0003?")
+    assert (good.path, good.text, good.blocked_generation) == ("generative", said[0], None) and "INV-3" in good.sources
+    engine.generator = lambda p: said[1]
+    bad = engine.query("What is the status of Customer_0003?")
+    assert (bad.path, bad.values, bad.blocked_generation) == ("field", ["paid"], said[1])
+    assert engine.query("What is the total amount of all open invoices?").path == "computed"
+
+
+def test_names_and_leaks(spark, entries):
+    names = spark.createDataFrame([(1, "customer_0001"), (2, "eu"), (2, "inv-3"), (3, "nobody")], "query_id long, name string")
+    few = sorted((r.query_id, r["rank"], r.id) for r in verified.scan_for(entries, names).collect())
+    try:
+        verified.FEW, kept = 0, verified.FEW
+        assert sorted((r.query_id, r["rank"], r.id) for r in verified.scan_for(entries, names).collect()) == few
+    finally:
+        verified.FEW = kept
+    assert few == [(1, 1, "INV-1"), (2, 1, "INV-1"), (2, 2, "INV-2"), (2, 3, "INV-3")]
+    out = entries.select(F.col("pos").alias("query_id"), "text")
+    secret = spark.createDataFrame([("CUSTOMER_0002",), ("paid",), ("",), ("zzz",)], "value string")
+    assert sorted((r.query_id, r.value) for r in metrics.leaks(out, secret).collect()) == [(1, "CUSTOMER_0002"), (2, "paid")]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 20, 21, 100])
+def test_latency(spark, n):
+    v = [(x * 7919) % 101 / 4 for x in range(n)]
+    got = metrics.latency(spark.createDataFrame([(x,) for x in v] + [(None,)], "v double").repartition(3), "v").first()
+    assert (got.median, got.p95, got.n) == (float(np.median(v)), sorted(v)[int(0.95 * (n - 1))], n) and abs(got["mean"] - np.mean(v)) < 1e-9
+    assert metrics.latency(spark.createDataFrame([], "v double"), "v").count() == 0
 
 
 def test_tenants(spark, tmp_path, entries):
     t = Tenants(spark, f"file://{tmp_path}/tenants")
     t.create("one", entries.select("pos", "id", "text"))
-    assert t.names() == ["one"] and t.entries("one").count() == 3
+    assert t.names() == ["one"] and t.entries("one").count() == 3 and "hv" in t.entries("one").columns
+    assert t.engine("one", Settings(min_score=0.0)).query("What is the status of Customer_0002?").values == ["open"]
+    assert t.audit("one").events().count() == 1
     for name in ("../x", "A", ""):
         with pytest.raises(ValueError):
             t.path(name)
@@ -166,17 +214,101 @@ def test_sources(spark, tmp_path):
     assert AccessPolicy.load(str(tmp_path / "p.json")).name == "unnamed"
 
 
-def test_generators(spark):
+def test_generators(spark, tmp_path):
     one = generators.business_records(spark, 300).orderBy("pos").collect()
     two = generators.business_records(spark, 300).repartition(7).orderBy("pos").collect()
     assert one == two and len({r.tags[0] for r in one}) == 6
-    df = generators.business_records(spark, 50).withColumn("fields", fx.field_map("text"))
-    assert generators.training_pairs(df).count() > 100
-    assert "Bill" in generators.style_pairs(df, {"amount": "Bill", "customer": "Bill"}, "{summary} ({source})").agg(F.concat_ws(" ", F.collect_list("output"))).first()[0]
+    df = generators.business_records(spark, 300).withColumn("fields", fx.field_map("text"))
+    seen = set()
+    for r in df.collect():
+        f, kind = r.fields, r.tags[0]
+        seen |= set(f)
+        number = lambda k: float(f[k].replace("$", "").replace(",", "").split(" ")[0].rstrip("%"))  # noqa: B023, E731
+        assert r.text.startswith(r.id + "\n")
+        if kind == "order":
+            assert abs(number("Quantity") * number("Unit Price") - number("Total")) < 0.005
+        if kind == "budget":
+            assert abs(max(0, number("Allocated") - number("Spent")) - number("Remaining")) < 0.005
+            assert abs(min(100, 100 * number("Spent") / number("Allocated")) - number("Utilization")) < 0.06
+    wanted = {name for _, name in [*qx.AGGREGATE_FIELDS, *qx.LOOKUP_FIELDS]}
+    assert wanted <= seen and {"Payment Terms", "Last Contact", "Metric", "Year"} <= seen
+    asked = generators.typed_questions(df).collect()
+    by_pos = {r.pos: r.fields for r in df.collect()}
+    assert {q.id.split(" ")[0] for q in asked} == {"Invoice", "Order", "Customer", "Product", "KPI", "Budget"}
+    assert all(q.expected and q.expected in q.summary for q in asked) and all(q.expected in by_pos[q.pos].values() for q in asked)
+    pairs = generators.style_pairs(df, {"amount": "Betrag", "invoice": "Bill"}, "{summary} ({source})\nKind regards")
+    told = pairs.where(F.startswith("output", F.lit("The Bill of"))).collect()
+    assert told and all("Betrag" in r.output and r.output.endswith("Kind regards") for r in told)
+    assert {"amount of the invoice" in r.instruction for r in told} == {True, False} == {"Betrag of the Bill" in r.instruction for r in told}
+    assert {r.instruction.count("\n\n") for r in told} == {1, 2, 3}  # one to three records, and the question
+    assert pairs.select(prompts.follows(F.col("output"), "{summary} ({source})\nKind regards").alias("f")).where("not f").count() == 0
+    assert prompts.markers("Re: {summary}\nA: {x}\n\nKind regards\n") == ["Re:", "Kind regards"]
+    n = generators.write_jsonl(pairs, f"file://{tmp_path}/style")
+    written = [json.loads(x) for f in (tmp_path / "style").glob("part*") for x in f.read_text().splitlines()]
+    assert n == len(written) == pairs.count() and set(written[0]) == {"instruction", "input", "output"}
     with pytest.raises(ValueError):
         generators.style_pairs(df, {}, "no marker")
 
 
+PROFILE = {
+    "name": "freight", "entities": {"Load": {"prefix": "Load_", "count": 9}, "Haulier": {}},
+    "record_types": [
+        {"type": "Load", "title": "Load {entity}", "entity": "Load", "weight": 0.5, "tags": ["load"], "fields": [{"name": "Haulier", "kind": "entity", "ref": "Haulier"}, {"name": "Weight", "kind": "int", "min": 5, "max": 9}, {"name": "ETA", "kind": "date"}]},
+        {"type": "Freight Bill", "entity": "Haulier", "fields": [{"name": "Amount", "kind": "money"}, {"name": "Status", "kind": "choice", "values": ["open", "paid"]}, {"name": "Discount", "kind": "percent"}]},
+    ],
+}
+
+
+def test_profiles(spark, tmp_path):
+    (tmp_path / "freight").mkdir()
+    (tmp_path / "freight" / "profile.json").write_text(json.dumps(PROFILE, indent=1))
+    root = f"file://{tmp_path}"
+    assert generators.profile_names(spark, root) == ["freight"] and generators.profile_names(spark, root + "/none") == []
+    profile = generators.load_profile(spark, root, "freight")
+    rows = generators.profile_records(spark, profile, 200, seed=9).orderBy("pos").collect()
+    assert rows == generators.profile_records(spark, profile, 200, seed=9).repartition(5).orderBy("pos").collect()
+    assert {r.id.rsplit(" ", 1)[0] for r in rows} == {"Load", "Freight Bill"}
+    for r in rows:
+        title, *lines = r.text.split("\n")
+        assert title == r.id and len(lines) == 3 and all(": " in x for x in lines) and "freight" in r.tags
+        if r.id.startswith("Load"):
+            assert 5 <= int(lines[1].split(": ")[1]) <= 9 and "load" in r.tags
+    load = next(r for r in rows if r.id.startswith("Load"))
+    engine = Engine(generators.profile_records(spark, profile, 200, seed=9), Settings(min_score=0.0))
+    answer = engine.query(f"What is the status of {rows[0].id.split(' ')[-1]}?")
+    assert not answer.refused and load is not None
+    for broken in ({"name": "x"}, PROFILE | {"record_types": [PROFILE["record_types"][0] | {"weight": 0}]}, PROFILE | {"record_types": []}):
+        with pytest.raises(ValueError):
+            generators.checked_profile(broken)
+    with pytest.raises(ValueError):
+        generators.load_profile(spark, root, "none")
+
+
+def test_evaluation_sets(spark):
+    """Recall and MRR of the vector search against BM25, on questions in other words and with typing errors."""
+    e = generators.business_records(spark, 400, customers=60).dropDuplicates(["id"]).withColumn("fields", fx.field_map("text")).cache()
+    asked = generators.paraphrases(e).withColumn("typed", generators.with_typos(F.col("query"), "query_id")).withColumn("mixed", generators.shuffled(F.col("query"), "query_id")).cache()
+    rows = asked.collect()
+    assert len(rows) == e.count() and any(r.typed != r.query for r in rows)
+    for r in rows:
+        assert sorted(r.mixed.split()) == sorted(r.query.split())
+        assert [sorted(w) for w in r.typed.split()] == [sorted(w) for w in r.query.split()]
+        assert all(a == b for a, b in zip(r.typed.split(), r.query.split()) if "_" in b or len(b) < 4)
+    hv = search.encode(e)
+    expected = asked.select("query_id", F.col("target").alias("id"))
+    quality = {}
+    for c in ("query", "typed", "mixed"):
+        q = asked.select("query_id", F.col(c).alias("text"))
+        quality[c, "vectors"] = metrics.retrieval_quality(expected, search.hamming_top_k(hv, search.encode(q))).first()
+        ranked = search.bm25_top_k(e.select(F.col("id").alias("doc_id"), "text"), q).withColumnRenamed("doc_id", "id")
+        quality[c, "bm25"] = metrics.retrieval_quality(expected, ranked).first()
+    print({k: (round(v.recall, 3), round(v.mrr, 3)) for k, v in quality.items()})
+    assert quality["query", "bm25"].recall > 0.5 and quality["mixed", "bm25"].recall == quality["query", "bm25"].recall
+    near = search.sketch_top_k(hv, search.encode(asked.select("query_id", F.col("query").alias("text"))), candidates=10_000)
+    exact = search.hamming_top_k(hv, search.encode(asked.select("query_id", F.col("query").alias("text"))))
+    assert near.select("query_id", "rank", "pos", "distance").exceptAll(exact.select("query_id", "rank", "pos", "distance")).count() == 0
+
+
 def test_stream_upsert(spark, tmp_path):
     from factgrid.streaming.upserts import upsert_stream
 
