@@ -6,7 +6,8 @@ the order that share a prefix are the neighbour windows; a run longer than a
 window is compared window against window, so nothing is left out. A pair is
 counted in the first pass whose window holds it, so link counts need no list of
 pairs; passes only emit counts and the components inside a window, which are
-united across passes.
+united across passes. What a pass ships of a vector is its components as they
+are stored (4 bytes each for floats), its id and the bits of its hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, stash
 
 #: Rows of one window; two windows are compared in one task at once.
-WINDOW = 512
+WINDOW = 2048
 #: Chance, at most, that all passes miss a pair that lies just at the threshold.
 MISS = 1e-7
 
@@ -33,26 +34,48 @@ def plan(largest: int, cosine: float, window: int = WINDOW, miss: float = MISS)
     return bits, 1 if keep >= 1 else math.ceil(math.log(miss) / math.log(1 - keep))
 
 
-def _hash(reps: DataFrame, bits: int, passes: int) -> DataFrame:
-    """One row per vector with the prefixes of all passes (32-bit each)."""
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, in double precision."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
-    def run(batches):
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            vec = batch.column(batch.schema.get_field_index("v"))
-            keys = []
-            for v in vec.to_pylist():
-                x = np.frombuffer(v, np.float64)
-                if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng(len(x)).standard_normal((len(x), max(1, bits * passes)))
-                sign = (x @ planes[len(x)] > 0)[: bits * passes].reshape(passes, bits)
-                keys.append((sign << np.arange(bits)[::-1]).sum(axis=1).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "keys"])
 
-    return reps.mapInArrow(run, "label long, rep long, w long, dims int, v binary, keys binary")
+def _rows(v: list[bytes], dims: int) -> np.ndarray:
+    """Stored vectors of one length, which are floats, or doubles where floats do not hold them."""
+    if all(len(x) == 4 * dims for x in v):
+        return np.frombuffer(b"".join(v), np.float32).reshape(-1, dims)
+    return np.array([np.frombuffer(x, np.float32 if len(x) == 4 * dims else np.float64) for x in v], np.float64)
+
 
+def _hash(folded: DataFrame, bits: int, passes: int) -> DataFrame:
+    """One row per vector with its hash's prefix in each pass, and the bits of all prefixes packed."""
 
-def _local_components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def run(batches):
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            vectors, keys, prefixes, size = [], [], [], []
+            for v in batch.column(3):
+                v = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                n = len(v)
+                if n not in planes:
+                    planes[n] = np.random.default_rng(n).standard_normal((n, max(1, bits * passes)))
+                short = v.astype(np.float32)
+                vectors.append((short if (short == v).all() else v).tobytes())
+                sign = (_unit(v[None])[0] @ planes[n] > 0)[: bits * passes]
+                keys.append(np.packbits(sign).tobytes())
+                prefixes.append((sign.reshape(passes, bits) << np.arange(bits)[::-1]).sum(axis=1).tolist())
+                size.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(size, pa.int32()), pa.array(vectors, pa.binary()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int32()))],
+                names=["label", "rep", "w", "dims", "v", "keys", "prefixes"],
+            )
+
+    schema = "label long, rep long, w long, dims int, v binary, keys binary, prefixes array<int>"
+    return folded.select("label", "rep", "w", "embedding").mapInArrow(run, schema)
+
+
+def _local_components(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
     low = ids.copy()
     while True:
         new = low.copy()
@@ -63,26 +86,33 @@ def _local_components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) ->
         low = new
 
 
-def _compare(rows: list[tuple], t: int, cosine: float):
+def _compare(rows: list[tuple], t: int, dims: int, bits: int, passes: int, cosine: float):
     """Links of one window (or of one pair of windows) that no earlier pass holds."""
     block = np.array([r[0] for r in rows])
     rep = np.array([r[1] for r in rows])
     w = np.array([r[2] for r in rows])
-    x = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(len(rows), -1)
-    keys = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
+    x = _unit(_rows([r[3] for r in rows], dims))
+    keys = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    keys = np.unpackbits(keys, axis=1, count=bits * passes).reshape(len(rows), passes, bits)
+    keys = (keys.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=2)
     lo, hi = block.min(), block.max()
     one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    a, b = np.nonzero(x[one] @ x[two].T >= cosine)
-    a, b = one[a], two[b]
-    if lo == hi:
-        a, b = a[a < b], b[a < b]
-    new = ~(keys[a, :t] == keys[b, :t]).any(axis=1) if t else np.ones(len(a), bool)
-    a, b = a[new], b[new]
-    if not len(a):
-        return None
-    n = np.bincount(a, w[b], len(rows)) + np.bincount(b, w[a], len(rows))
+    n, pairs = np.zeros(len(rows)), []
+    for k in range(0, len(one), 256):  # a few rows at a time: all pairs of a dense window would not fit
+        a, b = np.nonzero(x[one[k : k + 256]] @ x[two].T >= cosine)
+        a, b = one[k + a], two[b]
+        if lo == hi:
+            a, b = a[a < b], b[a < b]
+        if t:
+            new = ~(keys[a, :t] == keys[b, :t]).any(axis=1)
+            a, b = a[new], b[new]
+        n += np.bincount(a, w[b], len(rows)) + np.bincount(b, w[a], len(rows))
+        pairs.append((a.astype(np.int32), b.astype(np.int32)))
     hit = np.flatnonzero(n)
-    return rep[hit], n[hit].astype(np.int64), _local_components(len(rows), a, b, rep)[hit]
+    if not len(hit):
+        return None
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    return rep[hit], n[hit].astype(np.int64), _local_components(a, b, rep)[hit]
 
 
 def near_vectors(df: DataFrame, cosine: float = 0.98, window: int = WINDOW, miss: float = MISS) -> DataFrame:
@@ -103,24 +133,15 @@ def near_vectors(df: DataFrame, cosine: float = 0.98, window: int = WINDOW, miss
     folded = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
     folded = stash(folded)
 
-    def unit(batches):
-        for batch in batches:
-            out = []
-            for v in batch.column(3):
-                v = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                v = v / np.abs(v).max()
-                out.append((v / np.sqrt((v * v).sum())).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(v) // 8 for v in out], pa.int32()), pa.array(out, pa.binary())], names=["label", "rep", "w", "dims", "v"])
-
-    reps = folded.select("label", "rep", "w", "embedding").mapInArrow(unit, "label long, rep long, w long, dims int, v binary")
     largest = folded.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, passes = plan(largest, cosine, window, miss)
-    hashed = stash(_hash(reps, bits, passes))
-    key = F.conv(F.hex(F.reverse(F.substring("keys", F.col("t") * 4 + 1, F.lit(4)))), 16, 10).cast("long")
-    spread = hashed.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("t")).withColumn("prefix", key)
+    hashed = stash(_hash(folded, bits, passes))
     run_of = ["t", "label", "dims", "prefix"]
-    sizes = spread.groupBy(*run_of).agg(F.ceil(F.count("*") / window).cast("int").alias("parts"), F.count("*").alias("c")).where("c > 1")
-    cut = spread.join(sizes, run_of).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    at = F.posexplode("prefixes").alias("t", "prefix")
+    # runs of more than one window; a small table is known to be small by its files
+    long = stash(hashed.select("label", "dims", at).groupBy(*run_of).agg(F.ceil(F.count("*") / window).cast("int").alias("parts")).where("parts > 1"))
+    cut = hashed.select("label", "dims", "rep", "w", "v", "keys", at).join(long, run_of, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     cell = [*run_of, "i", "j"]
@@ -133,7 +154,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.98, window: int = WINDOW, miss
             i, j = at[-2:]
             if len(rows) < 2 or (i != j and len({r[0] for r in rows}) < 2):
                 return None
-            return _compare(rows, at[0], cosine)
+            return _compare(rows, at[0], at[2], bits, passes, cosine)
 
         for batch in batches:
             ids = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
