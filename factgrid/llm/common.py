@@ -1,43 +1,13 @@
-"""Shared pieces: written intermediate tables and distributed components."""
+"""Shared pieces: written intermediate tables (as the whole library has them) and distributed components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import call, clear, forget, shared_dir, stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
-
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (a local test session) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="factgrid-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it re-read.
-
-    This cuts lineage: later steps read files that every executor sees, so a
-    lost executor costs a re-read and never a recomputation of the chain.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Remove all written intermediate tables, when no result that reads them is wanted any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stash")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["call", "clear", "connected_components", "forget", "shared_dir", "stash"]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -65,7 +35,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours move to the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, stash(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

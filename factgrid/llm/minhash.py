@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import chunks, mix, pair_hash, words
-from .common import connected_components, stash
+from .common import connected_components, forget, stash
 
 _U = np.uint64
 REGISTERS = 256
@@ -302,6 +302,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     comp = stash(connected_components(edges))
     more = stash(_across(members, reps, sets, comp, rows, percent / 100, slack))
     more = stash(_confirm(more, sets, percent))
+    for done in (members, pairs, sets, edges):
+        forget(done)
     # components that a late link unites
     first = F.coalesce("component", "id")
     late = more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")

@@ -420,9 +420,9 @@ def _ordered(noted: DataFrame) -> DataFrame:
 
 def _cut(docs: DataFrame, answers: DataFrame, keep_text: bool) -> DataFrame:
     """Unite what is to be removed from each text and remove it."""
-    per_doc = answers.groupBy("doc_id").agg(F.collect_list("g").alias("g"), F.collect_list(F.struct("start", "end")).alias("r"))
-    per_doc = per_doc.select("doc_id", "g", F.filter("r", lambda x: x["start"].isNotNull()).alias("r")).hint("merge")
-    joined = docs.join(per_doc, "doc_id", "left").select(*docs.columns, "g", F.col("r.start").alias("rs"), F.col("r.end").alias("re"))
+    per_doc = answers.groupBy("doc_id").agg(F.collect_list("g").alias("__g"), F.collect_list(F.struct("start", "end")).alias("__r"))
+    per_doc = per_doc.select("doc_id", "__g", F.filter("__r", lambda x: x["start"].isNotNull()).alias("__r")).hint("merge")
+    joined = docs.join(per_doc, "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__g", F.col("__r.start").alias("__rs"), F.col("__r.end").alias("__re"))
     kept = list(docs.columns)
     added = "text string" if keep_text else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = docs.select(*[c for c in kept if c != "text"]).schema

@@ -96,29 +96,38 @@ def _frequencies(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n_features: int, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic classifier over present features by the non-negative risk."""
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Features of all rows one after another, the row of each, and the number of rows."""
+    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
+
+
+def risk(w: np.ndarray, b: float, pos: tuple, unl: tuple, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """``(positive part, rest, gradient of the weights, of the bias)`` of the non-negative risk with the logistic loss.
+
+    The risk is prior * E_p[loss(+)] + max(0, rest), rest = E_u[loss(-)] -
+    prior * E_p[loss(-)]. Below zero the rest overfits: there the gradient is
+    that of -rest, by which a descent brings it back up.
+    """
+    (ip, rp, n), (iu, ru, m) = pos, unl
+    zp, zu = b + np.bincount(rp, w[ip], n), b + np.bincount(ru, w[iu], m)
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+    n_p, n_u = max(n, 1), max(m, 1)
+    part = prior * np.logaddexp(0, -zp).sum() / n_p
+    rest = np.logaddexp(0, zu).sum() / n_u - prior * np.logaddexp(0, zp).sum() / n_p
+    up, gp = (1.0, prior * (sp - 1) / n_p) if rest >= 0 else (-1.0, np.zeros(n))
+    gp, gu = gp - up * prior * sp / n_p, up * su / n_u
+    return part, rest, np.bincount(ip, gp[rp], len(w)) + np.bincount(iu, gu[ru], len(w)), gp.sum() + gu.sum()
 
-    def flat(rows):
-        return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
-    (ip, rp), (iu, ru) = flat(rows_p), flat(rows_u)
-    n_p, n_u = max(len(rows_p), 1), max(len(rows_u), 1)
+def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n_features: int, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic classifier over present features by the non-negative risk."""
+    pos, unl = _flat(rows_p), _flat(rows_u)
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     w, b = np.zeros(n_features), math.log(prior / (1 - prior))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):
-        zp = b + np.bincount(rp, w[ip], len(rows_p))
-        zu = b + np.bincount(ru, w[iu], len(rows_u))
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        rest = np.logaddexp(0, zu).sum() / n_u - prior * np.logaddexp(0, zp).sum() / n_p
-        gp, gu = prior * (sp - 1) / n_p, np.zeros(len(rows_u))
-        sign = 1.0 if rest >= 0 else -1.0  # below zero the estimate overfits: step back up
-        if rest < 0:
-            gp = np.zeros(len(rows_p))
-        gp = gp - sign * prior * sp / n_p
-        gu = gu + sign * su / n_u
-        g = np.append(np.bincount(ip, gp[rp], n_features) + np.bincount(iu, gu[ru], n_features) + l2 * w, gp.sum() + gu.sum())
+        _, _, gw, gb = risk(w, b, pos, unl, prior)
+        g = np.append(gw + l2 * w, gb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -173,17 +182,17 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     return {"keys": keys, "w": w, "b": b}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """Add ``score double`` (0 to 1, higher is likelier toxic) to every row; null texts are empty."""
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*kept).schema.add("score", "double")
+def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
+    """Add ``out double`` (0 to 1, higher is likelier toxic) to every row; null texts are empty, a column of that name is replaced."""
+    kept = [c for c in docs.columns if c != out]
+    schema = docs.select(*kept).schema.add(out, "double")
     at = kept.index(text)
     keys, w, b = model["keys"], model["w"], model["b"]
 
     def run(batches):
         table = _Table(keys)
         for batch in batches:
-            out = [np.zeros(0)]
+            found = [np.zeros(0)]
             for _, data, starts in chunks(batch.column(at)):
                 z = np.full(len(starts) - 1, b)
                 if len(keys):
@@ -191,8 +200,8 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     hit, got = table.find(h)
                     row, got = _distinct(row[hit], got)
                     z += np.bincount(row, w[got], len(z))
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*kept, "score"])
+                found.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=[*kept, out])
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -285,6 +285,26 @@ def test_language_model(spark, odd):
     assert lm.score_texts(texts(spark, [(None, "a b"), (None, "a b")]), lm.by_seventh(), filter_log2=20).count() == 2
 
 
+def test_scores_are_those_of_the_counts(spark, odd):
+    """With a filter far larger than it needs to be, scores equal those of quantised counts held in a table."""
+    toks = {i: [b"", *words(t), None] for i, t in odd}
+    train = [i for i, _ in odd if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(w for i in train for w in toks[i][1:])
+    two = Counter(p for i in train for p in zip(toks[i], toks[i][1:]))
+    n, v = sum(one.values()), len(one)
+    level = {c: int(lm.middle(lm.Segment.level(np.array([c])))[0] * 2) / 2 for c in set(two.values())}
+    want = {}
+    for i, ws in toks.items():
+        want[i] = 0.0
+        for a, b in zip(ws, ws[1:]):
+            prior = len(train) if a == b"" else one[a]
+            pair = min(level.get(two[a, b], 0), prior, one[b])
+            want[i] += math.log10((pair + lm.MU * (one[b] + 1) / (n + v + 1)) / (prior + lm.MU))
+    for spread in (False, True):
+        got = {r.doc_id: r.score for r in lm.score_texts(texts(spark, odd), lm.by_seventh(), filter_log2=27, spread=spread).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
 def test_filter_grows_with_the_corpus(spark, odd):
     df = texts(spark, odd)
     score = lambda **k: {r.doc_id: r.score for r in lm.score_texts(df, lm.by_seventh(), **k).collect()}
@@ -347,6 +367,28 @@ def test_toxicity(spark):
     assert toxicity.toxicity(df, lab.limit(0)).agg(F.max("predicted")).first()[0] == 0
 
 
+@pytest.mark.parametrize("branch", [1, -1])
+def test_non_negative_risk(branch):
+    """The gradient against differences, above and below the zero of the part that must not be negative."""
+    rng = np.random.default_rng(2)
+    some = lambda n, low: toxicity._flat([np.unique(rng.integers(low, 8, 4)) for _ in range(n)])
+    pos, unl = some(30, 0), some(50, 2)
+    w, b = rng.standard_normal(8), 0.3 if branch > 0 else -0.5
+    prior = 0.2 if branch > 0 else 0.9
+    if branch < 0:
+        w = np.abs(w) + 1
+        w[2:] = -3.0  # what only positives hold is sure, all else is surely negative: the rest falls below zero
+    part, rest, gw, gb = toxicity.risk(w, b, pos, unl, prior)
+    assert (rest > 0) == (branch > 0)
+    value = lambda w, b: sum(toxicity.risk(w, b, pos, unl, prior)[:2]) if branch > 0 else -toxicity.risk(w, b, pos, unl, prior)[1]
+    for k in range(8):
+        d = np.eye(8)[k] * 1e-6
+        assert abs((value(w + d, b) - value(w - d, b)) / 2e-6 - gw[k]) < 1e-6
+    assert abs((value(w, b + 1e-6) - value(w, b - 1e-6)) / 2e-6 - gb) < 1e-6
+    down = toxicity.risk(w - 1e-3 * gw, b - 1e-3 * gb, pos, unl, prior)
+    assert down[0] + down[1] < part + rest if branch > 0 else down[1] > rest
+
+
 # -- 6 personal data ------------------------------------------------------------------------
 
 FORMS = {
