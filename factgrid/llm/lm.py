@@ -8,10 +8,11 @@ bucket's segment of the filter: an n-gram of count c is inserted once for each
 level 1 .. 1 + floor(log_BASE c), and its quantised count is read back by
 probing level after level until one is absent. A segment has ``BITS_EACH`` bits
 or more for each of its insertions, so that every n-gram of the corpus is held.
-While every segment fits its share of ``2**filter_log2`` bits, the filter is
-broadcast; when one does not, no segment is, and the n-grams of the texts go to
-the bucket with their segment. Both ways read the same segments and give the
-same scores. A bounded table of the most frequent tokens is always broadcast.
+While every segment fits its share of what the session lets Spark broadcast, the
+filter is broadcast; when one does not, no segment is, and the n-grams of the
+texts go to the bucket with their segment. Both ways read the same segments and
+give the same scores. A bounded table of the most frequent tokens is always
+broadcast.
 
 Scoring: frequent tokens have exact counts in that table; the other tokens of a
 text go, again as blobs, to the bucket with their exact counts, from where
@@ -23,6 +24,7 @@ the run's bytes, which are read again to put them together.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from .bytehash import chunks, mix, pair_hash, words
 from .common import stash
 
 _U = np.uint64
-FILTER_LOG2 = 28
+#: Bits of a filter that is broadcast, where the session sets no bound.
+FILTER_LOG2 = 26
 BITS_EACH = 8
 PROBES = 4
 BASE = 1.5
@@ -44,11 +47,13 @@ HEAD = 1 << 17
 MU = 400.0
 _END, _START = (mix(np.array([x], np.uint64))[0] for x in (11, 12))
 #: Tokens folded into one set of blobs.
-_FOLD = 3_000_000
+_FOLD = 2_000_000
 #: Texts whose partial sums travel as one row.
 _BLOCK_LOG2 = 12
 #: Bytes of texts whose distinct n-grams are asked together, where segments are not broadcast.
-_RUN = 8 << 20
+_RUN = 4 << 20
+#: Bytes of a pair's key inside its bucket: a bucket of n pairs takes a share of n / 2**32 for others, a filter a fortieth.
+_KEY = 4
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -63,6 +68,15 @@ def unplanes(b: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def steps(x: np.ndarray, width: int) -> bytes:
+    """Ascending integers as ``planes`` of their differences."""
+    return planes(np.diff(x, prepend=_U(0)), width)
+
+
+def unsteps(b: bytes, width: int) -> np.ndarray:
+    return np.cumsum(unplanes(b, width), dtype=np.uint64)
+
+
 def _bucket(h: np.ndarray, log2: int) -> np.ndarray:
     return (h >> _U(64 - log2)).astype(np.int64)
 
@@ -96,13 +110,14 @@ def run_tokens(data: np.ndarray, starts: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _fold(h: np.ndarray, log2: int, kind: int, width: int):
+def _fold(h: np.ndarray, log2: int, kind: int):
     """Blobs of the distinct hashes and their counts, one per bucket."""
     keys, n = np.unique(h, return_counts=True)
     edge = np.searchsorted(_bucket(keys, log2), np.arange((1 << log2) + 1))
+    keys, width = (short(keys, log2), _KEY) if kind else (keys, 8)
     for b in np.flatnonzero(np.diff(edge)).tolist():
         part = slice(edge[b], edge[b + 1])
-        yield b, kind, planes(keys[part] >> _U(64 - 8 * width - log2 if width < 8 else 0), width), planes(n[part], 4)
+        yield b, kind, steps(keys[part], width), planes(n[part], 4)
 
 
 def _blobs(rows) -> pa.RecordBatch:
@@ -111,8 +126,8 @@ def _blobs(rows) -> pa.RecordBatch:
 
 
 def short(h: np.ndarray, log2: int) -> np.ndarray:
-    """The 48 bits below the bucket of a pair's hash: its key inside the bucket."""
-    return (h >> _U(16 - log2)) & _U((1 << 48) - 1)
+    """The 32 bits below the bucket of a pair's hash: its key inside the bucket, in the order of the hashes."""
+    return (h >> _U(64 - 8 * _KEY - log2)) & _U((1 << 8 * _KEY) - 1)
 
 
 class Segment:
@@ -196,20 +211,21 @@ def count_ngrams(train: DataFrame, log2: int, bits: int) -> DataFrame:
         held, n = [], 0
 
         def flush():
-            one = np.concatenate([h for h, _ in held])
-            two = np.concatenate([pair_hash(b, h) for h, b in held])
-            rows = [*_fold(one, log2, 0, 8), *_fold(two, log2, 1, 6)]
-            for i in range(0, len(rows), 256):
-                yield _blobs(rows[i : i + 256])
+            for kind in (1, 0):
+                some = np.concatenate([x[kind] for x in held])
+                held[:] = [(x[0], None) for x in held] if kind else []  # what is folded needs no room any more
+                rows = list(_fold(some, log2, kind))
+                for i in range(0, len(rows), 256):
+                    yield _blobs(rows[i : i + 256])
 
         for batch in batches:
             for _, data, starts in chunks(batch.column(0)):
                 h, _, before = tokens(data, starts)
-                held.append((h, before))
+                held.append((h, pair_hash(before, h)))
                 n += len(h)
                 if n >= _FOLD:
                     yield from flush()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield from flush()
 
@@ -224,13 +240,13 @@ def count_ngrams(train: DataFrame, log2: int, bits: int) -> DataFrame:
         got: dict[int, tuple[list, list]] = {}
         for batch in batches:
             for b, k, keys, n in zip(*(c.to_pylist() for c in batch.columns)):
-                got.setdefault(b, ([], []))[k].append((unplanes(keys, 6 if k else 8), unplanes(n, 4).astype(np.int64)))
+                got.setdefault(b, ([], []))[k].append((unsteps(keys, _KEY if k else 8), unplanes(n, 4).astype(np.int64)))
         for b in sorted(got):
             one, two = got.pop(b)
             out, parts = [], []
             if one:
                 keys, n = add(one)
-                out.append((b, 0, planes(keys, 8), planes(n, 8)))
+                out.append((b, 0, steps(keys, 8), planes(n, 8)))
                 parts.append((short(keys, log2), n))
             if two:
                 parts.append(add(two))
@@ -242,7 +258,17 @@ def count_ngrams(train: DataFrame, log2: int, bits: int) -> DataFrame:
     return train.select("text").mapInArrow(fold, schema).repartition("bucket").mapInArrow(gather, schema)
 
 
-def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: float = MU, head: int = HEAD, spread: bool | None = None) -> DataFrame:
+def _broadcast_log2(spark) -> int:
+    """Bits, as a power of two, of a filter within the session's bound for broadcast tables; 16 at least."""
+    said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "") or ""
+    got = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)i?b?\s*", said.lower())
+    if not got:
+        return FILTER_LOG2
+    size = max(int(got[1]), 0) << 10 * " kmgt".index(got[2] or " ")
+    return min(max((8 * size).bit_length() - 1, 16), 32)
+
+
+def score_texts(docs: DataFrame, held_out, filter_log2: int | None = None, mu: float = MU, head: int = HEAD, spread: bool | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row.
 
     ``held_out`` is a column; rows where it is not true are learned from. Tokens
@@ -253,26 +279,29 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
     doc_id count as training rows; repeated rows are scored each. An empty
     table gives an empty result. Other columns are not read. ``spread`` says
     whether segments stay in their buckets (by default, when one outgrows its
-    share of ``2**filter_log2`` bits); scores do not depend on it.
+    share of ``2**filter_log2`` bits, which are as many as the session's bound
+    for broadcast tables allows); scores do not depend on it.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     log2 = max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    log2 = min(log2, 14)
+    log2 = min(log2, 16)
+    filter_log2 = _broadcast_log2(spark) if filter_log2 is None else filter_log2
     bits = 1 << (filter_log2 - log2)
     grams = stash(count_ngrams(rows.where(~F.col("held_out")), log2, bits))
     unigrams = grams.where("kind = 0")
 
     def totals(batches):
         for batch in batches:
-            n = [unplanes(x, 8).astype(np.int64) for x in batch.column(0).to_pylist()]
+            n = [unplanes(x, 8).astype(np.int64) for x in batch.column(1).to_pylist()]
+            ends = sum(int(c[unsteps(k, 8) == _END].sum()) for k, c in zip(batch.column(0).to_pylist(), n))
             # how many tokens have each count level, to find the head's least count
             level = np.bincount(np.log2(np.concatenate([*n, np.ones(0, int)])).astype(np.int64) if n else [], minlength=63)
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(x.sum()) for x in n)], pa.int64()), pa.array([sum(map(len, n))], pa.int64()), pa.array([level.tolist()], pa.list_(pa.int64()))], names=["n", "v", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(x.sum()) for x in n)], pa.int64()), pa.array([sum(map(len, n))], pa.int64()), pa.array([ends], pa.int64()), pa.array([level.tolist()], pa.list_(pa.int64()))], names=["n", "v", "ends", "level"])
 
-    t = unigrams.select("counts").mapInArrow(totals, "n long, v long, level array<long>")
-    total = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"), *[F.sum(F.get("level", F.lit(k))).alias(f"l{k}") for k in range(63)]).first()
-    n_all, n_types = int(total.n), int(total.v)
+    t = unigrams.select("keys", "counts").mapInArrow(totals, "n long, v long, ends long, level array<long>")
+    total = t.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "ends")], *[F.sum(F.get("level", F.lit(k))).alias(f"l{k}") for k in range(63)]).first()
+    n_all, n_types, n_texts = int(total.n), int(total.v), float(total.ends)
     least, have = 63, 0
     while least and have + (total[f"l{least - 1}"] or 0) <= head:
         least -= 1
@@ -281,16 +310,16 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
     def frequent(batches):
         for batch in batches:
             for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, n = unplanes(keys, 8), unplanes(n, 8)
+                keys, n = unsteps(keys, 8), unplanes(n, 8)
                 top = n >= _U(1 << least)
-                yield pa.RecordBatch.from_arrays([pa.array([planes(keys[top], 8)], pa.binary()), pa.array([planes(n[top], 8)], pa.binary())], names=["keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([steps(keys[top], 8)], pa.binary()), pa.array([planes(n[top], 8)], pa.binary())], names=["keys", "counts"])
 
     largest = grams.where("kind = 2").agg(F.coalesce(F.max(F.length("keys")), F.lit(0))).first()[0]
     if spread is None or largest > bits // 8:
         spread = largest > bits // 8
     # bounded: at most ``head`` tokens, and 2**filter_log2 bits or none
     got = unigrams.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
-    keys = np.concatenate([unplanes(r.keys, 8) for r in got] + [np.zeros(0, np.uint64)])
+    keys = np.concatenate([unsteps(r.keys, 8) for r in got] + [np.zeros(0, np.uint64)])
     counts = np.concatenate([unplanes(r.counts, 8) for r in got] + [np.zeros(0, np.uint64)]).astype(np.int64)
     order = np.argsort(keys)
     whole = np.zeros(0 if spread else (1 << filter_log2) // 8, np.uint8)
@@ -311,10 +340,9 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
 
     def joined(h, row, before, own, pair, n):
         """Log probabilities of the texts from the counts of their tokens and pairs."""
-        _, hkeys, hcounts = shared.value
         prior = np.empty(len(h))
         prior[1:] = own[:-1]
-        prior[before == _START] = float(hcounts[np.searchsorted(hkeys, _END)]) if len(hkeys) and _END in hkeys else 0.0
+        prior[before == _START] = n_texts  # a text begins as often as one ends
         pair = np.minimum(pair, np.minimum(prior, np.maximum(own, 0)))
         return np.bincount(row, np.log10((pair + mu * (own + 1) / norm) / (prior + mu)), n)
 
@@ -375,7 +403,7 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
                 z = len(full)
                 null = [pa.nulls(z, x) for x in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(z, np.int32)), pa.array(full, pa.int32()), *null, pa.array([planes(k[s], 8) for s in cut], pa.binary()), pa.array([planes(r[s], 8) for s in cut], pa.binary()), pa.array([planes(mult[s], 4) for s in cut], pa.binary())],
+                    [pa.array(np.ones(z, np.int32)), pa.array(full, pa.int32()), *null, pa.array([steps(k[s], 8) for s in cut], pa.binary()), pa.array([planes(r[s], 8) for s in cut], pa.binary()), pa.array([planes(mult[s], 4) for s in cut], pa.binary())],
                     names=names,
                 )
         if run:
@@ -391,13 +419,13 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
         for batch in batches:
             for _, kind, keys, r, n in zip(*(c.to_pylist() for c in batch.columns)):
                 (ask if kind else have).append((keys, r, n))
-        keys = np.concatenate([unplanes(k, 8) for k, _, _ in have] + [np.zeros(0, np.uint64)])
+        keys = np.concatenate([unsteps(k, 8) for k, _, _ in have] + [np.zeros(0, np.uint64)])
         counts = np.concatenate([unplanes(n, 8) for _, _, n in have] + [np.zeros(0, np.uint64)]).astype(np.float64)
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         for i in range(0, len(ask), 4096):
             part = ask[i : i + 4096]
-            k = np.concatenate([unplanes(x, 8) for x, _, _ in part])
+            k = np.concatenate([unsteps(x, 8) for x, _, _ in part])
             r = np.concatenate([unplanes(x, 8) for _, x, _ in part]).astype(np.int64)
             m = np.concatenate([unplanes(x, 4) for _, _, x in part]).astype(np.float64)
             at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
@@ -443,7 +471,7 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
                 k = read(data, starts)[-1]
                 edge = np.searchsorted(_bucket(k, log2), np.arange((1 << log2) + 1))
                 full = np.flatnonzero(np.diff(edge)).tolist()
-                keys = [planes(short(k[edge[b] : edge[b + 1]], log2), 6) for b in full]
+                keys = [steps(short(k[edge[b] : edge[b + 1]], log2), _KEY) for b in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), uid)), pa.array(np.ones(len(full), np.int32)), pa.array(keys, pa.binary())], names=["bucket", "uid", "part", "keys"])
 
     def look(batches):
@@ -460,15 +488,15 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
                 j = i
                 while j < len(bucket) and bucket[j] == bucket[i] and part[j]:
                     j += 1
-                k = [unplanes(x, 6) for x in keys[i:j]]
+                k = [unsteps(x, _KEY) for x in keys[i:j]]
                 edge = np.cumsum([0, *map(len, k)])
                 k = np.concatenate(k)
                 # a bucket without a segment has no n-gram of the training texts
                 got = levels(seg, np.zeros(len(k), np.int64), k, 8 * len(seg)) if own == bucket[i] else np.zeros(len(k), np.int64)
                 got = got.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid[i:j], pa.int64()), pa.array(bucket[i:j], pa.int32()), pa.array([got[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
-                    names=["uid", "bucket", "keys"],
+                    [pa.array(uid[i:j], pa.int64()), pa.array(bucket[i:j], pa.int32()), pa.array([pa.compress(got[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(edge[:-1], edge[1:])], pa.binary()), pa.array(np.diff(edge), pa.int64())],
+                    names=["uid", "bucket", "keys", "size"],
                 )
                 i = j
 
@@ -484,13 +512,13 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
 
         held = None
         for batch in batches:
-            for uid, bucket, keys, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            for uid, bucket, keys, starts, size in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket < 0:
                     if held:
                         yield one(*held)
                     held = (uid, keys, starts, [])
                 else:
-                    held[3].append(keys)
+                    held[3].append(pa.decompress(keys, size, "zstd", asbytes=True))
         if held:
             yield one(*held)
 
@@ -502,8 +530,8 @@ def score_texts(docs: DataFrame, held_out, filter_log2: int = FILTER_LOG2, mu: f
         none = F.lit(None).cast("binary").alias("rows")
         probes = grams.where("kind = 2").select("bucket", F.lit(0).cast("long").alias("uid"), F.lit(0).alias("part"), "keys")
         probes = probes.unionAll(texts.select("uid", "keys", "rows").mapInArrow(ask, "bucket int, uid long, part int, keys binary"))
-        found = probes.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(look, "uid long, bucket int, keys binary")
-        runs = texts.select("uid", F.lit(-1).alias("bucket"), "keys", "rows").unionAll(found.select("uid", "bucket", "keys", none))
+        found = probes.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(look, "uid long, bucket int, keys binary, size long")
+        runs = texts.select("uid", F.lit(-1).alias("bucket"), "keys", "rows", F.lit(0).cast("long").alias("size")).unionAll(found.select("uid", "bucket", "keys", none, "size"))
         ends = runs.repartition("uid").sortWithinPartitions("uid", "bucket").mapInArrow(finish, "uid long, spread double")
         out = out.drop("score").join(ends.withColumnRenamed("spread", "score"), "uid", "left")
     return out.select(
