@@ -1,15 +1,24 @@
 """Main-text extraction with container paths agreed on per host.
 
-Each page scores its containers by the text that lies directly in them, outside
-links and boilerplate, and votes with its scores for their generalised tag-class
-paths. Spark sums the votes per host, the best path of each host wins, and pages
-are extracted again along their host's path. Pages that lack it fall back to
-their own best container, so nothing is dropped for being unusual.
+Each page scores its containers by the text in them, outside links and
+boilerplate, and votes with all its scores for their generalised tag-class
+paths; it also says which blocks of text it holds. Spark sums votes and counts
+blocks per host: the best path of each host wins, and blocks that most pages of
+a host hold are its furniture. Pages are then extracted again along their
+host's path. Pages that lack it fall back to their own best container, so
+nothing is dropped for being unusual.
+
+Boilerplate is what HTML says (``nav``, ``footer``, ...), what a class or id
+names in full (``site-footer``, but not ``share-price``), lists of links outside
+the article, and what a host repeats.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -18,197 +27,346 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-# Element names as HTML uses them, and words that mark boilerplate in class, id and role.
+# Element names as HTML uses them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe svg math object textarea select"
+RAW = "script style title textarea iframe xmp noembed noframes"
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
-)
-BOILER_TAGS = frozenset("head title nav header footer aside form button dialog menu fieldset option datalist".split())
-BOILER_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent"
-    " cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
-    " related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+BOILER_TAGS = frozenset("head nav header footer aside form button dialog menu fieldset option datalist noscript template svg object select".split())
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 BOX_TAGS = frozenset("article main section div td body center blockquote".split())
+LISTS = frozenset("ul ol dl table".split())
 CLOSES_P = frozenset(
     "address article aside blockquote body center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split()
 )
 SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+#: Words of a class or id that name boilerplate, if the name's other words are among the plain ones.
+BOILER_WORDS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent"
+    " cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
+    " related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+)
+#: Words that only say where or what kind of box it is.
+PLAIN_WORDS = frozenset(
+    "area bar block blocks body bottom box btn button buttons card center col column container content cookie entry fixed footer form global group header holder icon icons id inner"
+    " item items js left link links list main mobile module outer page panel primary region right row secondary section site slot sticky text title top unit user web wrap wrapper zone".split()
+)
+#: Words of the article itself, which may stand before a boilerplate word (``article-comments``) but not after it.
+ARTICLE_WORDS = frozenset("article blog content entry news page post story text".split())
+
+#: Share of a host's pages, and pages of different articles, that must hold a block for it to be the host's.
+SHARE, DIFFERENT = 0.5, 4
+#: Links and share of link text that make a list a menu.
+LINKS, LINK_SHARE = 3, 0.7
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<({'|'.join(RAW.split())})\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    rf"|<({'|'.join(RAW.split())})\b[^>]*(?:/>|>(.*?)(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
 
+def _heads_article(name: str) -> bool:
+    """Whether a class or id names the head of an article and not that of a site."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return bool(words) and words[-1] == "header" and any(w in ARTICLE_WORDS and w != "page" for w in words)
 
-class _Node:
-    __slots__ = ("tag", "path", "boiler", "link", "own", "parent")
 
-    def __init__(self, tag, path, boiler, link, parent):
-        self.tag, self.path, self.boiler, self.link, self.parent = tag, path, boiler, link, parent
-        self.own = 0.0
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or id, as a whole, names boilerplate."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    at = [k for k, w in enumerate(words) if w in BOILER_WORDS]
+    if not at:
+        return False
+    if _heads_article(name):
+        return False
+    return all(w in BOILER_WORDS or w in PLAIN_WORDS or (w in ARTICLE_WORDS and k < at[-1]) for k, w in enumerate(words))
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """The generalised class of a start tag, and whether its marks say boilerplate."""
-    cls, boiler = "", False
+@lru_cache(maxsize=1 << 16)
+def _marks(attrs: str) -> tuple[str, bool, bool, bool]:
+    """The generalised class of a start tag, whether its names say boilerplate, whether it is hidden or has such a role, and whether it heads an article."""
+    cls, named, hidden, heads = "", False, False, False
     for k, a, b, c in _ATTR.findall(attrs):
-        k, v = k.lower(), (a or b or c).lower()
+        k, v = k.lower(), unescape(a or b or c)
         if k == "class":
-            cls = ".".join(sorted({re.sub(r"\d+", "0", x) for x in v.split()}))
+            cls = ".".join(sorted({re.sub(r"\d+", "0", x.lower()) for x in v.split()}))
         if k in ("class", "id"):
-            boiler |= any(w in BOILER_WORDS for part in v.split() for w in _WORD.findall(part))
+            named |= any(map(_names_boilerplate, v.split()))
+            heads |= any(map(_heads_article, v.split()))
         elif k == "role":
-            boiler |= v in BOILER_ROLES
-        elif k == "hidden" or v == "true":
-            boiler = True
-    return cls, boiler
-
-
-def _walk(html: str):
-    """Yield ``(node, text, is_break)`` in page order."""
-    root = _Node("", "", False, False, None)
-    stack = [root]
-    at = 0
-    for m in _PIECE.finditer(html):
-        if m.start() > at:
-            yield stack[-1], html[at : m.start()], False
-        at = m.end()
-        tag = m[3] or m[6]
-        if not tag:
-            if m[1]:
-                yield stack[-1], "", True
-            continue
-        tag, closing, attrs = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
-        if tag not in INLINE:
-            yield stack[-1], "", True
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break  # an inline end tag does not close blocks
-            continue
-        if tag in VOID or attrs.endswith("/") and tag not in BOX_TAGS:
-            continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
-        if tag in SAME_LEVEL:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SAME_LEVEL[tag]:
-                    break
-        top = stack[-1]
-        if tag in INLINE and not attrs:
-            node = _Node(tag, top.path, top.boiler, top.link or tag == "a", top)
+            hidden |= v.lower() in BOILER_ROLES
+        elif k == "style":
+            hidden |= bool(_HIDING.search(v.lower()))
         else:
-            cls, boiler = _marks(attrs) if attrs else ("", False)
-            path = top.path if tag in INLINE else f"{top.path}>{tag}{'.' + cls if cls else ''}"
-            boiler = boiler and tag not in ("html", "body", "main", "article") or tag in BOILER_TAGS or tag == "article" and "comment" in cls
-            node = _Node(tag, path, top.boiler or boiler, top.link or tag == "a", top)
-        stack.append(node)
-        if len(stack) > 400:  # deeper nesting than any browser keeps: read on at this level
-            stack.pop()
-    if at < len(html):
-        yield stack[-1], html[at:], False
-
-
-def container_scores(html: str) -> list[tuple[str, float]]:
-    """``(path, share of the page's score)`` of the containers of a page, best first."""
-    boxes: dict[int, _Node] = {}
-    for node, text, _ in _walk(html):
-        n = len(text.strip())
-        if not n or node.boiler or node.link:
-            continue
-        weight, hops, box = float(n), 0, node
-        while box is not None and hops < 3:
-            if box.tag in BOX_TAGS:
-                box.own += weight * (1.5 if box.tag in ("article", "main") else 1.0)
-                boxes[id(box)] = box
-                weight, hops = weight / 3, hops + 1
-            box = box.parent
-    by_path: dict[str, float] = {}
-    for b in boxes.values():
-        by_path[b.path] = by_path.get(b.path, 0.0) + b.own
-    total = sum(by_path.values())
-    return [(p, s / total) for p, s in sorted(by_path.items(), key=lambda x: (-x[1], x[0]))]
-
-
-def extract(html: str, path: str | None) -> str | None:
-    """Text of the containers at ``path`` without boilerplate; None if the page has none there."""
-    out, there = [], False
-    for node, text, is_break in _walk(html):
-        if path is not None:
-            p = node.path
-            if not p.startswith(path) or len(p) > len(path) and p[len(path)] != ">":
-                out.append(" ")
+            hidden |= k == "hidden" or v.lower() == "true"
+    return cls, named, hidden, heads
+
+
+@lru_cache(maxsize=1 << 16)
+def _label(tag: str, cls: str) -> int:
+    return zlib.crc32(f"{tag}.{cls}".encode()) * 0x9E3779B97F4A7C15
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+class Page:
+    """The elements of a page and its pieces of text in page order.
+
+    Elements are numbered; ``path`` is a hash of the tags and generalised
+    classes from the root on. Nesting may be of any depth.
+    """
+
+    def __init__(self, html: str):
+        self.tag, self.parent, self.path = [""], [0], [0]
+        self.named, self.by_tag, self.link, self.h1 = [False], [False], [False], [False]
+        self.box, self.article, self.main = [0], [0], [0]  # nearest such element, itself included; 0: none
+        self.title = ""
+        self.pieces: list[tuple[int, str | None]] = []  # None: a block ends
+        self._read(html)
+        self._judge()
+
+    def _add(self, tag: str, attrs: str, top: int) -> int:
+        cls, named, hidden, heads = _marks(attrs) if attrs else ("", False, False, False)
+        i = len(self.tag)
+        inside = self.article[top]
+        boiler = hidden or tag in BOILER_TAGS and not (tag == "header" and (inside or heads))
+        if tag in ("html", "body", "main"):
+            named = False
+        elif tag == "article":
+            named = named and "comment" in cls
+        self.tag.append(tag)
+        self.parent.append(top)
+        inline = tag in INLINE
+        self.path.append(self.path[top] if inline else (self.path[top] * 0x100000001B3 ^ _label(tag, cls)) & (1 << 63) - 1)
+        self.named.append(named or self.named[top])
+        self.by_tag.append(boiler or self.by_tag[top])
+        self.link.append(tag == "a" or self.link[top])
+        self.h1.append(tag == "h1" or self.h1[top])
+        self.box.append(i if tag in BOX_TAGS else self.box[top])
+        self.article.append(i if tag == "article" else inside)
+        self.main.append(i if tag == "main" else self.main[top])
+        return i
+
+    def _read(self, html: str) -> None:
+        stack, tags, open_tags = [0], self.tag, {}
+
+        def close(i):
+            for x in stack[i:]:
+                open_tags[tags[x]] -= 1
+            del stack[i:]
+
+        at, put = 0, self.pieces.append
+        for m in _PIECE.finditer(html):
+            if m.start() > at:
+                put((stack[-1], html[at : m.start()]))
+            at = m.end()
+            tag = m[4] or m[7]
+            if not tag:
+                if m[1]:
+                    put((stack[-1], None))
+                    if m[1].lower() == "title" and not self.title:
+                        self.title = " ".join(unescape(m[2] or "").split())
+                continue
+            tag, closing, attrs = tag.lower(), m[3] or m[6], m[5] or m[8] or ""
+            if tag not in INLINE:
+                put((stack[-1], None))
+            if closing:
+                if open_tags.get(tag):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if tags[stack[i]] == tag:
+                            close(i)
+                            break
+                        if tag in INLINE and tags[stack[i]] not in INLINE:
+                            break  # an inline end tag does not close blocks
                 continue
-        if not node.boiler:
-            there = True
-            out.append(" " if is_break else unescape(text) if "&" in text else text)
-    return " ".join("".join(out).split()) if there else None
+            if tag in VOID or attrs.endswith("/") and tag not in BOX_TAGS:
+                continue
+            if tag in CLOSES_P and open_tags.get("p"):
+                for i in range(len(stack) - 1, 0, -1):
+                    if tags[stack[i]] == "p":
+                        close(i)
+                        break
+                    if tags[stack[i]] not in INLINE:
+                        break
+            if tag in SAME_LEVEL and open_tags.get(tag):
+                for i in range(len(stack) - 1, 0, -1):
+                    if tags[stack[i]] == tag:
+                        close(i)
+                        break
+                    if tags[stack[i]] in SAME_LEVEL[tag]:
+                        break
+            stack.append(self._add(tag, attrs, stack[-1]))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+        if at < len(html):
+            put((stack[-1], html[at:]))
+
+    def _judge(self) -> None:
+        """Find menus: lists of links that stand in no article."""
+        n = len(self.tag)
+        chars, linked, links = [0] * n, [0] * n, [t == "a" for t in self.tag]
+        for node, text in self.pieces:
+            if text:
+                size = len(text.strip())
+                chars[node] += size
+                if self.link[node]:
+                    linked[node] += size
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+            links[p] += links[i]
+        for i in range(1, n):
+            menu = self.tag[i] in LISTS and links[i] >= LINKS and linked[i] >= LINK_SHARE * chars[i] and not self.article[i] and not self.main[i]
+            self.by_tag[i] = self.by_tag[i] or menu or self.by_tag[self.parent[i]]
+
+    def boiler(self, by_name: bool = True) -> list[bool]:
+        return [a or b for a, b in zip(self.by_tag, self.named)] if by_name else self.by_tag
 
+    def scores(self, boiler: list[bool]) -> list[tuple[int, float]]:
+        """``(path, share of the page's score)`` of the containers, best first."""
+        by_path: dict[int, float] = {}
+        for node, text in self.pieces:
+            n = len(text.strip()) if text else 0
+            if not n or boiler[node] or self.link[node]:
+                continue
+            weight, box = float(n), self.box[node]
+            for _ in range(3):
+                if not box:
+                    break
+                if self.tag[box] not in ("article", "main"):
+                    by_path[self.path[box]] = by_path.get(self.path[box], 0.0) + weight
+                weight, box = weight / 3, self.box[self.parent[box]]
+            # an article or the main part is one container, however deep its text lies
+            for whole, worth in ((self.article[node], 1.5), (self.main[node], 1.2)):
+                if whole:
+                    by_path[self.path[whole]] = by_path.get(self.path[whole], 0.0) + worth * n
+        total = sum(by_path.values())
+        return [(p, s / total) for p, s in sorted(by_path.items(), key=lambda x: (-x[1], x[0]))]
 
-def main_text(html: str | None, path: str | None) -> str:
-    """Main text along the agreed path, else along the page's own best container, else of the whole page."""
+    def blocks(self, boiler: list[bool]) -> list[tuple[int, str]]:
+        """``(element, text)`` of the blocks outside boilerplate, white space turned into single spaces."""
+        out, held, own = [], [], 0
+        for node, text in self.pieces:
+            if text is None:
+                if held:
+                    if block := " ".join("".join(held).split()):
+                        out.append((own, block))
+                    held = []
+            elif not boiler[node]:
+                own = node
+                held.append(unescape(text) if "&" in text else text)
+        if held and (block := " ".join("".join(held).split())):
+            out.append((own, block))
+        return out
+
+    def at(self, path: int, blocks: list[tuple[int, str]]) -> list[str]:
+        """The blocks inside the containers at ``path``, with the heading that the title repeats, wherever it stands."""
+        inside = [False]
+        for i in range(1, len(self.tag)):
+            inside.append(inside[self.parent[i]] or self.path[i] == path)
+        if any(self.h1[node] and inside[node] for node, _ in blocks):
+            return [b for node, b in blocks if inside[node]]
+        return [b for node, b in blocks if inside[node] or self.h1[node] and len(b) > 2 and b in self.title]
+
+    def whole(self) -> tuple[list[tuple[int, str]], list[bool]]:
+        """All blocks outside boilerplate, and what counts as such: names only if they leave anything."""
+        boiler = self.boiler()
+        got = self.blocks(boiler)
+        if not got and any(self.named) and (more := self.blocks(self.by_tag)):
+            return more, self.by_tag
+        return got, boiler
+
+
+def votes(html: str) -> tuple[list[tuple[int, float]], list[int], int]:
+    """Scores of a page's containers, its blocks, and the block that is its own: the longest."""
+    page = Page(html)
+    found, boiler = page.whole()
+    blocks = [b for _, b in found]
+    own = _digest(max(blocks, key=len)) if blocks else 0
+    return page.scores(boiler), list({_digest(b) for b in blocks}), own
+
+
+def main_text(html: str | None, path: int | None = None, furniture: frozenset[int] = frozenset()) -> str:
+    """Main text along the agreed path, else along the page's own best container, else of the whole page.
+
+    The agreed path is left where it holds less than a quarter of the page's
+    best container. ``furniture`` are digests of blocks that the host repeats;
+    the page's longest block is never one.
+    """
     if not html:
         return ""
-    got = extract(html, path) if path else None
-    if not got:
-        own = container_scores(html)
-        got = extract(html, own[0][0]) if own else extract(html, None)
-    return got or ""
+    page = Page(html)
+    found, boiler = page.whole()
+    if not found:
+        return ""
+    every = [b for _, b in found]
+    best = page.scores(boiler)
+    blocks = page.at(best[0][0], found) if best else every
+    if path is not None and best and path != best[0][0]:
+        agreed = page.at(path, found)
+        blocks = agreed if 4 * sum(map(len, agreed)) >= sum(map(len, blocks)) else blocks
+    if furniture:
+        own = max(every, key=len)
+        blocks = [b for b in blocks if b == own or _digest(b) not in furniture]
+    return " ".join(blocks or every)
 
 
 def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", votes: int = 4) -> DataFrame:
+def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Add ``text`` and ``n_chars`` (code points) to every row of ``pages``.
 
-    A page votes with at most its ``votes`` best containers. Null and empty
-    pages have an empty text; pages with a null url share one nameless host.
-    Repeated rows vote and are extracted each. Columns named ``text`` or
-    ``n_chars`` are replaced; all others are kept.
+    Null and empty pages have an empty text; pages with a null url share one
+    nameless host. Repeated rows vote and are extracted each; copies of one
+    article are one voice where a host's repeated blocks are found. An empty
+    table gives an empty result. Columns named ``text`` or ``n_chars`` are
+    replaced; all others are kept.
     """
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    hosted = pages.select(*kept, _host(url).alias("__host"))
+    hosted = pages.select(_host(url).alias("__host"), *kept)
 
     def vote(batches):
         for batch in batches:
-            host, path, share = [], [], []
+            host, kind, key, weight = [], [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for p, s in container_scores(page.as_py() or "")[:votes]:
-                    host.append(h)
-                    path.append(p)
-                    share.append(round(s * 1_000_000))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(share, pa.int64())], names=["host", "path", "share"])
-
-    ballots = hosted.select("__host", html).mapInArrow(vote, "host string, path string, share long")
-    sums = ballots.groupBy("host", "path").agg(F.sum("share").alias("votes"))
-    best = stash(sums.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("__path")).withColumnRenamed("host", "__host"))
-    joined = hosted.join(best, "__host", "left").select(*kept, "__path")
+                paths, blocks, own = votes(page.as_py() or "")
+                n = len(paths) + len(blocks) + 1
+                host += [h] * n
+                kind += [0] * len(paths) + [1] * len(blocks) + [2]
+                key += [p for p, _ in paths] + blocks + [0]
+                weight += [round(s * 1_000_000) for _, s in paths] + [1 << own % 63] * (len(blocks) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(weight, pa.int64())], names=["host", "kind", "key", "weight"])
+
+    # kind 0: a path and its share; 1: a block, 2: the page, with a bit that tells articles apart
+    ballots = hosted.select("__host", html).mapInArrow(vote, "host string, kind int, key long, weight long")
+    sums = ballots.groupBy("host", "kind", "key").agg(F.sum(F.when(F.col("kind") == 0, F.col("weight"))).alias("votes"), F.count("*").alias("pages"), F.bit_count(F.bit_or("weight")).alias("articles"))
+    sums = stash(sums)  # read three times, and pages are parsed once
+    # a block is furniture on half of the pages at least, so a host has at most twice a page's blocks of them
+    of_host = sums.where("kind <> 1").groupBy("host").agg(
+        F.max_by(F.when(F.col("kind") == 0, F.col("key")), F.when(F.col("kind") == 0, F.struct("votes", "key"))).alias("path"),
+        F.max(F.when(F.col("kind") == 2, F.col("pages"))).alias("n"),
+    )
+    common = sums.where((F.col("kind") == 1) & (F.col("articles") >= DIFFERENT)).select("host", "key", "pages")
+    common = common.join(of_host, "host").where(F.col("pages") >= SHARE * F.col("n")).groupBy("host").agg(F.collect_list("key").alias("common"))
+    best = stash(of_host.join(common, "host", "left").select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("common").alias("__common")))
+    joined = hosted.join(best, "__host", "left").select(*[F.col(f"`{c}`") for c in kept], "__path", "__common")
     schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
     at = kept.index(html)
 
     def read(batches):
         for batch in batches:
-            text = [main_text(page.as_py(), path) for page, path in zip(batch.column(at), batch.column(len(kept)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*kept, "text", "n_chars"])
+            rows = zip(batch.column(at), batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
+            text = [main_text(page.as_py(), path, frozenset(common or ())) for page, path, common in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*kept, "text", "n_chars"])
 
     return joined.mapInArrow(read, schema)
