@@ -90,6 +90,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+@query
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of ``op6_pii``, which SQL can express."""
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 @query
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and filter-model scores of every document."""
@@ -124,6 +132,15 @@ ORACLE_SQL["op3_embeddings"] = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CA
   SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
   FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id"""
 
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS BIGINT)
+    ELSE 2 * CAST(substr(reverse({_DIGITS}), i, 1) AS BIGINT) - CASE WHEN CAST(substr(reverse({_DIGITS}), i, 1) AS BIGINT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+ORACLE_SQL["pii_base"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS n_email,
+    len(list_filter(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda y: coalesce(TRY_CAST(y AS HUGEINT), 999) > 255)) = 0)) AS n_ip,
+    len(list_filter(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda x: length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN})) AS n_card,
+    len(list_filter(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 9 AND 15)) AS n_phone FROM d"""
+
 ORACLE_SQL["op7_topk"] = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_VALID}),
   s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
