@@ -8,9 +8,11 @@
 3. Bands of compressed registers give buckets. In each bucket every member is
    paired with the member that shares most buckets and with the smallest id.
    Pairs pass a collision-corrected Jaccard estimate, then a count on full sets.
-4. Buckets whose members still lie in different components are compared across
-   components, block against block, so that no link is lost to the choice of
-   pivots; buckets inside one component need no more pairs.
+4. Buckets whose members still lie in different components are given further
+   pivots, drawn among their components, which unite most of what belongs
+   together. What stays mixed is compared across components, block against
+   block, so that no link is lost to the choice of pivots; buckets inside one
+   component need no more pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .common import connected_components, forget, stash
 
 _U = np.uint64
 REGISTERS = 256
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 512
+#: Members of a bucket that are compared with each other at once, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: Rounds of further pivots in mixed buckets.
+ROUNDS = 2
 MANTISSA = 10
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
@@ -205,17 +209,32 @@ def _small(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "id long, items binary")
 
 
-def _across(members: DataFrame, reps: DataFrame, sets: DataFrame, comp: DataFrame, rows: int, threshold: float, slack: float) -> DataFrame:
-    """Pairs of one bucket in different components that may be linked.
+def _mixed(members: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """``bucket, band, id, component, parts`` of the members of buckets that hold several components, in blocks of bounded size."""
+    owned = members.select("bucket", "band", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    owned = owned.join(reps.select("id", "n"), "id")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(4 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("parts")
+    mixed = owned.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), parts).where("x <> y").select("bucket", "parts")
+    return stash(owned.drop("n").join(mixed, "bucket"))
+
+
+def _united(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` of all nodes when ``links`` (a, b) are added to what ``comp`` holds."""
+    first = links.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    late = connected_components(first.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    old = comp.withColumnRenamed("component", "c").join(late.toDF("c", "to"), "c", "left").select("node", F.coalesce("to", "c").alias("component"))
+    # ends of links that had no component of their own
+    return old.unionAll(late.join(comp.select("node"), "node", "left_anti")).distinct()
+
+
+def _across(owned: DataFrame, reps: DataFrame, sets: DataFrame, rows: int, threshold: float, slack: float) -> DataFrame:
+    """Pairs of one mixed bucket in different components that may be linked.
 
     Buckets are cut into blocks and blocks compared pairwise: first on their
     registers, then by sets of short hashes, which can only overstate a
     similarity. A pair is looked at in its first common band only.
     """
     least = threshold - slack * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-    owned = members.select("bucket", "band", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = owned.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("x <> y").select("bucket", "parts")
-    owned = stash(owned.join(mixed, "bucket"))
     body = reps.select("id", "n", "sketch").join(_small(sets.join(owned.select("id").distinct(), "id", "left_semi")), "id")
     cut = owned.join(body, "id")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -300,16 +319,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sets = stash(shingle_arrays(docs.select("doc_id", text).join(need, "doc_id", "left_semi"), size, text))
     edges = stash(_confirm(pairs, sets, percent))
     comp = stash(connected_components(edges))
-    more = stash(_across(members, reps, sets, comp, rows, percent / 100, slack))
+    for n in range(ROUNDS):
+        owned = _mixed(members, reps, comp)
+        if owned.isEmpty():
+            break
+        # a component of the bucket by lot, and its first member: small components are drawn as often as large ones
+        drawn = owned.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("component", F.lit(n)).alias("lot"), "component", (-F.col("id")).alias("m"))).alias("d"))
+        drawn = drawn.select("bucket", F.col("d.component").alias("own"), (-F.col("d.m")).alias("to"))
+        tried = owned.join(drawn, "bucket").where("component <> own").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+        more = stash(_confirm(stash(_alike(tried, reps, percent / 100, slack)), sets, percent))
+        comp = stash(_united(comp, more))
+    owned = _mixed(members, reps, comp)
+    more = stash(_across(owned, reps, sets, rows, percent / 100, slack))
     more = stash(_confirm(more, sets, percent))
-    for done in (members, pairs, sets, edges):
+    comp = stash(_united(comp, more))
+    for done in (members, pairs, sets, edges, owned):
         forget(done)
-    # components that a late link unites
-    first = F.coalesce("component", "id")
-    late = more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-    late = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    owner = reps.select("f1", "f2", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", first.alias("node"))
-    owner = owner.join(late, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    owner = reps.select("f1", "f2", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     found = full.select("doc_id", "n_shingles", "f1", "f2").join(owner, ["f1", "f2"], "left")
     cid = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     cid = F.when(F.col("doc_id").isNotNull(), cid)

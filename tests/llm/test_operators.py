@@ -90,7 +90,10 @@ def test_minhash(spark, odd, size):
     assert got == near(odd, size)
 
 
-def test_minhash_star_without_links_between_copies(spark):
+@pytest.mark.parametrize("rounds,block", [(2, 512), (0, 512), (0, 16)])
+def test_minhash_star_without_links_between_copies(spark, monkeypatch, rounds, block):
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     rows = [(1000, " ".join(base))]
