@@ -260,7 +260,7 @@ def count_ngrams(train: DataFrame, log2: int, bits: int) -> DataFrame:
 
 def _broadcast_log2(spark) -> int:
     """Bits, as a power of two, of a filter within the session's bound for broadcast tables; 16 at least."""
-    said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "") or ""
+    said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold") or ""
     got = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)i?b?\s*", said.lower())
     if not got:
         return FILTER_LOG2

@@ -317,6 +317,11 @@ def test_filter_grows_with_the_corpus(spark, odd):
     assert all(abs(few[i] - near[i]) <= 0.02 * abs(near[i]) for i in near)
 
 
+def test_broadcast_bound_is_the_sessions(spark):
+    assert lm._broadcast_log2(spark) == 26  # 10 MB, as Spark has it
+    assert lm.score_texts(texts(spark, [(1, "a b"), (2, None)]), lm.by_seventh()).count() == 2
+
+
 def test_segment_holds_all():
     rng = np.random.default_rng(1)
     parts = [(rng.integers(0, 2**48, n, dtype=np.uint64), rng.integers(1, 400, n)) for n in (500, 3000)]
