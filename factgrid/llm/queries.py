@@ -25,6 +25,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
@@ -114,6 +120,38 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document with the piece vocabulary and decode it."""
+    from .pieces import round_trip_digest
+
+    return round_trip_digest(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of ``op13_whitening``, which SQL can express."""
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).select("vec_id", "component", "n", "deviation")
+
+
 _VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 _REACH = """, r AS (SELECT a, b FROM links UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a)"""
 
@@ -145,3 +183,25 @@ ORACLE_SQL["op7_topk"] = f"""WITH v AS (SELECT vec_id, list_transform(embedding,
   s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
   SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5"""
+
+ORACLE_SQL["whitening_base"] = f"""WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE {_VALID}),
+  x AS (SELECT row_number() OVER () AS row, vec_id, list_transform(e, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) + 100000) AS x FROM v),
+  p AS (SELECT row, vec_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM x),
+  s AS (SELECT i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM p GROUP BY i),
+  d AS (SELECT row, vec_id, n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation, count(*) AS size FROM p JOIN s USING (i) GROUP BY row, vec_id, n)
+  SELECT vec_id, CAST(unnest(range(1, least(size, 8) + 1)) AS INTEGER) AS component, n, deviation FROM d"""
+
+_FLOOR = "CAST((CAST(2000000 AS HUGEINT) * a) // (CAST(l AS HUGEINT) + r) AS BIGINT)"
+ORACLE_SQL["op12_collocations"] = f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+  n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+  g AS (SELECT lang, k, unnest(list_transform(range(1, CAST(len(w) AS BIGINT) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS g FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+  f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+  c AS (SELECT f.lang, f.k, f.g, f.f AS a, unnest(range(1, f.k)) AS cut FROM f WHERE f.k > 1),
+  s AS (SELECT c.*, x.f AS l, y.f AS r FROM c JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.cut) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, c.cut + 1, c.k)),
+  b AS (SELECT *, {_FLOOR} AS score FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY {_FLOOR}, cut) = 1),
+  i AS (SELECT f.lang, f.f, unnest(flatten(list_transform(range(2, f.k), lambda m: list_transform(range(1, f.k - m + 2), lambda i: list_slice(f.g, i, i + m - 1))))) AS g FROM f WHERE f.k > 2),
+  o AS (SELECT lang, g, max(f) AS f FROM i GROUP BY ALL),
+  k AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE o.f IS NULL OR 100 * CAST(o.f AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+  z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+  SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000"""
