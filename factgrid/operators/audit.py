@@ -9,6 +9,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import commit, content, names
+
 SCHEMA = "id long, ts string, payload string, prev_sha256 string, event_sha256 string"
 FIELDS = ("ts", "principal", "policy", "question", "answer_path", "refused", "policy_denied", "blocked_generation", "record_ids", "record_hashes", "answer_sha256", "retrieval_ms", "generation_ms")
 
@@ -16,13 +18,17 @@ FIELDS = ("ts", "principal", "policy", "question", "answer_path", "refused", "po
 class AuditLog:
     """Writers append; anybody may read and verify in parallel.
 
-    The chain is sequential by nature, so ``record`` is a driver-side append of
-    one row. A number is taken by creating the head file of that number, which
-    fails if another writer has it: two writers cannot fork the chain. The head
-    file holds its event, so that an event whose row was not written before a
-    crash is written by the next writer. The canonical payload is stored, so no
-    reader must rebuild it. Removal at the tail shows only against an anchored
-    head.
+    The log is a folder of commits. A commit holds one event or a group of
+    events in one file, which is named by the number of its first event and
+    never removed or replaced. Since a file's name can be taken once only,
+    whoever appends to an end that is not the end any more is refused and links
+    to the new one: the chain cannot fork, however old a writer's knowledge is.
+    A file is complete when it appears, so a crash leaves the group whole or
+    out. The canonical payload is stored, so no reader must rebuild it.
+    Removal at the tail shows only against an anchored head.
+
+    Linking is sequential by nature and done on the driver; the cost of a write
+    is one file, whether it holds one event or thousands (``record_all``).
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -30,61 +36,43 @@ class AuditLog:
         self._head: tuple[int, str] | None = None  # number and hash of the last event known here
 
     def events(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/events")
-        except Exception as e:  # nothing was recorded yet
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], SCHEMA)
-            raise
-
-    # -- heads -------------------------------------------------------------
-    def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/heads")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _file(self, n: int):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/heads/{n:019d}")
-
-    def _append(self, row: list) -> None:
-        self.spark.createDataFrame([tuple(row)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+        if not names(self.spark, f"{self.path}/commits"):  # nothing was recorded yet
+            return self.spark.createDataFrame([], SCHEMA)
+        groups = self.spark.read.text(f"{self.path}/commits", wholetext=True)
+        return groups.select(F.explode(F.from_json("value", f"array<struct<{SCHEMA}>>")).alias("e")).select("e.*")
 
     def _read_head(self) -> tuple[int, str]:
-        """The last event by the head files, of which a few are kept; its row is written if it is missing."""
-        fs, at = self._fs()
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-        if not names:
+        """Number and hash of the last event, from the last commit."""
+        found = names(self.spark, f"{self.path}/commits")
+        if not found:
             return 0, ""
-        row = json.loads(self.spark.read.text(f"{self.path}/heads/{names[-1]}").first().value)
-        if self.events().where(F.col("id") == row[0]).isEmpty():
-            self._append(row)
-        return row[0], row[4]
-
-    def _take(self, row: list) -> bool:
-        """Create the head file of the row's number, unless it is there."""
-        fs, _ = self._fs()
-        try:
-            out = fs.create(self._file(row[0]), False)
-        except Exception as e:
-            if "AlreadyExists" in str(e):
-                return False
-            raise
-        out.write(bytearray(json.dumps(row).encode()))
-        out.close()
-        if row[0] > 2:
-            fs.delete(self._file(row[0] - 2), False)
-        return True
+        row = json.loads(content(self.spark, f"{self.path}/commits/{found[-1]}"))[-1]
+        return row["id"], row["event_sha256"]
+
+    def _take(self, *rows: list) -> bool:
+        """Commit linked rows, unless the number of the first is taken."""
+        keys = [part.split(" ")[0] for part in SCHEMA.split(", ")]
+        return commit(self.spark, f"{self.path}/commits", f"{rows[0][0]:019d}", json.dumps([dict(zip(keys, r)) for r in rows]))
 
     def record(self, event: dict) -> int:
+        return self.record_all([event])[0]
+
+    def record_all(self, events: list[dict]) -> list[int]:
+        """Append events in their order, as one file; their numbers."""
+        if not events:
+            return []
         while True:
             n, prev = self._head or self._read_head()
-            body = {"ts": datetime.now(UTC).isoformat(timespec="milliseconds")} | event
-            payload = json.dumps([body.get(k) for k in FIELDS])
-            own = hashlib.sha256((payload + prev).encode()).hexdigest()
-            row = [n + 1, body["ts"], payload, prev, own]
-            if self._take(row):
-                self._append(row)
-                self._head = (n + 1, own)
-                return n + 1
+            rows = []
+            for k, event in enumerate(events, 1):
+                body = {"ts": datetime.now(UTC).isoformat(timespec="milliseconds")} | event
+                payload = json.dumps([body.get(f) for f in FIELDS])
+                own = hashlib.sha256((payload + prev).encode()).hexdigest()
+                rows.append([n + k, body["ts"], payload, prev, own])
+                prev = own
+            if self._take(*rows):
+                self._head = (n + len(rows), prev)
+                return [r[0] for r in rows]
             self._head = None  # another writer was first
 
     def last(self, n: int = 50) -> DataFrame:

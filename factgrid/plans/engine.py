@@ -62,16 +62,38 @@ class Engine:
 
     def __init__(self, entries: DataFrame, settings: Settings | None = None, audit: AuditLog | None = None, generator: Callable[[str], str] | None = None):
         self.spark: SparkSession = entries.sparkSession
+        self._keep(entries)
+        self.stored: tuple[str, int] = ("", 0)  # where the entries come from, and the version
+        self.settings, self.audit, self.generator = settings or Settings(), audit, generator
+
+    def _keep(self, entries: DataFrame) -> None:
         self.entries = prepared(entries).persist(StorageLevel.MEMORY_AND_DISK)
         self.vocabulary = index.known_entities(self.entries).persist(StorageLevel.MEMORY_AND_DISK)
-        self.settings, self.audit, self.generator = settings or Settings(), audit, generator
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **given) -> Engine:
-        return cls(index.load(spark, path), **given)
+        version = index.current(spark, path)
+        engine = cls(index.load(spark, path, number=version.number), **given)
+        engine.stored = (path, version.number)
+        return engine
 
     def save(self, path: str) -> None:
-        index.save(self.entries, path)
+        """Write all entries; back to where they came from only if no other writer has changed that meanwhile."""
+        came_from, number = self.stored
+        version = index.save(self.entries, path, expected=number if path == came_from else None)
+        self.stored = (path, version.number)
+
+    def add(self, entries: DataFrame) -> None:
+        """Upsert ``entries (id, text)`` into the stored index this engine was opened from or saved to; only they are encoded."""
+        path, _ = self.stored
+        if not path:
+            raise ValueError("save the engine first")
+        if "pos" not in entries.columns:
+            entries = number_rows(entries.withColumn("__at", F.monotonically_increasing_id()), "__at").withColumnRenamed("n", "pos")
+        version = index.append(entries, path)
+        self.close()
+        self._keep(index.load(self.spark, path, number=version.number))
+        self.stored = (path, version.number)
 
     def close(self) -> None:
         self.vocabulary.unpersist()

@@ -13,7 +13,8 @@ from ..functions import questions as qx
 from ..operators import aggregates, audit, index, metrics, policy, search, verified
 from ..sources import generators, records
 from ..sources.records import AccessPolicy
-from ..storage import stash
+from ..storage import folder, stash
+from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -293,6 +294,19 @@ def jn04_upsert(spark, sf_dir):
     return index.upsert(base, again.union(fresh))
 
 
+@query(ORACLE_SQL["jn04_upsert"])
+def snk01_append(spark, sf_dir):
+    """The same changes, made in two appends to an index that the engine has stored, then folded into it."""
+    o = table(spark, sf_dir, "orders").withColumn("id", F.concat(F.lit("Order_"), "o_orderkey"))
+    path = folder(spark)
+    Engine(o.select(F.col("o_orderkey").alias("pos"), "id", F.lit("old").alias("text"))).save(path)
+    index.append(o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("pos"), "id", F.lit("new").alias("text")), path)
+    fresh = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("New_"), "c_custkey").alias("id"), F.lit("new").alias("text"))
+    index.append(fresh, path)
+    index.compact(spark, path)
+    return index.load(spark, path).select("pos", "id", "text")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def jn05_delete(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")

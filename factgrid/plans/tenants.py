@@ -27,6 +27,10 @@ class Tenants:
         """Save the entries with their vectors, which no question makes again."""
         index.save(prepared(entries), self.path(name, "index"))
 
+    def add(self, name: str, entries: DataFrame) -> None:
+        """Upsert ``entries (pos, id, text)`` into the tenant's stored index."""
+        index.append(entries, self.path(name, "index"))
+
     def engine(self, name: str, settings: Settings | None = None, **given) -> Engine:
         """The tenant's engine, over its own index and with its own log."""
         return Engine.open(self.spark, self.path(name, "index"), settings=settings, audit=self.audit(name), **given)

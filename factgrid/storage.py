@@ -37,11 +37,15 @@ def stash(df: DataFrame, outer: bool = False) -> DataFrame:
     Inside ``call`` the files go to the call's folder, with ``outer`` to that
     of the call around it.
     """
-    spark = df.sparkSession
-    folders = _calls.get()[:-1] if outer else _calls.get()
-    path = f"{folders[-1] if folders else shared_dir(spark) + '/stash'}/{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, outer)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, outer: bool = False) -> str:
+    """A new folder's path where ``stash`` writes."""
+    folders = _calls.get()[:-1] if outer else _calls.get()
+    return f"{folders[-1] if folders else shared_dir(spark) + '/stash'}/{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -62,6 +66,49 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def commit(spark: SparkSession, folder: str, name: str, content: str) -> bool:
+    """Put a whole file into ``folder`` under ``name``, unless that name is taken; whether it was free.
+
+    The file is written beside it and renamed without overwriting, which file
+    systems like HDFS do in one step: a file that is there is complete, and of
+    several writers of one name a single one succeeds.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, waiting = hadoop.Path(f"{folder}/{name}"), hadoop.Path(f"{folder}/.{name}-{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return False
+    out = fs.create(waiting, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    try:
+        files = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+        files.rename(fs.makeQualified(waiting), fs.makeQualified(at), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception as e:
+        fs.delete(waiting, False)
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the complete files of a folder, in order; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(n for s in fs.listStatus(at) if (n := s.getPath().getName())[0] != ".") if fs.exists(at) else []
+
+
+def content(spark: SparkSession, file: str) -> str:
+    """The text of a small file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stashed table that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

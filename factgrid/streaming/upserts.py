@@ -17,15 +17,20 @@ def dense(df: DataFrame, order: str) -> DataFrame:
 def upsert_stream(changes: DataFrame, path: str, order: str, checkpoint: str):
     """Apply ``changes (id, text, order)`` to the index at ``path``; of equal ids the greatest order wins.
 
-    Each batch is an anti join and a union written as a new version, so a batch
-    that is run again after a failure gives the same index.
+    Each batch is one delta layer of the stored index, entered together with
+    its number: a batch that is run again after a failure changes nothing. An
+    index that is not there yet is made with field maps and vectors.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         delta = dense(index.keep_last(batch, "id", order), order).select("pos", "id", "text")
-        base = index.load(spark, path) if index.exists(spark, path) else spark.createDataFrame([], "pos long, id string, text string")
-        index.save(index.upsert(base, delta), path)
+        if not index.exists(spark, path):
+            try:
+                index.save(index.completed(delta.limit(0), ["pos", "id", "text", "fields", "hv"]), path, expected=0)
+            except index.Conflict:
+                pass  # another stream was first
+        index.append(delta, path, source=checkpoint, batch=number)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
