@@ -1,21 +1,25 @@
 """Phrase collocations by Apriori level-wise passes over the texts.
 
-Level 1 counts words by their spelling. Each further level broadcasts a filter
-of the frequent phrases of the level before and takes a phrase of k words only
-where the filter holds both its phrases of k - 1 words; tasks add up their
-occurrences before Spark groups them, and phrases that are not frequent go. The
-level tables then give the counts of all parts of a candidate in one join.
-
-Phrases are tuples of 64-bit word hashes. Level 1 makes sure that no frequent
-word of a language shares its hash with any other word (else all are hashed
-anew), so tuples stand for spellings exactly. The filter is a bitmap with a
-fixed greatest size: a phrase that it lets through wrongly costs a row that the
-exact count drops, and no frequent phrase is lost at any size.
+Level 1 counts words. Each further level broadcasts a filter of the frequent
+phrases of the level before and takes a phrase of k words only where the filter
+holds both its phrases of k - 1 words. Tasks add up their occurrences and hand
+them on as blocks of one bucket of the phrases' hashes; Spark brings the blocks
+of a bucket together, whose sums are taken in one task, and phrases that are
+not frequent go. The level tables then give the counts of all parts of a
+candidate in one join.
+
+Phrases are tuples of 64-bit word hashes. Level 1 counts words by two hashes
+and makes sure that no frequent word shares its first hash with any other word
+(else all are hashed anew), so tuples stand for spellings, up to words that
+agree in 128 bits. The filter is a bitmap with a fixed greatest size: a phrase
+that it lets through wrongly costs an entry that the count drops, and no
+frequent phrase is lost at any size.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,8 +33,8 @@ from .common import stash
 
 #: Bits of a filter: sixteen for each frequent phrase, in whole blocks, at most 8 MB.
 FILTER_BITS, BLOCK_LOG2, MOST_LOG2 = 16, 15, 26
-#: Phrases that a task holds before it hands them on.
-HELD = 1 << 20
+#: Phrases that a task holds before it hands them on, and bytes of text for each bucket.
+HELD, BUCKET_BYTES = 1 << 19, 1 << 21
 #: Words of more bytes than this are hashed by a library function.
 LONG_WORD = 256
 _U = np.uint64
@@ -49,16 +53,19 @@ class _Words:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, langs: np.ndarray, seed: int):
         self.low, row, self.start, self.end = spans(data, starts, _OUTSIDE)
-        h = span_hash(prefix(self.low ^ np.uint8(seed)), self.start, self.end)
-        for w in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
-            word = self.low[self.start[w] : self.end[w]].tobytes()
-            h[w] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=bytes([seed])).digest(), "little")
-        self.lang = row
-        self.hash = pair_hash(langs[row], h)
+        self.row, self.by_row = row, langs
+        self.hash = self.hashed(seed)
         cuts = np.concatenate(([0], np.cumsum(_CUT[self.low])))
         #: For each word but the last, whether the next one is in the same piece.
         self.joined = (cuts[self.start[1:]] == cuts[self.end[:-1]]) & (row[1:] == row[:-1])
 
+    def hashed(self, seed: int) -> np.ndarray:
+        """A hash of each word and its language."""
+        h = span_hash(prefix(self.low ^ np.uint8(seed)), self.start, self.end)
+        for w in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            h[w] = int.from_bytes(hashlib.blake2b(self.spelling(w), digest_size=8, key=bytes([seed])).digest(), "little")
+        return pair_hash(self.by_row[self.row], h)
+
     def spelling(self, w: int) -> bytes:
         return self.low[self.start[w] : self.end[w]].tobytes()
 
@@ -75,92 +82,155 @@ def _runs(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[_Words
                 yield _Words(data, starts, np.array([known[x] for x in langs], np.uint64), seed), langs
 
 
+#: What tasks hand on, by bucket: counted tuples (columns of hashes one after another), words with their spelling, words of a language.
+BLOCK = "bucket int, kind int, lang string, keys binary, counts binary, words binary"
+_TUPLES, _SPELT, _TOTAL = range(3)
+_BLOCK_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+_BLOCK_NAMES = [x.split(" ")[0] for x in BLOCK.split(", ")]
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_TYPES)], names=_BLOCK_NAMES)
+
+
+def _folded(cols: list[np.ndarray], count: np.ndarray, by: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Equal tuples become one, in the order of ``by``; only tuples that are equal in every column do."""
+    order = np.argsort(by, kind="stable")
+    cols, by = [c[order] for c in cols], by[order]
+    first = np.ones(len(order), bool)
+    first[1:] = reduce(np.logical_or, (c[1:] != c[:-1] for c in cols))
+    at = np.flatnonzero(first)
+    return [c[at] for c in cols], np.add.reduceat(count[order], at) if len(at) else count[:0], by[at]
+
+
 class _Counts:
-    """Occurrences of tuples of hashes, added up while they are few enough."""
+    """Occurrences of tuples of hashes, added up while they are few enough, then handed on by bucket."""
 
-    def __init__(self, width: int):
-        self.width, self.held, self.n, self.done = width, [], 0, 0
+    def __init__(self, log2: int, key):
+        #: ``key`` gives the hash by which tuples are dealt to 2**log2 buckets.
+        self.log2, self.key, self.held, self.n, self.folded = log2, key, [], 0, 0
 
     def add(self, columns: list[np.ndarray]) -> bool:
         """Take up occurrences; whether it is time to hand the sums on."""
-        self.held.append([*columns, np.ones(len(columns[0]), np.int64)])
+        self.held.append((columns, np.ones(len(columns[0]), np.int64)))
         self.n += len(columns[0])
-        if self.n - self.done > HELD:
-            self.fold()
+        if self.n - self.folded > HELD:
+            self._fold()
         return self.n > HELD
 
-    def fold(self) -> None:
-        """Equal tuples become one; only tuples that are equal in every hash do."""
-        *cols, count = (np.concatenate(c) for c in zip(*self.held))
-        order = np.argsort(reduce(pair_hash, cols), kind="stable")
-        cols = [c[order] for c in cols]
-        first = np.ones(len(order), bool)
-        first[1:] = reduce(np.logical_or, (c[1:] != c[:-1] for c in cols))
-        at = np.flatnonzero(first)
-        self.held = [[*(c[at] for c in cols), np.add.reduceat(count[order], at)]] if len(at) else []
-        self.n = self.done = len(at)
+    def _fold(self) -> np.ndarray:
+        cols = [np.concatenate(c) for c in zip(*(x for x, _ in self.held))]
+        cols, count, by = _folded(cols, np.concatenate([c for _, c in self.held]), self.key(cols))
+        self.held, self.n, self.folded = [(cols, count)], len(count), len(count)
+        return by
 
     def take(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            self.fold()
-            *cols, count = self.held[0]
-            for a in range(0, len(count), 1 << 16):
-                cut = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[cut].view(np.int64)) for c in cols), pa.array(count[cut])], names=[*_names(self.width), "c"])
-        self.held, self.n, self.done = [], 0, 0
+            bucket = (self._fold() >> _U(64 - self.log2)).astype(np.int64)
+            cols, count = self.held[0]
+            edge = np.searchsorted(bucket, np.arange((1 << self.log2) + 1))
+            for first in range(0, 1 << self.log2, 256):
+                rows = []
+                for b in range(first, min(first + 256, 1 << self.log2)):
+                    cut = slice(edge[b], edge[b + 1])
+                    if cut.start < cut.stop:
+                        rows.append((b, _TUPLES, None, b"".join(c[cut].tobytes() for c in cols), count[cut].tobytes(), None))
+                if rows:
+                    yield _blocks(rows)
+        self.held, self.n, self.folded = [], 0, 0
+
+
+def _gathered(parts: DataFrame, width: int, least: int, schema: str, key, shared: bool = False) -> DataFrame:
+    """Sums over the blocks of each bucket: ``f`` of frequent tuples (hashes in ``h1`` ..), spellings and totals as they come.
+
+    With ``shared`` tuples are two hashes of a word, of which the first stays;
+    one that a frequent word shares with another has -1 for its count.
+    """
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches):
+        kept: list[tuple[list[np.ndarray], np.ndarray]] = []
+        spelt: dict[int, tuple[str, bytes]] = {}
+        now = None
+
+        def close():
+            rows: dict[str, pa.Array] = {}
+            if kept:
+                cols = [np.concatenate(c) for c in zip(*(x for x, _ in kept))]
+                cols, f, _ = _folded(cols, np.concatenate([c for _, c in kept]), key(cols))
+                often = f >= least
+                if shared:
+                    h, n = np.unique(cols[0], return_counts=True)
+                    clash = often & (n[np.searchsorted(h, cols[0])] > 1)
+                    f = np.where(clash, -1, f)
+                rows = {f"h{i}": pa.array(c[often].view(np.int64)) for i, c in enumerate(cols[:1] if shared else cols, 1)} | {"f": pa.array(f[often])}
+                yield _rows(rows)
+            if spelt:
+                lang, word = zip(*spelt.values())
+                yield _rows({"h1": pa.array(spelt, pa.int64()), "lang": pa.array(lang, pa.string()), "word": pa.array(word, pa.binary())})
+            kept.clear()
+            spelt.clear()
+
+        def _rows(given: dict[str, pa.Array]) -> pa.RecordBatch:
+            n = len(next(iter(given.values())))
+            kind = {"lang": pa.string(), "word": pa.binary()}
+            return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, kind.get(c, pa.int64())) for c in names], names=names)
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bucket, kind, lang, keys, counts, words = (c[r].as_py() for c in batch.columns)
+                if bucket != now:
+                    yield from close()
+                    now = bucket
+                count = np.frombuffer(counts, np.int64)
+                if kind == _TUPLES:
+                    kept.append(([*np.frombuffer(keys, np.uint64).reshape(width, -1)], count))
+                elif kind == _TOTAL:
+                    yield _rows({"lang": pa.array([lang]), "n": pa.array(count)})
+                else:
+                    at = 0
+                    for h, size in zip(np.frombuffer(keys, np.int64).tolist(), count.tolist()):
+                        spelt[h] = (lang, words[at : at + size])
+                        at += size
+        yield from close()
+
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _names(width: int) -> list[str]:
     return [f"h{i}" for i in range(1, width + 1)]
 
 
-# -- level 1 -------------------------------------------------------------
-def _words(texts: DataFrame, seed: int) -> DataFrame:
-    """``h1, lang, word, f`` of all words, counted by spelling."""
+def _tuple_hash(cols: list[np.ndarray]) -> np.ndarray:
+    return reduce(pair_hash, cols)
 
-    def run(batches):
-        held: dict[tuple[str, bytes], list[int]] = {}
 
-        def rows():
-            h, c = zip(*held.values())
-            langs, words = zip(*held)
-            out = [pa.array(h, pa.int64()), pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(c, pa.int64())]
-            held.clear()
-            table = pa.Table.from_arrays(out, names=["h1", "lang", "word", "c"])
-            return table.to_batches(max_chunksize=1 << 14)
+def _first_hash(cols: list[np.ndarray]) -> np.ndarray:
+    return mix(cols[0])  # all words that share it meet
 
-        size = 0
-        for words, langs in _runs(batches, seed):
-            _, first, which, count = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
-            # a spelling is read once for equal hashes of a run, if a second hash agrees as well
-            second = span_hash(prefix(words.low ^ np.uint8(255 - seed)), words.start, words.end)
-            if (second != second[first][which]).any():
-                first, count = np.arange(len(words.hash)), np.ones(len(words.hash), np.int64)
-            signed = words.hash[first].view(np.int64).tolist()
-            for w, h, c in zip(first.tolist(), signed, count.tolist()):
-                key = (langs[words.lang[w]], words.spelling(w))
-                if (got := held.get(key)) is None:
-                    held[key] = [h, c]
-                    size += len(key[1]) + 200
-                else:
-                    got[1] += c
-            if size > 64 << 20:
-                yield from rows()
-                size = 0
-        if held:
-            yield from rows()
-
-    parts = texts.mapInArrow(run, "h1 long, lang string, word binary, c long")
-    return parts.repartition("h1").groupBy("h1", "lang", "word").agg(F.sum("c").alias("f"))
 
+# -- level 1 -------------------------------------------------------------
+def _level_one(texts: DataFrame, least: int, log2: int) -> tuple[DataFrame, DataFrame, int]:
+    """``h1, f`` of frequent words, ``lang, n`` of all, and the seed under which no frequent word shares its hash."""
+
+    def counted(seed: int) -> DataFrame:
+        def run(batches):
+            counts, totals = _Counts(log2, _first_hash), Counter()
+            for words, langs in _runs(batches, seed):
+                for x, n in zip(langs, np.bincount(words.row, minlength=len(langs)).tolist()):
+                    totals[x] += n
+                if len(words.hash) and counts.add([words.hash, words.hashed(255 - seed)]):
+                    yield from counts.take()
+            yield from counts.take()
+            if totals:
+                yield _blocks([(_lang_hash(x) % (1 << log2), _TOTAL, x, b"", np.array([n], np.int64).tobytes(), None) for x, n in totals.items() if n])
+
+        return stash(_gathered(texts.mapInArrow(run, BLOCK), 2, least, "h1 long, f long, lang string, n long", _first_hash, shared=True))
 
-def _level_one(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """The counted words, and the seed under which no frequent one shares its hash."""
     for seed in range(128):
-        words = stash(_words(texts, seed))
-        shared = words.groupBy("h1").agg(F.count("*").alias("n"), F.max("f").alias("f")).where((F.col("n") > 1) & (F.col("f") >= least))
-        if shared.isEmpty():
-            return words, seed
+        found = counted(seed)
+        if found.where("f < 0").isEmpty():
+            return found.where("f is not null").select("h1", "f"), found.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n")), seed
     raise RuntimeError("frequent words share 64-bit hashes under each of 128 hash functions")
 
 
@@ -203,32 +273,51 @@ def _holds(bits: np.ndarray, log2: int, hashes: list[np.ndarray]) -> np.ndarray:
 
 
 # -- further levels ------------------------------------------------------
-def _level(texts: DataFrame, before: DataFrame, width: int, seed: int, least: int) -> DataFrame:
-    """Frequent phrases of ``width`` words, whose two phrases of one word less are frequent: ``h1 .. hk, f``."""
-    log2, bits = _filter(before, width - 1)
+def _level(texts: DataFrame, before: DataFrame, width: int, seed: int, least: int, log2: int) -> DataFrame:
+    """Frequent phrases of ``width`` words, whose two phrases of one word less are frequent: ``h1 .. hk, f``.
+
+    The pass for pairs also hands on the spelling of each word that its filter
+    holds, once a task or more: rows with ``h1, lang, word`` alone.
+    """
+    size, bits = _filter(before, width - 1)
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        counts = _Counts(width)
-        for words, _ in _runs(batches, seed):
+        counts, told = _Counts(log2, _tuple_hash), set()
+        for words, langs in _runs(batches, seed):
             h, n = words.hash, len(words.hash) - width + 2
+            if width == 2 and len(h):
+                yield from spellings(words, langs, told)
             if n < 2:
                 continue
             run_of = np.ones(n, bool)
             for i in range(width - 2):
                 run_of &= words.joined[i : i + n]
-            shorter = [h[i : i + n] for i in range(width - 1)]
             at = np.flatnonzero(run_of)
             frequent = np.zeros(n, bool)
-            frequent[at] = _holds(shared.value, log2, [c[at] for c in shorter])
+            frequent[at] = _holds(shared.value, size, [h[i : i + n][at] for i in range(width - 1)])
             both = np.flatnonzero(frequent[:-1] & frequent[1:] & words.joined[: n - 1])
             if len(both) and counts.add([h[both + i] for i in range(width)]):
                 yield from counts.take()
         yield from counts.take()
 
+    def spellings(words: _Words, langs: list[str], told: set):
+        distinct, first = np.unique(words.hash, return_index=True)
+        on = _holds(shared.value, size, [distinct])
+        new = [(h, w) for h, w in zip(distinct[on].view(np.int64).tolist(), first[on].tolist()) if h not in told]
+        if len(told) > HELD:
+            told.clear()
+        told.update(h for h, _ in new)
+        by: dict[tuple[int, str], list[tuple[int, bytes]]] = {}
+        for h, w in new:
+            by.setdefault((h & 15, langs[words.row[w]]), []).append((h, words.spelling(w)))
+        if by:  # sixteen buckets' worth of words suffices
+            rows = [(b << max(log2 - 4, 0), _SPELT, lang, np.array([h for h, _ in x], np.int64).tobytes(), np.array([len(w) for _, w in x], np.int64).tobytes(), b"".join(w for _, w in x)) for (b, lang), x in by.items()]
+            yield _blocks(rows)
+
     keys = _names(width)
-    parts = texts.mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "c"]))
-    return stash(parts.groupBy(*keys).agg(F.sum("c").alias("f")).where(F.col("f") >= least))
+    schema = ", ".join(f"{k} long" for k in [*keys, "f"]) + (", lang string, word binary" if width == 2 else "")
+    return stash(_gathered(texts.mapInArrow(run, BLOCK), width, least, schema, _tuple_hash))
 
 
 def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, cover: int = 80) -> DataFrame:
@@ -243,10 +332,15 @@ def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 20
     if not 2 <= longest <= 4:
         raise ValueError("longest is 2, 3 or 4")
     texts = df.select("lang", "text")
-    words, seed = _level_one(texts, least)
-    levels = [words.where(F.col("f") >= least)]
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log2 = max(4, (size // BUCKET_BYTES).bit_length())
+    words, totals, seed = _level_one(texts, least, log2)
+    levels = [words]
     for width in range(2, longest + 1):
-        levels.append(_level(texts, levels[-1], width, seed, least))
+        found = _level(texts, levels[-1], width, seed, least, log2)
+        levels.append(found.where("f is not null").select(*_names(width), "f"))
+        if width == 2:
+            spelt = found.where("word is not null").groupBy("h1").agg(F.first("lang").alias("lang"), F.first("word").alias("word"))
 
     zero = F.lit(0).cast("long")
     wide = longest
@@ -264,7 +358,7 @@ def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 20
         rows = rows.select("phrase", "a", "x.part", "x.role")
         asked = rows if asked is None else asked.unionByName(rows)
     none = F.lit(None)
-    counted = levels[0].select(key([F.col("h1")]).alias("part"), "f", "lang", "word")
+    counted = levels[0].join(spelt, "h1").select(key([F.col("h1")]).alias("part"), "f", "lang", "word")
     for width in range(2, longest):
         counted = counted.unionByName(levels[width - 1].select(key([F.col(x) for x in _names(width)]).alias("part"), "f", none.cast("string").alias("lang"), none.cast("binary").alias("word")))
     found = asked.join(counted, "part").select("phrase", "a", "role", "f", "lang", "word", none.cast("long").alias("over"))
@@ -297,5 +391,4 @@ def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 20
     group = F.pmod(F.xxhash64("phrase"), F.lit(64))
     few = kept.withColumn("g", group).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "g").orderBy(*order))).where(F.col("rank") <= top)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
