@@ -106,17 +106,17 @@ def _folded(cols: list[np.ndarray], count: np.ndarray, by: np.ndarray) -> tuple[
 class _Counts:
     """Occurrences of tuples of hashes, added up while they are few enough, then handed on by bucket."""
 
-    def __init__(self, log2: int, key):
-        #: ``key`` gives the hash by which tuples are dealt to 2**log2 buckets.
-        self.log2, self.key, self.held, self.n, self.folded = log2, key, [], 0, 0
+    def __init__(self, log2: int, key, most: int):
+        #: ``key`` gives the hash by which tuples are dealt to 2**log2 buckets; ``most`` tuples are held.
+        self.log2, self.key, self.most, self.held, self.n, self.folded = log2, key, most, [], 0, 0
 
     def add(self, columns: list[np.ndarray]) -> bool:
         """Take up occurrences; whether it is time to hand the sums on."""
         self.held.append((columns, np.ones(len(columns[0]), np.int64)))
         self.n += len(columns[0])
-        if self.n - self.folded > HELD:
+        if self.n - self.folded > self.most:
             self._fold()
-        return self.n > HELD
+        return self.n > self.most
 
     def _fold(self) -> np.ndarray:
         cols = [np.concatenate(c) for c in zip(*(x for x, _ in self.held))]
@@ -213,9 +213,11 @@ def _first_hash(cols: list[np.ndarray]) -> np.ndarray:
 def _level_one(texts: DataFrame, least: int, log2: int) -> tuple[DataFrame, DataFrame, int]:
     """``h1, f`` of frequent words, ``lang, n`` of all, and the seed under which no frequent word shares its hash."""
 
+    most = HELD
+
     def counted(seed: int) -> DataFrame:
         def run(batches):
-            counts, totals = _Counts(log2, _first_hash), Counter()
+            counts, totals = _Counts(log2, _first_hash, most), Counter()
             for words, langs in _runs(batches, seed):
                 for x, n in zip(langs, np.bincount(words.row, minlength=len(langs)).tolist()):
                     totals[x] += n
@@ -280,10 +282,10 @@ def _level(texts: DataFrame, before: DataFrame, width: int, seed: int, least: in
     holds, once a task or more: rows with ``h1, lang, word`` alone.
     """
     size, bits = _filter(before, width - 1)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared, most = texts.sparkSession.sparkContext.broadcast(bits), HELD
 
     def run(batches):
-        counts, told = _Counts(log2, _tuple_hash), set()
+        counts, told = _Counts(log2, _tuple_hash, most), set()
         for words, langs in _runs(batches, seed):
             h, n = words.hash, len(words.hash) - width + 2
             if width == 2 and len(h):
@@ -305,7 +307,7 @@ def _level(texts: DataFrame, before: DataFrame, width: int, seed: int, least: in
         distinct, first = np.unique(words.hash, return_index=True)
         on = _holds(shared.value, size, [distinct])
         new = [(h, w) for h, w in zip(distinct[on].view(np.int64).tolist(), first[on].tolist()) if h not in told]
-        if len(told) > HELD:
+        if len(told) > most:
             told.clear()
         told.update(h for h, _ in new)
         by: dict[tuple[int, str], list[tuple[int, bytes]]] = {}
