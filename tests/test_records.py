@@ -107,6 +107,56 @@ def test_search_order_ties_and_k(spark, entries):
     assert search.hamming_top_k(e.limit(0), q).count() == 0
 
 
+def test_search_tiles_against_brute_force(spark, monkeypatch):
+    """Small tiles, rows given up early, and queries beyond what is broadcast give the same as all distances."""
+    rng = np.random.default_rng(1)
+    base = rng.bytes(40)
+
+    def near():
+        b = bytearray(base)
+        for _ in range(rng.integers(0, 30)):
+            b[rng.integers(0, 40)] ^= 1 << int(rng.integers(0, 8))
+        return bytes(b)
+
+    rows = [(int(p), f"n{p % 50}", near() if p % 3 else rng.bytes(40)) for p in rng.permutation(600)]
+    asked = [(f"q{i}", near() if i % 2 else rng.bytes(40)) for i in range(50)]
+    want = []
+    for i, v in asked:
+        d = sorted((sum((a ^ b).bit_count() for a, b in zip(v, w)), p, n) for p, n, w in rows)
+        want += [(i, r, n, p, x) for r, (x, p, n) in enumerate(d[:5], 1)]
+    e = spark.createDataFrame([*rows, (9999, "x", None)], "pos long, id string, hv binary").repartition(3)
+    q = spark.createDataFrame([*asked, ("none", None)], "query_id string, hv binary")
+    for given in ({}, {"ENTRY_TILE": 100, "QUERY_TILE": 16, "SEGMENT": 1}, {"SEGMENT": 2, "SCAN_BYTES": 10, "HELD_TILES": 2}):
+        for name, value in given.items():
+            monkeypatch.setattr(search, name, value)
+        found = search.hamming_top_k(e, q, 5, bits=320)
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (search.SCAN_BYTES > 10)
+        assert sorted((r.query_id, r["rank"], r.id, r.pos, r.distance) for r in found.collect()) == sorted(want)
+    assert search.hamming_top_k(e, q.limit(0)).count() == 0
+
+
+def test_names_are_found_anywhere(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    some = ["a", "b", "é", "日", "ab", "cust_", "00"]
+    texts = [(i, "".join(rng.choice(some) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(999, None), (998, "")]
+    names = ["".join(rng.choice(some) for _ in range(rng.randint(1, 7))) for _ in range(300)] + ["a", "é", None, "", "x" * 40]
+    t, n = spark.createDataFrame(texts, "k long, q string").repartition(3), spark.createDataFrame([(x,) for x in names], "name string")
+    want = sorted({(k, m) for k, q in texts for m in names if m and q and m in q})
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(search, "FEW_LETTERS", few)
+        assert sorted(map(tuple, search.holding(t, n, "k").collect())) == want
+        assert search.holding(t, n.limit(0), "k").count() == 0 == search.holding(t.limit(0), n, "k").count()
+    long = spark.createDataFrame([(1, "lorem ipsum dolor " * 1200 + "acme_000123 " + "sit amet " * 900)], "k long, q string")
+    vocabulary = spark.range(3000).select(F.concat(F.lit("acme_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name")).union(spark.createDataFrame([(f"{'z' * k}",) for k in range(4, 34)], "name string"))
+    moved = []
+    join = type(long).join
+    monkeypatch.setattr(type(long), "join", lambda self, other, *a: (moved.append(self), join(self, other, *a))[1])
+    assert [tuple(r) for r in search.holding(long, vocabulary, "k").collect()] == [(1, "acme_000123")]
+    assert moved[0].count() < 100  # of 29,000 places and 31 lengths
+
+
 def test_upsert_delete(spark):
     base = spark.createDataFrame([(0, "A", "a"), (1, "B", "b")], "pos long, id string, text string")
     delta = spark.createDataFrame([(0, "C", "c"), (1, "A", "a1"), (2, "A", "a2"), (3, "C", "c2")], "pos long, id string, text string")
