@@ -135,6 +135,33 @@ def test_search_tiles_against_brute_force(spark, monkeypatch):
     assert search.hamming_top_k(e, q.limit(0)).count() == 0
 
 
+def test_stored_postings_give_what_all_postings_give(spark, tmp_path, monkeypatch):
+    import random
+
+    from factgrid.operators import bm25
+
+    rng = random.Random(4)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(common if rng.random() < 0.8 else rare) for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(500)] + [(900, None), (901, ""), (902, docs_text := text(30)), (903, docs_text)]
+    asked = [(i, text(rng.randint(1, 8))) for i in range(40)] + [(90, "nowhere"), (91, None), (92, "c0 c0 c1"), (93, "r1")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    want = key(bm25.bm25_top_k(d, q))
+    path = f"file://{tmp_path}/postings"
+    made = bm25.Bm25.build(d, path=path)
+    assert key(made.top_k(q)) == want == key(bm25.Bm25.open(spark, path).top_k(q))
+    monkeypatch.setattr(bm25, "FIRST_SCORED", 40)
+    monkeypatch.setattr(bm25, "WHOLE_FIRST", 1)
+    monkeypatch.setattr(bm25, "TOLD_TERMS", 3)
+    assert key(made.top_k(q)) == want
+    work = made.work(q).first()
+    assert work.first + work.found + work.completed < work.postings  # some are passed over
+    assert made.top_k(q.limit(0)).count() == 0 == bm25.Bm25.build(d.limit(0)).top_k(q).count()
+    with pytest.raises(Exception):
+        bm25.Bm25.build(d, path=path)
+
+
 def test_names_are_found_anywhere(spark, monkeypatch):
     import random
 
