@@ -125,12 +125,6 @@ def with_glossary(text: Column, glossary: Mapping[str, str]) -> Column:
     return text
 
 
-def template_markers(template: Column) -> Column:
-    """Of each template line the literal start before ``{`` (three characters or more), else the line."""
-    parts = F.transform(lines(template), lambda x: F.trim(F.when(F.length(F.trim(F.substring_index(x, "{", 1))) >= 3, F.substring_index(x, "{", 1)).otherwise(F.regexp_replace(x, r"\{[^}]*\}", ""))))
-    return F.filter(parts, lambda x: F.length(x) >= 3)
-
-
 def normal_value(value: Column) -> Column:
     """A value as evaluations compare it: lower case, no commas or dollar signs."""
     return F.translate(F.lower(value), ",$", "")

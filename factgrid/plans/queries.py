@@ -463,12 +463,13 @@ def hdc_search(spark, sf_dir):
 
 @query()
 def src06_generate(spark, sf_dir):
-    return generators.business_records(spark, 5000)
+    """As many generated records as there are orders."""
+    return generators.business_records(spark, table(spark, sf_dir, "orders").count())
 
 
 @query()
 def src07_profile(spark, sf_dir):
-    """Records of an industry profile."""
+    """Records of an industry profile, as many as there are orders."""
     profile = {
         "name": "freight", "entities": {"Load": {"prefix": "Load_", "count": 300}, "Haulier": {"prefix": "Haulier_", "count": 40}},
         "record_types": [
@@ -476,7 +477,7 @@ def src07_profile(spark, sf_dir):
             {"type": "Freight Bill", "title": "Freight Bill {entity}", "entity": "Haulier", "weight": 0.3, "fields": [{"name": "Amount", "kind": "money", "min": 10, "max": 5000}, {"name": "Status", "kind": "choice", "values": ["open", "paid"]}, {"name": "Discount", "kind": "percent", "max": 9}]},
         ],
     }
-    return generators.profile_records(spark, profile, 5000)
+    return generators.profile_records(spark, profile, table(spark, sf_dir, "orders").count())
 
 
 def invoice_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,6 +499,32 @@ def scl31_style(spark, sf_dir):
     return generators.style_pairs(invoice_entries(spark, sf_dir), {"status": "state", "amount": "value"}, "{summary}\nSource: {source}")
 
 
+_DRAWN = lambda purpose: f"CAST('0x' || substr(md5('42|{purpose}|' || pos), 1, 10) AS BIGINT) / 1099511627776"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS pos, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () - 1 AS last FROM orders),
+  m AS (SELECT *, greatest(n - 40, 0) AS low, least(n + 40, last) - greatest(n - 40, 0) AS m FROM p),
+  a AS (SELECT *, CAST(floor({_DRAWN('near1')} * m) AS BIGINT) AS a, CAST(floor({_DRAWN('near2')} * (m - 1)) AS BIGINT) AS b0, least(CAST(floor({_DRAWN('others')} * 3) AS BIGINT), m) AS want FROM m),
+  b AS (SELECT *, CASE WHEN b0 >= a THEN b0 + 1 ELSE b0 END AS b FROM a),
+  c AS (SELECT pos, CASE WHEN want >= 1 THEN low + a + CASE WHEN low + a >= n THEN 1 ELSE 0 END END AS x, CASE WHEN want >= 2 THEN low + b + CASE WHEN low + b >= n THEN 1 ELSE 0 END END AS y FROM b)
+  SELECT c.pos, coalesce(s.pos, -1) AS near1, coalesce(t.pos, -1) AS near2 FROM c LEFT JOIN p s ON s.n = x LEFT JOIN p t ON t.n = y""")
+def scl31_neighbours(spark, sf_dir):
+    """The records that stand with each order in its training context."""
+    return generators.neighbours(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"))).na.fill(-1)
+
+
+@query("""SELECT query_id, operation, 'Amount' AS field, status, CAST(bound AS DECIMAL(38,2)) AS bound, below, lower(replace(c_name, '#', '_')) AS entity FROM (
+  SELECT 2 * o_orderkey AS query_id, 'sum' AS operation, o_custkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'paid' ELSE 'confirmed' END AS status, NULL AS bound, false AS below FROM orders UNION ALL
+  SELECT 2 * o_orderkey + 1, 'max', NULL, NULL, CAST(o_totalprice AS DECIMAL(18,2)), o_orderkey % 2 = 1 FROM orders) LEFT JOIN customer ON c_custkey = o_custkey""")
+def scl08_questions(spark, sf_dir):
+    """Two questions about each order, read by the rules."""
+    o = order_entries(spark, sf_dir).select("pos", fx.field("fields", "Customer").alias("c"), fx.field("fields", "Status").alias("s"), fx.amount(fx.field("fields", "Amount")).cast("string").alias("a"))
+    one = F.concat(F.lit("What is the total amount of all "), "s", F.lit(" orders of "), "c", F.lit("?"))
+    two = F.concat(F.lit("What is the highest amount "), F.when(F.col("pos") % 2 == 1, "below $").otherwise("over "), "a", F.lit("?"))
+    asked = o.select((2 * F.col("pos")).alias("query_id"), one.alias("question")).union(o.select(2 * F.col("pos") + 1, two))
+    return qx.parse(asked).select("query_id", "operation", "field", "status", "bound", "below", "entity")
+
+
 _WORDS = "SELECT item_id, w, CAST(generate_subscripts(w, 1) AS BIGINT) - 1 AS i, unnest(w) AS x FROM (SELECT item_id, string_split_regex(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\x0B\\f\\r]+') AS w FROM benchmark)"
 
 

@@ -327,6 +327,19 @@ def test_generators(spark, tmp_path):
         generators.style_pairs(df, {}, "no marker")
 
 
+def test_neighbours_on_both_sides(spark):
+    places = [3 * n for n in range(200)]  # with gaps
+    got = generators.neighbours(spark.createDataFrame([(p,) for p in places], "pos long").repartition(5)).collect()
+    assert sorted(r.pos for r in got) == places
+    near = [(r.pos, x) for r in got for x in (r.near1, r.near2) if x is not None]
+    assert all(x % 3 == 0 and 0 < abs(x - p) <= 120 for p, x in near) and all(r.near1 != r.near2 for r in got if r.near1 is not None)
+    assert 0.8 < len(near) / len(got) < 1.2
+    ahead = sum(x > p for p, x in near) / len(near)
+    assert 0.4 < ahead < 0.6 and any(p > 570 for p, _ in near) and any(p < 30 for p, _ in near)
+    assert generators.neighbours(spark.createDataFrame([(1,), (2,)], "pos long"), seed=5).count() == 2
+    assert all((r.near1, r.near2) == (None, None) for r in generators.neighbours(spark.createDataFrame([(1,)], "pos long")).collect())
+
+
 PROFILE = {
     "name": "freight", "entities": {"Load": {"prefix": "Load_", "count": 9}, "Haulier": {}},
     "record_types": [
