@@ -2,20 +2,20 @@
 
 Each page scores its containers by the text in them, outside links and
 boilerplate, and votes with all its scores for their generalised tag-class
-paths; it also says which blocks of text it holds. Spark sums votes and counts
-blocks per host: the best path of each host wins, and blocks that most pages of
-a host hold are its furniture. Pages are then extracted again along their
-host's path. Pages that lack it fall back to their own best container, so
-nothing is dropped for being unusual.
+paths. Spark sums the votes per host, and the best path of each host wins.
+Pages are then extracted again along their host's path. Pages that lack it fall
+back to their own best container, so nothing is dropped for being unusual, and
+nothing inside the chosen container is cut for standing on other pages, too.
 
 Boilerplate is what HTML says (``nav``, ``footer``, ...), what a class or id
-names in full (``site-footer``, but not ``share-price``), lists of links outside
-the article, and what a host repeats.
+names in full (``site-footer``, but not ``share-price``) and lists of links
+outside the article. A form is none if it holds an article or half of the
+page's text, and a named box (but reader comments) none if it holds an article
+or next to all text: frameworks wrap whole sites in forms and widgets.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from functools import lru_cache
@@ -33,7 +33,7 @@ RAW = "script style title textarea iframe xmp noembed noframes"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-BOILER_TAGS = frozenset("head nav header footer aside form button dialog menu fieldset option datalist noscript template svg object select".split())
+BOILER_TAGS = frozenset("head nav header footer aside button dialog menu fieldset option datalist noscript template svg object select".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 BOX_TAGS = frozenset("article main section div td body center blockquote".split())
 LISTS = frozenset("ul ol dl table".split())
@@ -55,8 +55,10 @@ PLAIN_WORDS = frozenset(
 #: Words of the article itself, which may stand before a boilerplate word (``article-comments``) but not after it.
 ARTICLE_WORDS = frozenset("article blog content entry news page post story text".split())
 
-#: Share of a host's pages, and pages of different articles, that must hold a block for it to be the host's.
-SHARE, DIFFERENT = 0.5, 4
+#: Of these, those that name what readers write.
+READER_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Share of a page's text in a form that makes it the page's frame, and beside a named box that is next to nothing.
+FRAME_SHARE, REST_SHARE = 0.5, 0.05
 #: Links and share of link text that make a list a menu.
 LINKS, LINK_SHARE = 3, 0.7
 
@@ -77,27 +79,27 @@ def _heads_article(name: str) -> bool:
     return bool(words) and words[-1] == "header" and any(w in ARTICLE_WORDS and w != "page" for w in words)
 
 
-def _names_boilerplate(name: str) -> bool:
-    """Whether a class or id, as a whole, names boilerplate."""
+def _names_boilerplate(name: str) -> int:
+    """Whether a class or id, as a whole, names boilerplate (1), or more closely what readers write (2)."""
     words = [w.lower() for w in _WORDS.findall(name)]
     at = [k for k, w in enumerate(words) if w in BOILER_WORDS]
-    if not at:
-        return False
-    if _heads_article(name):
-        return False
-    return all(w in BOILER_WORDS or w in PLAIN_WORDS or (w in ARTICLE_WORDS and k < at[-1]) for k, w in enumerate(words))
+    if not at or _heads_article(name):
+        return 0
+    if not all(w in BOILER_WORDS or w in PLAIN_WORDS or (w in ARTICLE_WORDS and k < at[-1]) for k, w in enumerate(words)):
+        return 0
+    return 2 if any(w in READER_WORDS for w in words) else 1
 
 
 @lru_cache(maxsize=1 << 16)
-def _marks(attrs: str) -> tuple[str, bool, bool, bool]:
+def _marks(attrs: str) -> tuple[str, int, bool, bool]:
     """The generalised class of a start tag, whether its names say boilerplate, whether it is hidden or has such a role, and whether it heads an article."""
-    cls, named, hidden, heads = "", False, False, False
+    cls, named, hidden, heads = "", 0, False, False
     for k, a, b, c in _ATTR.findall(attrs):
         k, v = k.lower(), unescape(a or b or c)
         if k == "class":
             cls = ".".join(sorted({re.sub(r"\d+", "0", x.lower()) for x in v.split()}))
         if k in ("class", "id"):
-            named |= any(map(_names_boilerplate, v.split()))
+            named = max(named, *map(_names_boilerplate, v.split()), 0)
             heads |= any(map(_heads_article, v.split()))
         elif k == "role":
             hidden |= v.lower() in BOILER_ROLES
@@ -113,10 +115,6 @@ def _label(tag: str, cls: str) -> int:
     return zlib.crc32(f"{tag}.{cls}".encode()) * 0x9E3779B97F4A7C15
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
 class Page:
     """The elements of a page and its pieces of text in page order.
 
@@ -126,7 +124,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.path = [""], [0], [0]
-        self.named, self.by_tag, self.link, self.h1 = [False], [False], [False], [False]
+        self.named, self.by_tag, self.link, self.h1 = [0], [False], [False], [False]  # named and by_tag: of the element itself, until judged
         self.box, self.article, self.main = [0], [0], [0]  # nearest such element, itself included; 0: none
         self.title = ""
         self.pieces: list[tuple[int, str | None]] = []  # None: a block ends
@@ -134,20 +132,20 @@ class Page:
         self._judge()
 
     def _add(self, tag: str, attrs: str, top: int) -> int:
-        cls, named, hidden, heads = _marks(attrs) if attrs else ("", False, False, False)
+        cls, named, hidden, heads = _marks(attrs) if attrs else ("", 0, False, False)
         i = len(self.tag)
         inside = self.article[top]
         boiler = hidden or tag in BOILER_TAGS and not (tag == "header" and (inside or heads))
         if tag in ("html", "body", "main"):
-            named = False
+            named = 0
         elif tag == "article":
-            named = named and "comment" in cls
+            named = named if "comment" in cls else 0
         self.tag.append(tag)
         self.parent.append(top)
         inline = tag in INLINE
         self.path.append(self.path[top] if inline else (self.path[top] * 0x100000001B3 ^ _label(tag, cls)) & (1 << 63) - 1)
-        self.named.append(named or self.named[top])
-        self.by_tag.append(boiler or self.by_tag[top])
+        self.named.append(named)
+        self.by_tag.append(boiler)
         self.link.append(tag == "a" or self.link[top])
         self.h1.append(tag == "h1" or self.h1[top])
         self.box.append(i if tag in BOX_TAGS else self.box[top])
@@ -209,26 +207,49 @@ class Page:
             put((stack[-1], html[at:]))
 
     def _judge(self) -> None:
-        """Find menus: lists of links that stand in no article."""
+        """Find menus (lists of links that stand in no article), and forms and named boxes that are the page's frame; then hand boilerplate down."""
         n = len(self.tag)
         chars, linked, links = [0] * n, [0] * n, [t == "a" for t in self.tag]
+        whole = [t in ("article", "main") and not self.named[i] for i, t in enumerate(self.tag)]  # holds an article
         for node, text in self.pieces:
             if text:
                 size = len(text.strip())
                 chars[node] += size
                 if self.link[node]:
                     linked[node] += size
+        own = [a - b for a, b in zip(chars, linked)]
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             chars[p] += chars[i]
             linked[p] += linked[i]
             links[p] += links[i]
+            whole[p] = whole[p] or whole[i]
+        plain = [a - b for a, b in zip(chars, linked)]
+        tag, parent, by_tag, named = self.tag, self.parent, self.by_tag, self.named
+        for i in range(1, n):
+            menu = tag[i] in LISTS and links[i] >= LINKS and linked[i] >= LINK_SHARE * chars[i] and not self.article[i] and not self.main[i]
+            form = tag[i] == "form" and not whole[i] and plain[i] < FRAME_SHARE * plain[0]
+            by_tag[i] = by_tag[i] or menu or form or by_tag[parent[i]]
+            if named[i] == 1 and whole[i]:
+                named[i] = 0
+        if any(named):
+            outer = [0] * n  # the outermost named box around each element
+            for i in range(1, n):
+                outer[i] = outer[parent[i]] or (i if named[i] else 0)
+            inside: dict[int, int] = {}
+            for i in range(1, n):
+                if own[i] and not by_tag[i]:
+                    inside[outer[i]] = inside.get(outer[i], 0) + own[i]
+            boxes = {i: size for i, size in inside.items() if i and named[i] == 1}
+            if boxes:
+                most = max(boxes, key=lambda i: (boxes[i], -i))
+                if inside.get(0, 0) < REST_SHARE * boxes[most]:
+                    named[most] = 0
         for i in range(1, n):
-            menu = self.tag[i] in LISTS and links[i] >= LINKS and linked[i] >= LINK_SHARE * chars[i] and not self.article[i] and not self.main[i]
-            self.by_tag[i] = self.by_tag[i] or menu or self.by_tag[self.parent[i]]
+            named[i] = named[i] or named[parent[i]]
 
     def boiler(self, by_name: bool = True) -> list[bool]:
-        return [a or b for a, b in zip(self.by_tag, self.named)] if by_name else self.by_tag
+        return [a or bool(b) for a, b in zip(self.by_tag, self.named)] if by_name else self.by_tag
 
     def scores(self, boiler: list[bool]) -> list[tuple[int, float]]:
         """``(path, share of the page's score)`` of the containers, best first."""
@@ -285,21 +306,18 @@ class Page:
         return got, boiler
 
 
-def votes(html: str) -> tuple[list[tuple[int, float]], list[int], int]:
-    """Scores of a page's containers, its blocks, and the block that is its own: the longest."""
+def votes(html: str) -> tuple[list[tuple[int, float]], list[tuple[int, str]], list[bool]]:
+    """Scores of a page's containers, its blocks, and which of its elements are boilerplate."""
     page = Page(html)
     found, boiler = page.whole()
-    blocks = [b for _, b in found]
-    own = _digest(max(blocks, key=len)) if blocks else 0
-    return page.scores(boiler), list({_digest(b) for b in blocks}), own
+    return page.scores(boiler), found, boiler
 
 
-def main_text(html: str | None, path: int | None = None, furniture: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, path: int | None = None) -> str:
     """Main text along the agreed path, else along the page's own best container, else of the whole page.
 
     The agreed path is left where it holds less than a quarter of the page's
-    best container. ``furniture`` are digests of blocks that the host repeats;
-    the page's longest block is never one.
+    best container.
     """
     if not html:
         return ""
@@ -307,16 +325,12 @@ def main_text(html: str | None, path: int | None = None, furniture: frozenset[in
     found, boiler = page.whole()
     if not found:
         return ""
-    every = [b for _, b in found]
     best = page.scores(boiler)
-    blocks = page.at(best[0][0], found) if best else every
+    blocks = page.at(best[0][0], found) if best else [b for _, b in found]
     if path is not None and best and path != best[0][0]:
         agreed = page.at(path, found)
         blocks = agreed if 4 * sum(map(len, agreed)) >= sum(map(len, blocks)) else blocks
-    if furniture:
-        own = max(every, key=len)
-        blocks = [b for b in blocks if b == own or _digest(b) not in furniture]
-    return " ".join(blocks or every)
+    return " ".join(blocks or [b for _, b in found])
 
 
 def _host(url):
@@ -327,46 +341,34 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     """Add ``text`` and ``n_chars`` (code points) to every row of ``pages``.
 
     Null and empty pages have an empty text; pages with a null url share one
-    nameless host. Repeated rows vote and are extracted each; copies of one
-    article are one voice where a host's repeated blocks are found. An empty
-    table gives an empty result. Columns named ``text`` or ``n_chars`` are
-    replaced; all others are kept.
+    nameless host. Repeated rows vote and are extracted each. An empty table
+    gives an empty result. Columns named ``text`` or ``n_chars``, in any case,
+    are replaced; all others are kept.
     """
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    hosted = pages.select(_host(url).alias("__host"), *kept)
+    kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    columns = [F.col(f"`{c}`") for c in kept]
+    hosted = pages.select(_host(url).alias("__host"), *columns)
 
     def vote(batches):
         for batch in batches:
-            host, kind, key, weight = [], [], [], []
+            host, path, share = [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                paths, blocks, own = votes(page.as_py() or "")
-                n = len(paths) + len(blocks) + 1
-                host += [h] * n
-                kind += [0] * len(paths) + [1] * len(blocks) + [2]
-                key += [p for p, _ in paths] + blocks + [0]
-                weight += [round(s * 1_000_000) for _, s in paths] + [1 << own % 63] * (len(blocks) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(weight, pa.int64())], names=["host", "kind", "key", "weight"])
-
-    # kind 0: a path and its share; 1: a block, 2: the page, with a bit that tells articles apart
-    ballots = hosted.select("__host", html).mapInArrow(vote, "host string, kind int, key long, weight long")
-    sums = ballots.groupBy("host", "kind", "key").agg(F.sum(F.when(F.col("kind") == 0, F.col("weight"))).alias("votes"), F.count("*").alias("pages"), F.bit_count(F.bit_or("weight")).alias("articles"))
-    sums = stash(sums)  # read three times, and pages are parsed once
-    # a block is furniture on half of the pages at least, so a host has at most twice a page's blocks of them
-    of_host = sums.where("kind <> 1").groupBy("host").agg(
-        F.max_by(F.when(F.col("kind") == 0, F.col("key")), F.when(F.col("kind") == 0, F.struct("votes", "key"))).alias("path"),
-        F.max(F.when(F.col("kind") == 2, F.col("pages"))).alias("n"),
-    )
-    common = sums.where((F.col("kind") == 1) & (F.col("articles") >= DIFFERENT)).select("host", "key", "pages")
-    common = common.join(of_host, "host").where(F.col("pages") >= SHARE * F.col("n")).groupBy("host").agg(F.collect_list("key").alias("common"))
-    best = stash(of_host.join(common, "host", "left").select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("common").alias("__common")))
-    joined = hosted.join(best, "__host", "left").select(*[F.col(f"`{c}`") for c in kept], "__path", "__common")
-    schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
+                for p, s in votes(page.as_py() or "")[0]:
+                    host.append(h)
+                    path.append(p)
+                    share.append(round(s * 1_000_000))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(share, pa.int64())], names=["host", "path", "share"])
+
+    ballots = hosted.select("__host", html).mapInArrow(vote, "host string, path long, share long")
+    sums = ballots.groupBy("host", "path").agg(F.sum("share").alias("votes"))
+    best = stash(sums.groupBy(F.col("host").alias("__host")).agg(F.max_by("path", F.struct("votes", "path")).alias("__path")))
+    joined = hosted.join(best, "__host", "left").select(*columns, "__path")
+    schema = pages.select(*columns).schema.add("text", "string").add("n_chars", "long")
     at = kept.index(html)
 
     def read(batches):
         for batch in batches:
-            rows = zip(batch.column(at), batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
-            text = [main_text(page.as_py(), path, frozenset(common or ())) for page, path, common in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*kept, "text", "n_chars"])
+            text = [main_text(page.as_py(), path) for page, path in zip(batch.column(at), batch.column(len(kept)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*kept, "text", "n_chars"])
 
     return joined.mapInArrow(read, schema)

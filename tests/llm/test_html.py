@@ -88,3 +88,33 @@ def test_copies_on_a_host_keep_their_article(spark):
     rows = [(i, f"http://h/{i}", page) for i in range(10)] + [(10 + i, f"http://h/x{i}", page.replace("article", f"text{i}").replace("the end", f"x{i}")) for i in range(3)]
     got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__x", F.lit(1))).collect()}
     assert got[0] == got[9] == f"{LINE} second {LINE}"
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html.extract_pages(df).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("pages", [1, 3, 4, 60])
+def test_repeated_headings_of_an_article_stay(spark, pages):
+    """What many pages of a host say inside their article is the article's, however many pages there are."""
+    one = "<body><nav>menu</nav><article><h1>T{0}</h1><h2>Background</h2><p>{1} {0}</p><h2>Results</h2><p>Read on. {1}</p></article><footer>f</footer></body>"
+    assert extracted(spark, [one.format(i, LINE) for i in range(pages)]) == [f"T{i} Background {LINE} {i} Results Read on. {LINE}" for i in range(pages)]
+
+
+def test_forms_and_widgets_around_the_page(spark):
+    body = f"<nav><a href=1>Home</a></nav><div class=story><h1>Head</h1><p>{LINE}</p><p>More. {LINE}</p></div><div id=footer>imprint</div>"
+    want = f"Head {LINE} More. {LINE}"
+    assert alone(f"<body><form id=aspnetForm><input type=hidden>{body}</form></body>") == want
+    assert alone(f"<body><form id=aspnetForm><main>{body}</main></form></body>") == want
+    assert alone(f"<body><a href=#c>Skip to content</a><div class=widget>{body}</div></body>") == want
+    assert alone(f"<body><p>Skip to content</p><div class='widget'><article><h1>Head</h1><p>{LINE}</p><p>More. {LINE}</p></article></div></body>") == want
+    assert alone(f"<body>{body}<form><p>Your name</p><input><button>Send</button></form></body>") == want
+    assert alone(f"<body>{body}<div class=comments><article class=comment><p>{LINE * 9}</p></article></div></body>") == want
+    assert alone(f"<body>{body}<div class=comment-list><p>{LINE * 90}</p></div></body>") == want  # what readers write is never the frame
+
+
+def test_columns_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([(1, "http://h/1", f"<p>{LINE}</p>", "x", 5), (1, None, None, None, None)], "page_id long, url string, html string, TEXT string, N_Chars long")
+    got = html.extract_pages(df)
+    assert got.columns == ["page_id", "url", "html", "text", "n_chars"] and sorted(r.text for r in got.collect()) == ["", LINE]
