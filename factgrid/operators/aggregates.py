@@ -1,15 +1,32 @@
-"""Exact aggregates over all visible records, for many questions in one scan."""
+"""Exact aggregates over all visible records, for thousands of questions in one scan.
+
+Questions have few conditions in common: a status, a trend, a region, a field's
+bound, a name. One scan gives each record the place that it has among these
+(its asked-for values, the interval between neighbouring bounds in which its
+amount lies, the names it holds) and adds records of equal places up; the small
+cube of these sums is rolled up over the filters, and every question is a row
+among the sums of its field and name, whose running totals answer it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import product
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import amount, decimals, field
-from ..functions.questions import parse
+from ..functions.questions import REGIONS, STATUSES, TRENDS, parse
+from ..storage import stash
+from .search import with_parts
 
-#: Questions answered by one scan; more questions take more scans.
-QUESTIONS_PER_SCAN = 200
+#: Bounds of a field that are compared one by one; among more, the stretch of so many is found first.
+STRETCH = 64
+#: Names that are looked for one by one in a text as it is read; more are found by ``with_parts``.
+FEW_NAMES = 32
 
 
 def mentions(entity: str, text: str = "text") -> Column:
@@ -23,8 +40,9 @@ def beyond(value: Column, bound, below: bool = False) -> Column:
     return (value < bound) if below else (value > bound)
 
 
-#: Fields that a question may filter by.
-FILTERS = ("Status", "Trend", "Region")
+#: Fields that a question may filter by, and the values it may name.
+FILTERS = {"Status": STATUSES, "Trend": sorted({*TRENDS.values()}), "Region": REGIONS}
+_NAMES = ["s", "t", "r"]
 
 
 def _read_once(entries: DataFrame, names: list[str], fields: str) -> DataFrame:
@@ -35,16 +53,6 @@ def _read_once(entries: DataFrame, names: list[str], fields: str) -> DataFrame:
     return entries.select(*cols)
 
 
-def _conditions(q):
-    test = F.lit(True)
-    for name, value in zip(FILTERS, (q.status, q.trend, q.region)):
-        if value is not None:
-            test = test & (F.col(f"__{name}") == value.lower())
-    if q.entity is not None:
-        test = test & F.contains("__text", F.lit(q.entity))
-    return test
-
-
 def filter_text(q) -> str:
     parts = [(k, v) for k, v in (("Status", q.status), ("Trend", q.trend)) if v is not None]
     if q.bound is not None:
@@ -54,6 +62,57 @@ def filter_text(q) -> str:
     return ", ".join(f"{k}={v}" for k, v in parts) or "no filter"
 
 
+def interval(value: Column, bounds: list[Decimal]) -> Column:
+    """Where a value lies among sorted bounds: 2j between bounds j-1 and j, 2j+1 on bound j."""
+    if not bounds:
+        return F.lit(0).cast("long")
+
+    def array(some: list[Decimal]) -> Column:  # folded to one literal, however many
+        return F.expr(f"cast(array({', '.join(f'{x:f}BD' for x in some)}) as array<decimal(38,2)>)")
+
+    below = lambda some: F.size(F.filter(some, lambda x: x < value))
+    whole = array(bounds)
+    lower = below(whole)
+    if len(bounds) > STRETCH:
+        stretch = F.greatest(below(array(bounds[::STRETCH])) - 1, F.lit(0)) * STRETCH
+        lower = stretch + below(F.slice(whole, stretch + 1, F.lit(STRETCH)))
+    return F.when(value.isNotNull(), 2 * lower + F.when(F.get(whole, lower) == value, 1).otherwise(0)).cast("long")
+
+
+def _sums(cells: DataFrame, keys: list[str]) -> DataFrame:
+    return cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"), F.min("low").alias("low"), F.max("digits").alias("digits"))
+
+
+def _cube(entries: DataFrame, names: list[str], bounds: dict[str, list[Decimal]], entities: DataFrame | None, few: list[str], fields: str) -> DataFrame:
+    """``entity, f, b, s, t, r`` with ``n, total, top, low, digits``: sums of the records of each place, a null filter for all its values.
+
+    ``f`` is a place in ``names``, -1 for records whatever their fields. Names
+    of records are in ``entities``, or in ``few``.
+    """
+    read = _read_once(entries, names, fields)
+    told = [F.when(F.col(f"__{f}").isin([v.lower() for v in values]), F.col(f"__{f}")).otherwise("").alias(x) for x, (f, values) in zip(_NAMES, FILTERS.items())]
+    kind = "decimal(38,6)"
+    one = lambda f, v, d, b: F.struct(F.lit(f).alias("f"), v.cast(kind).alias("v"), d.cast("int").alias("d"), b.alias("b"))
+    seen = [one(-1, F.lit(None), F.lit(None), F.lit(0).cast("long"))]
+    seen += [one(k, F.col(f"__v{k}"), F.col(f"__d{k}"), interval(F.col(f"__v{k}"), bounds.get(name, []))) for k, name in enumerate(names)]
+    rows = read.select(F.struct(*told, F.array(*seen).alias("seen")).alias("at"), F.col("__text").alias("q"))
+    if entities is None:
+        held = [F.when(F.contains("q", F.lit(x)), F.lit(x)) for x in few]
+        rows = rows.select("at", F.posexplode(F.array(F.lit(None).cast("string"), *held)).alias("k", "part")).where("k = 0 or part is not null")
+    else:
+        rows = with_parts(rows, entities, "at")
+    rows = rows.select("part", *[f"at.{x}" for x in _NAMES], F.explode("at.seen").alias("x")).select("part", *_NAMES, "x.f", "x.b", "x.v", "x.d").where("f < 0 or v is not null")
+    value = F.when(F.col("v").isNotNull(), F.struct("v", "d"))
+    cells = rows.groupBy("part", "f", "b", *_NAMES).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max(value).alias("top"), F.min(value).alias("low"), F.max("d").alias("digits"))
+    if entities is None:
+        cells = cells.withColumnRenamed("part", "entity")
+    else:  # parts that are no names have only passed the filter
+        cells = cells.join(entities.select(F.col("name").cast("binary").alias("part"), F.col("name").alias("entity")), "part", "left").where("part is null or entity is not null").drop("part")
+    kept = ["n", "total", "top", "low", "digits"]
+    rolled = F.explode(F.array(*[F.struct(*[(F.col(x) if on else F.lit(None).cast("string")).alias(x) for x, on in zip(_NAMES, which)]) for which in product((True, False), repeat=3)])).alias("k")
+    return _sums(cells.select("entity", "f", "b", rolled, *kept).select("entity", "f", "b", "k.*", *kept), ["entity", "f", "b", *_NAMES])
+
+
 def answer_aggregates(entries: DataFrame, questions: DataFrame, fields: str = "fields") -> DataFrame:
     """``question, operation, field, value, record_count, filters`` of each aggregate question.
 
@@ -63,62 +122,62 @@ def answer_aggregates(entries: DataFrame, questions: DataFrame, fields: str = "f
     and is NULL where nothing is there to compute. Questions that are no
     aggregate, or name an entity that no record holds, have no row. Counts
     without a field count records; with one, the records whose field is a
-    number. Each scan answers a bounded group of questions with conditional
-    aggregates, whose map-side partials are a single row a task.
+    number. All questions are answered by one scan of the records; the driver
+    sees the asked fields and, of each, its distinct bounds.
     """
-    spark = entries.sparkSession
-    schema = "question string, operation string, field string, value string, record_count long, filters string"
-    asked = parse(questions.select("question")).where("operation is not null").toLocalIterator()
-    rows, group = [], []
-
-    def scan(group):
-        aggs, names = [], sorted({q.field for q in group if q.field is not None})
-        for i, q in enumerate(group):
-            hit = _conditions(q)
-            if q.entity is not None:
-                aggs.append(F.coalesce(F.bool_or(F.contains("__text", F.lit(q.entity))), F.lit(False)).alias(f"there_{i}"))
-            if q.field is None:
-                aggs.append(F.count(F.when(hit, 1)).alias(f"n_{i}"))
-                continue
-            v, digits = (F.col(f"__{x}{names.index(q.field)}") for x in "vd")
-            if q.bound is not None:
-                hit = hit & beyond(v, q.bound, q.below)
-            v = F.when(hit, v)
-            aggs += [F.count(v).alias(f"n_{i}"), F.max(F.when(v.isNotNull(), digits)).alias(f"scale_{i}")]
-            if q.operation in ("sum", "avg"):
-                aggs.append(F.sum(v).alias(f"v_{i}"))
-            elif q.operation in ("max", "min"):
-                best = F.max if q.operation == "max" else F.min
-                aggs += [best(v).alias(f"v_{i}"), (F.max_by if q.operation == "max" else F.min_by)(digits, v).alias(f"own_{i}")]
-        got = _read_once(entries, names, fields).agg(*aggs).first()
-        for i, q in enumerate(group):
-            if q.entity is not None and not got[f"there_{i}"]:
-                continue
-            n = got[f"n_{i}"]
-            rows.append((q.question, q.operation, q.field, _shown(q.operation, q.field, got, i, n), n, filter_text(q)))
-
-    for q in asked:
-        group.append(q)
-        if len(group) == QUESTIONS_PER_SCAN:
-            scan(group)
-            group = []
-    if group:
-        scan(group)
-    return spark.createDataFrame(rows, schema)
-
-
-def _shown(operation, name, got, i, n):
-    from decimal import ROUND_HALF_UP, Decimal
-
-    if operation == "count":
-        return f"{n:,}" if name else str(n)
-    if not n:
+    parts = ["operation", "field", "status", "trend", "region", "below", "bound", "entity"]
+    asked = stash(parse(questions.select("question").distinct()).where("operation is not null").select("question", *parts))
+    told = asked.groupBy("field").agg(F.sort_array(F.collect_set("bound")).alias("bounds"), F.slice(F.collect_set("entity"), 1, FEW_NAMES + 1).alias("some")).collect()
+    names = sorted(r["field"] for r in told if r["field"] is not None)
+    bounds = {r["field"]: list(r["bounds"]) for r in told}
+    few = sorted({x for r in told for x in r.some})
+    entities = asked.select(F.col("entity").alias("name")).where("name is not null").distinct() if len(few) > FEW_NAMES else None
+    cube = _cube(entries, names, bounds, entities, few, fields)
+    if few:
+        cube = stash(cube)  # read twice
+
+    number = F.coalesce(*[F.when(F.col("field") == name, F.lit(k)) for k, name in enumerate(names)], F.lit(-1)) if names else F.lit(-1)
+    j = F.row_number().over(Window.partitionBy("field").orderBy("bound")) - 1
+    placed = asked.where("bound is not null").select("field", "bound").distinct().withColumn("j", j)
+    rows = asked.join(placed, ["field", "bound"], "left").select(
+        "question", "entity", number.alias("f"), F.coalesce(F.when(F.col("below"), 2 * F.col("j")).otherwise(2 * F.col("j") + 2), F.lit(0)).cast("long").alias("b"),
+        *[F.lower(c).alias(x) for x, c in zip(_NAMES, ("status", "trend", "region"))], F.struct(*parts).alias("asked"),
+    )
+    # questions stand among the sums they ask for: what lies at or beyond their place answers them
+    both = cube.unionByName(rows, allowMissingColumns=True)
+    place = Window.partitionBy("entity", "f", *_NAMES)
+    so_far = (Window.unboundedPreceding, Window.currentRow)  # totals that run on in either direction; a frame to the end would be summed anew for each row
+    frames = {"above": place.orderBy(F.desc("b")).rangeBetween(*so_far), "under": place.orderBy("b").rangeBetween(*so_far), "all": place}
+    got = {k: F.struct(F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"), F.sum("total").over(w).alias("total"), F.max("top").over(w).alias("top"), F.min("low").over(w).alias("low"), F.max("digits").over(w).alias("digits")) for k, w in frames.items()}
+    bound = F.col("asked.bound").isNotNull()
+    answer = F.when(~bound, F.col("all")).when(F.col("asked.below"), F.col("under")).otherwise(F.col("above"))
+    both = both.select("question", "asked", *[c.alias(k) for k, c in got.items()]).where("question is not null").select("question", "asked.*", answer.alias("x"))
+    if few:
+        there = cube.where("f = -1 and s is null and t is null and r is null").select("entity").where("entity is not null").distinct()
+        known = both.join(there, "entity", "left_semi")
+        both = known.unionByName(both.where("entity is null").select(*known.columns))
+    flat = both.select("question", *parts, "x.n", "x.total", F.col("x.top.v").alias("top"), F.col("x.top.d").alias("top_digits"), F.col("x.low.v").alias("low"), F.col("x.low.d").alias("low_digits"), "x.digits")
+    told = flat.mapInPandas(_told, "question string, operation string, field string, value string, record_count long, filters string")
+    return questions.select("question").join(told, "question")
+
+
+def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Answers as text."""
+    for batch in batches:
+        batch = batch.astype(object).where(batch.notna(), None)
+        rows = [(q.question, q.operation, q.field, _shown(q), int(q.n), filter_text(q)) for q in batch.itertuples(index=False)]
+        yield pd.DataFrame(rows, columns=["question", "operation", "field", "value", "record_count", "filters"])
+
+
+def _shown(q) -> str | None:
+    if q.operation == "count":
+        return f"{int(q.n):,}" if q.field else str(int(q.n))
+    if not q.n:
         return None
-    value = got[f"v_{i}"]
-    if operation == "avg":
-        return f"{(value / n).quantize(Decimal('0.01'), rounding=ROUND_HALF_UP):,}"
-    scale = got[f"own_{i}"] if operation in ("max", "min") else got[f"scale_{i}"]
-    return f"{value.quantize(Decimal(1).scaleb(-scale)):,}"
+    if q.operation == "avg":
+        return f"{(q.total / int(q.n)).quantize(Decimal('0.01'), rounding=ROUND_HALF_UP):,}"
+    value, digits = {"max": (q.top, q.top_digits), "min": (q.low, q.low_digits)}.get(q.operation, (q.total, q.digits))
+    return f"{value.quantize(Decimal(1).scaleb(-int(digits))):,}"
 
 
 def sentence(row) -> str:
@@ -129,3 +188,14 @@ def sentence(row) -> str:
     if row.value is None:
         return f"No {row.field} is given in the records asked for ({row.filters})."
     return f"{row.operation} of {row.field} over {row.record_count} records ({row.filters}): {row.value}\n{end}"
+
+
+def sentences(answers: DataFrame) -> DataFrame:
+    """``question, text, value`` of answers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.astype(object).where(batch.notna(), None)
+            yield pd.DataFrame([(r.question, sentence(r), r.value) for r in batch.itertuples(index=False)], columns=["question", "text", "value"])
+
+    return answers.mapInPandas(run, "question string, text string, value string")

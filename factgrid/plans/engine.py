@@ -15,12 +15,13 @@ from ..functions.fields import field_map, ungrounded
 from ..functions.prompts import prompt
 from ..functions.questions import parse
 from ..operators import index
-from ..operators.aggregates import answer_aggregates, sentence
+from ..operators.aggregates import answer_aggregates, sentence, sentences
 from ..operators.audit import AuditLog
 from ..operators.policy import apply_policy, denied
 from ..operators.search import encode, hamming_top_k
 from ..operators.verified import TEMPLATE, answer_verified, mentioned
 from ..sources.records import AccessPolicy, number_rows
+from ..storage import stash
 
 DENIAL = "The access policy does not permit this answer."
 
@@ -121,9 +122,7 @@ class Engine:
         plain = lambda df, text, path, values, refused: df.select("query_id", text.alias("text"), F.lit(path).alias("path"), no.alias("sources"), no.alias("hashes"), values.alias("values"), F.lit(refused).alias("refused"), F.lit(False).alias("ambiguous"))
         refused = plain(parsed.where("__denied"), F.lit(DENIAL), "policy_denial", no, True)
         allowed = parsed.where("not __denied").select("query_id", "question")
-        computed = answer_aggregates(scope, allowed.select("question").distinct())
-        rows = [(r.question, sentence(r), r.value) for r in computed.collect()]  # one row a question
-        told = self.spark.createDataFrame(rows, "question string, text string, value string")
+        told = stash(sentences(answer_aggregates(scope, allowed.select("question").distinct())))  # read twice
         by_code = plain(allowed.join(told, "question"), F.col("text"), "computed", F.array_compact(F.array("value")), False)
         rest = allowed.join(told, "question", "left_anti")
         looked = answer_verified(rest, self.retrieve(rest, scope), scope, self.names_in(scope, policy), self.settings.min_score, self.settings.template)

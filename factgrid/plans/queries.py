@@ -170,6 +170,19 @@ def agg08_questions(spark, sf_dir):
     return aggregates.answer_aggregates(order_entries(spark, sf_dir), _questions(spark)).select("operation", "field", "value", "record_count")
 
 
+@query(f"""WITH {E_SQL}, b AS (SELECT DISTINCT abs(CAST(c_acctbal AS DECIMAL(18,2))) * 20 AS b FROM customer)
+  SELECT 'What is the total amount of all open orders of ' || customer || '?' AS question, CASE WHEN count(*) FILTER (WHERE status = 'open') > 0 THEN format('{{:,.2f}}', sum(amount) FILTER (WHERE status = 'open')) END AS value, count(*) FILTER (WHERE status = 'open') AS record_count FROM e GROUP BY customer UNION ALL
+  SELECT 'How many records with an amount over $' || b || ' are there?', format('{{:,}}', count(amount)), count(amount) FROM b LEFT JOIN e ON amount > b GROUP BY b UNION ALL
+  SELECT 'What is the lowest paid amount less than $' || b || '?', format('{{:,.2f}}', min(amount)), count(amount) FROM b LEFT JOIN e ON amount < b AND status = 'paid' GROUP BY b""")
+def agg08_thousands(spark, sf_dir):
+    """A question about every customer's open orders, and two with each customer's own bound, answered in one scan of all orders."""
+    c = table(spark, sf_dir, "customer")
+    b = c.select((F.abs(F.col("c_acctbal").cast("decimal(18,2)")) * 20).cast("string").alias("b")).distinct()
+    asked = c.select(F.concat(F.lit("What is the total amount of all open orders of "), F.replace("c_name", F.lit("#"), F.lit("_")), F.lit("?")).alias("question"))
+    asked = asked.union(b.select(F.concat(F.lit("How many records with an amount over $"), "b", F.lit(" are there?")))).union(b.select(F.concat(F.lit("What is the lowest paid amount less than $"), "b", F.lit("?"))))
+    return aggregates.answer_aggregates(order_entries(spark, sf_dir), asked).select("question", "value", "record_count")
+
+
 @query(f"WITH {E_SQL} SELECT CAST(sum(amount) AS DECIMAL(38,2)) AS total, count(*) AS n, max(amount) AS most, CAST(round(CAST(sum(amount) AS DECIMAL(38,6)) / count(*), 2) AS DECIMAL(38,2)) AS mean FROM e WHERE status = 'open'")
 def agg03_open_orders(spark, sf_dir):
     """Four questions about the open orders, answered in one scan."""
@@ -456,7 +469,8 @@ def ver01_answers(spark, sf_dir):
 @query()
 def hdc_search(spark, sf_dir):
     """10,000-bit vectors of all parts, and the five nearest parts of every fiftieth."""
-    p = table(spark, sf_dir, "part")
+    # texts are short and their vectors dear, so rows are dealt to all cores before
+    p = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     e = search.encode(p.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("Part_"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("text")))
     return search.hamming_top_k(e, e.where("pos % 50 = 0").select(F.col("pos").alias("query_id"), "hv"))
 

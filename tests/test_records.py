@@ -48,6 +48,42 @@ def test_aggregates(spark, entries):
     assert aggregates.sentence(got[a]).startswith("sum of Amount over 2 records (Status=open): 350.50")
 
 
+def test_intervals(spark):
+    from decimal import Decimal
+
+    bounds = sorted({Decimal(n * n % 977).scaleb(-1) for n in range(300)})
+    values = [Decimal(n).scaleb(-2) for n in range(-50, 10_000, 7)] + bounds[::5] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(38,6)")
+    for some in (bounds, bounds[:64], bounds[:65], bounds[:3], bounds[:1]):
+        got = df.select("v", aggregates.interval(F.col("v"), some).alias("b")).collect()
+        assert all(r.b == (None if r.v is None else sum(x < r.v for x in some) + sum(x <= r.v for x in some)) for r in got)
+
+
+def test_questions_of_all_kinds_against_brute_force(spark, monkeypatch):
+    """Every filter with every operation and bound, one at a time and together."""
+    e = generators.business_records(spark, 400, customers=20).withColumn("fields", fx.field_map("text")).cache()
+    rows = [(r.text.lower(), {k: v for k, v in r.fields.items()}) for r in e.collect()]
+    number = lambda v: (m := __import__("re").search(r"-?[\d,]*\d[\d,]*(?:\.\d+)?", (v or "").replace("$", ""))) and float(m[0].replace(",", ""))
+    asked = {}
+    for word, op in (("total", "sum"), ("average", "avg"), ("highest", "max"), ("lowest", "min"), ("how many records with an", "n")):
+        for status in ("", "open", "paid"):
+            for region in ("", "north", "eu"):
+                for name in ("", "Customer_0003"):
+                    for bound, test in (("", None), (" over $20,000", lambda v: v > 20000), (" under $9,000.50", lambda v: v < 9000.5)):
+                        if name and op == "n":
+                            continue  # a lookup
+                        q = f"What is the {word} {status} amount{bound} in {region} of {name}?".replace("  ", " ").replace(" in of", " of").replace(" of ?", "?").replace(" in ?", "?")
+                        hit = [v for t, f in rows if (not status or f.get("Status") == status) and (not region or f.get("Region", "").lower() == region) and name.lower() in t and (v := number(f.get("Amount"))) is not None and (not test or test(v))]
+                        asked[q] = (op, len(hit), {"sum": sum, "avg": lambda h: sum(h) / len(h), "max": max, "min": min, "n": len}[op](hit) if hit or op == "n" else None)
+    got = ask(spark, e, *asked)
+    assert set(got) == set(asked) and len(asked) > 150
+    monkeypatch.setattr(aggregates, "FEW_NAMES", 0)  # names by filtered places give the same
+    assert ask(spark, e, *asked) == got
+    for q, (op, n, value) in asked.items():
+        assert got[q].record_count == n, q
+        assert (got[q].value is None) == (value is None) and (value is None or abs(float(got[q].value.replace(",", "")) - value) < 0.0051), q
+
+
 def test_what_is_no_aggregate(spark, entries):
     for q in ("What is the total amount of Customer_9999?", "How many units of Product_0001 are in stock?", "How many records over 500 are there?", "Who is it?", ""):
         assert ask(spark, entries, q) == {}
