@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -23,7 +24,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.fields import field_map, id_tokens
 from ..storage import call, commit, content, names, remove, stash
-from .search import encode
+from .policy import BY, filter_value, quoted
+from .search import encode, sketch, sketch_top_k
 
 VOCABULARY_FIELDS = ("Customer", "Product", "Department", "Contact")
 
@@ -43,10 +45,19 @@ def _latest(delta: DataFrame) -> DataFrame:
 
 
 def completed(rows: DataFrame, columns: list[str], encoding: str = "v1") -> DataFrame:
-    """``rows`` with the named columns: field maps and vectors are made where they are missing, others are null."""
+    """``rows`` with the named columns, in their order: field maps, vectors, sketches and columns for filters are made where they are missing, others are null."""
+    made = {"fields": lambda r: r.withColumn("fields", field_map("text")), "hv": lambda r: encode(r, encoding=encoding), "sk": lambda r: r.withColumn("sk", sketch())}
     for c in columns:
-        if c not in rows.columns:
-            rows = rows.withColumn(c, field_map("text")) if c == "fields" else encode(rows, encoding=encoding) if c == "hv" else rows.withColumn(c, F.lit(None))
+        if c in rows.columns:
+            continue
+        if c in made:
+            rows = made[c](rows)
+        elif c.startswith(BY):
+            has = "fields" in rows.columns
+            rows = (rows if has else rows.withColumn("fields", field_map("text"))).withColumn(c, filter_value(c.removeprefix(BY)))
+            rows = rows if has else rows.drop("fields")
+        else:
+            rows = rows.withColumn(c, F.lit(None))
     return rows
 
 
@@ -133,9 +144,16 @@ def _bucket(buckets: int) -> Column:
 
 
 def _write(rows: DataFrame, path: str, kind: str, buckets: int) -> dict:
-    """Write a layer, large buckets as several files; its entry for the log."""
+    """Write a layer, large buckets as several files; its entry for the log.
+
+    Rows of a file lie together by their columns for filters, so that the
+    bounds of row groups and pages tell which of them a filter needs.
+    """
     spark, folder = rows.sparkSession, f"layer-{uuid.uuid4().hex}"
-    rows.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    by = [quoted(c) for c in rows.columns if c.startswith(BY)]
+    dealt = rows.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
+    dealt = dealt.sortWithinPartitions("bucket", *by, "pos") if by else dealt
+    dealt.write.partitionBy("bucket").parquet(f"{path}/{folder}")
     at = [int(n.removeprefix("bucket=")) for n in names(spark, f"{path}/{folder}") if n.startswith("bucket=")]
     layer = {"folder": folder, "kind": kind, "rows": 0, "buckets": sorted(at)}
     if at:
@@ -167,19 +185,25 @@ def _merged(spark: SparkSession, path: str, version: Version, only: set[int] | N
     if deltas:
         above = reduce(DataFrame.unionByName, deltas)
         if len(deltas) > 1:
-            above = above.groupBy("pos").agg(F.max_by(F.struct(*[c for c in above.columns if c != "pos"]), "__n").alias("r")).select("pos", "r.*")
+            above = above.groupBy("pos").agg(F.max_by(F.struct(*[quoted(c) for c in above.columns if c != "pos"]), "__n").alias("r")).select("pos", "r.*")
         base = base.join(above.select("pos"), "pos", "left_anti").unionByName(above.where(~F.coalesce("gone", F.lit(False))).drop("gone", "__n"))
-    return base.select(*[f"`{c}`" for c in schema.names])
+    return base.select(*[quoted(c) for c in schema.names])
 
 
-def save(entries: DataFrame, path: str, dimensions: int = 10_000, encoding: str = "v1", buckets: int | None = None, expected: int | None = None) -> Version:
+def save(entries: DataFrame, path: str, dimensions: int = 10_000, encoding: str = "v1", buckets: int | None = None, expected: int | None = None, filters: Iterable[str] = (), sketches: bool = False) -> Version:
     """Write all entries (``pos, id, text`` and more) as a new version, beside the old ones.
 
+    The fields in ``filters`` get columns of their own, by which files are
+    ordered, so that a policy's conditions on them reach the scan
+    (``policy.visible``). ``sketches`` writes those of the vectors beside them,
+    for ``nearest``. Later appends keep both.
+
     With ``expected``, the version that the entries were taken from (0 for
     none), a version that another writer has entered since is not covered up:
     ``Conflict`` is raised.
     """
     spark = entries.sparkSession
+    entries = completed(entries, [*entries.columns, *(BY + f for f in filters), *(["hv", "sk"] if sketches else [])], encoding)
     before = current(spark, path) if exists(spark, path) else None
     number = before.number if before else 0
     if expected is not None and expected != number:
@@ -210,6 +234,25 @@ def load(spark: SparkSession, path: str, dimensions: int = 10_000, encoding: str
     return _merged(spark, path, version)
 
 
+def nearest(path: str, queries: DataFrame, k: int = 5, candidates: int = 50, exact: bool = False) -> DataFrame:
+    """``search.sketch_top_k`` of ``queries (query_id, hv)`` over an index saved with ``sketches``.
+
+    First places, ids and sketches of the entries are read (an eighth of their
+    vectors), then whole vectors in the buckets of the candidates only; with
+    ``exact`` all of them, if an answer is not certain.
+    """
+    spark = queries.sparkSession
+    version = current(spark, path)
+    if "sk" not in version.schema.names:
+        raise ValueError(f"{path} has been saved without sketches")
+
+    def whole(picked: DataFrame) -> DataFrame:
+        touched = {r[0] for r in picked.select(_bucket(version.buckets)).distinct().collect()}  # numbers of buckets
+        return _merged(spark, path, version, touched)
+
+    return sketch_top_k(_merged(spark, path, version), queries, k, candidates, bits=version.dimensions, exact=exact, whole=whole)
+
+
 def _changed(spark: SparkSession, path: str, change, tries: int) -> Version:
     """Enter what ``change(version)`` gives (a layer, or None, and the next version); after a lost race once more from the new version."""
     for left in range(tries - 1, -1, -1):
@@ -242,7 +285,7 @@ def append(delta: DataFrame, path: str, source: str | None = None, batch: int =
     schema, encoding = version.schema, version.encoding
     with call(spark):
         rows = completed(_latest(delta), [c for c in schema.names if c != "pos"], encoding)
-        rows = stash(rows.select("__d", *[F.col(f"`{f.name}`").cast(f.dataType) for f in schema if f.name != "pos"]))
+        rows = stash(rows.select("__d", *[F.col(quoted(f.name)).cast(f.dataType) for f in schema if f.name != "pos"]))
 
         def change(version: Version):
             if source is not None and version.applied.get(source, -1) >= batch:
@@ -250,7 +293,7 @@ def append(delta: DataFrame, path: str, source: str | None = None, batch: int =
             touched = {r[0] for r in rows.where("id is not null and id <> ''").select(_bucket_of_id(version.buckets)).distinct().collect()}  # numbers of buckets
             places = _merged(spark, path, version, touched).select("id", "pos").join(rows.select("id").where("id <> ''").distinct(), "id", "left_semi")
             placed = rows.join(places.groupBy("id").agg(F.max("pos").alias("pos")), "id", "left")
-            placed = placed.withColumn("pos", F.coalesce("pos", F.lit(version.next_pos) + F.col("__d"))).select(*schema.names, F.lit(False).alias("gone"))
+            placed = placed.withColumn("pos", F.coalesce("pos", F.lit(version.next_pos) + F.col("__d"))).select(*[quoted(c) for c in schema.names], F.lit(False).alias("gone"))
             layer = _write(placed, path, "delta", version.buckets)
             applied = version.applied | ({source: batch} if source is not None else {})
             if not layer["rows"]:

@@ -78,10 +78,10 @@ class Engine:
         engine.stored = (path, version.number)
         return engine
 
-    def save(self, path: str) -> None:
-        """Write all entries; back to where they came from only if no other writer has changed that meanwhile."""
+    def save(self, path: str, **how) -> None:
+        """Write all entries; back to where they came from only if no other writer has changed that meanwhile. ``how``: as for ``index.save``."""
         came_from, number = self.stored
-        version = index.save(self.entries, path, expected=number if path == came_from else None)
+        version = index.save(self.entries, path, expected=number if path == came_from else None, **how)
         self.stored = (path, version.number)
 
     def add(self, entries: DataFrame) -> None:

@@ -135,6 +135,24 @@ def flt05_policy(spark, sf_dir):
     return policy.apply_policy(order_entries(spark, sf_dir), EU).select("id", "text", fx.field("fields", "Amount").alias("amount"))
 
 
+@query(ORACLE_SQL["flt05_policy"])
+def flt05_stored(spark, sf_dir):
+    """The same rows from a stored index whose files are ordered by the filter's field, after a third of the orders have been appended again."""
+    e, path = order_entries(spark, sf_dir), folder(spark)
+    index.save(e.withColumn("text", F.replace("text", F.lit("Region: "), F.lit("Region: NOT "))).withColumn("fields", fx.field_map("text")).where("pos % 3 = 0").unionByName(e.where("pos % 3 <> 0")), path, filters=["Region", "Status"])
+    index.append(e.where("pos % 3 = 0").select("pos", "id", "text"), path)
+    return policy.apply_policy(index.load(spark, path), EU).select("id", "text", fx.field("fields", "Amount").alias("amount"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey || chr(10) || 'name, with key: ' || c_name || chr(10) || 'segment: ' || '\"' || c_mktsegment || '\", a; b' || chr(10) || 'balance: ' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS text FROM customer")
+def src02_delimited(spark, sf_dir):
+    """Customers written with semicolons, a comma in the header and quoted cells that hold both, and read back by what is found."""
+    path = folder(spark)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name, with key"), F.concat(F.lit('"'), "c_mktsegment", F.lit('", a; b')).alias("segment"), F.col("c_acctbal").cast("decimal(18,2)").alias("balance"))
+    c.write.csv(path, sep=";", header=True, escape='"')
+    return records.read_csv(spark, path, id_column="key").select("id", "text")
+
+
 QUESTIONS = [
     "What is the total amount of all open orders?",
     "What is the average amount of paid orders?",
@@ -294,6 +312,15 @@ def jn01_hamming(spark, sf_dir):
     return search.hamming_top_k(e, q, 5, bits=64).select("query_id", "rank", "pos", "distance", "score")
 
 
+@query(ORACLE_SQL["jn01_hamming"])
+def top03_certain(spark, sf_dir):
+    """The same rows by sketches stored with the vectors; where these leave it open, by all vectors."""
+    e, path = _signs(spark, sf_dir), folder(spark)
+    index.save(e, path, dimensions=64, sketches=True)
+    q = e.where("pos % 50 = 0").select(F.col("pos").alias("query_id"), "hv")
+    return index.nearest(path, q, 5, exact=True).select("query_id", "rank", "pos", "distance", "score")
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(range(10000), lambda x: CASE WHEN CAST(embedding[1 + x // 5 % 64] AS DOUBLE) > CAST(embedding[1 + (x // 5 % 64 + x // 320 + 1) % 64] AS DOUBLE) + x % 5 / 16 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE len(embedding) = 64),
   s AS (SELECT vec_id, CAST(array_to_string(b, '') AS BIT) AS b FROM v), d AS (SELECT q.vec_id AS query_id, s.vec_id AS pos, CAST(bit_count(xor(q.b, s.b)) AS BIGINT) AS distance FROM s q, s WHERE q.vec_id % 10 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, pos) AS rank FROM d) SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, distance, 1 - distance / 10000 AS score FROM r WHERE rank <= 5""")

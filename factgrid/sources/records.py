@@ -6,6 +6,8 @@ An entry is ``id STRING, text STRING, tags ARRAY<STRING>``: the text has one
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from dataclasses import dataclass, field
 
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stash
+from .workbooks import sheet_rows
 
 
 def entries_from_records(records: DataFrame, id_column: str | None = None, text_columns: list[str] | None = None, tag_columns: list[str] | None = None) -> DataFrame:
@@ -49,19 +52,34 @@ def number_rows(df: DataFrame, order: str) -> DataFrame:
     return numbered.withColumn("n", F.col("__first") + F.col(order).bitwiseAND((1 << 33) - 1)).drop("__p", "__first", order)
 
 
-def sniff_delimiter(head: str) -> str:
-    """The most frequent of ``, ; tab |`` in the first line that is not blank; a comma if none occurs."""
-    first = next((x for x in head.lstrip("﻿").splitlines() if x.strip()), "")
-    best = max(",;\t|", key=first.count)
-    return best if first.count(best) else ","
+#: Lines, and letters of each, that the delimiter is found from.
+SAMPLE_LINES, SAMPLE_LETTERS = 50, 1 << 16
+
+
+def sniff_delimiter(head: str, cut: bool = False) -> str:
+    """The one of ``, ; tab |`` that gives most rows of the sample as many cells as its header; a comma if none divides it.
+
+    Quoted cells are read whole, so what stands inside them divides nothing. Of
+    equally good ones that with more cells is taken, then the first listed.
+    ``cut`` tells that the sample may end inside a row, which is left out.
+    """
+    best, found = (0.0, 0), ","
+    for mark in ",;\t|":
+        rows = [r for r in csv.reader(io.StringIO(head.lstrip("\ufeff"), newline=""), delimiter=mark) if any(c.strip() for c in r)]
+        rows = rows[:-1] if cut and len(rows) > 1 else rows
+        width = len(rows[0]) if rows else 0
+        if width > 1 and (how := (sum(len(r) == width for r in rows) / len(rows), width)) > best:
+            best, found = how, mark
+    return found
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, **render) -> DataFrame:
     """Entries of a delimited file with a header; all values are text, the delimiter is found if not given."""
     if delimiter is None:
-        delimiter = sniff_delimiter("\n".join(r.value for r in spark.read.text(path).limit(20).collect()))
+        head = [r.v for r in spark.read.text(path).select(F.substring("value", 1, SAMPLE_LETTERS).alias("v")).limit(SAMPLE_LINES).collect()]
+        delimiter = sniff_delimiter("\n".join(head), len(head) == SAMPLE_LINES)
     table = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, inferSchema=False, encoding="UTF-8", escape='"')
-    return entries_from_records(table.toDF(*[c.lstrip("﻿") for c in table.columns]), **render)
+    return entries_from_records(table.toDF(*[c.lstrip("\ufeff") for c in table.columns]), **render)
 
 
 def _line_entry(line: str, n: int) -> tuple[str, str, list[str] | None, str | None]:
@@ -100,14 +118,8 @@ def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict[str, s
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None, **render) -> DataFrame:
-    """Entries of a workbook's sheet (first row: header). Needs openpyxl; a workbook fits the driver by its format."""
-    import openpyxl
-
-    book = openpyxl.load_workbook(path, read_only=True, data_only=True)
-    rows = list((book[sheet] if sheet else book.active).iter_rows(values_only=True))
-    names = [str(c) if c is not None else f"col_{i}" for i, c in enumerate(rows[0])] if rows else []
-    body = [[None if v is None else str(v) for v in r] for r in rows[1:]]
-    return entries_from_records(spark.createDataFrame(body, ", ".join(f"`{n}` string" for n in names)), **render)
+    """Entries of the rows of a workbook's sheet (by default the one it opens with; its first row is the header), or of a folder of workbooks."""
+    return entries_from_records(sheet_rows(spark, path, sheet), **render)
 
 
 def retrieval_format(records: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """The stored index and the audit log: layers, versions, and writers that know only an older end."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from factgrid.operators import audit, index
+from factgrid.operators import audit, index, search
+from factgrid.operators.policy import apply_policy
 from factgrid.plans.engine import Engine, Settings, prepared
 from factgrid.plans.tenants import Tenants
-from factgrid.storage import names
+from factgrid.sources.records import AccessPolicy
+from factgrid.storage import names, stash
 
 
 def rows(spark, *given):
@@ -156,3 +160,85 @@ def test_log_with_stale_writers_does_not_fork(spark, tmp_path):
     assert [r.id for r in one.last(2).collect()] == [1010, 1011]
     changed = one.events().withColumn("payload", F.when(F.col("id") == 500, "edited").otherwise(F.col("payload")))
     assert [r.id for r in audit.broken_links(changed).collect()] == [500]
+
+
+def scans(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+
+
+def test_a_policy_passes_over_parts_of_files(spark, tmp_path):
+    e = spark.range(20_000).select(F.col("id").alias("pos"), F.concat(F.lit("R"), "id").alias("id"), F.concat(F.lit("Region: "), F.when(F.col("id") % 50 == 0, "North").otherwise("South"), F.lit("\nAmount: "), "id").alias("text"))
+    path = f"file://{tmp_path}/ix"
+    spark.conf.set("parquet.page.row.count.limit", "100")
+    try:
+        index.save(e.coalesce(1), path, buckets=2, filters=["Region"])
+    finally:
+        spark.conf.unset("parquet.page.row.count.limit")
+    north = AccessPolicy("n", {"Region": frozenset({"NORTH"})}, frozenset({"region"}))
+    seen = apply_policy(index.load(spark, path), north)
+    assert "by_Region" not in seen.columns and all("Region" not in f for f in seen.first().fields)
+    plan = seen.select("pos")._jdf.queryExecution().executedPlan()
+    assert "PushedFilters" in plan.toString() and "(by_Region,north)" in plan.toString().replace("EqualTo", "")
+    assert "fields" not in scans(seen.select("pos"))[0].split("ReadSchema")[1]  # the map is not read for the test
+    assert seen.count() == 400
+    rows = seen.select("pos")
+    rows.collect()
+    metrics = str(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(_leaf(rows).metrics()).get("numOutputRows").value())
+    assert 400 <= int(metrics) <= 1000  # of 20,000: pages without the value are passed over
+    index.append(rows_of(spark, ("R1", "Region: North"), ("R50", "Region: South"), ("new", "Region: north"), ("none", "x")), path)
+    got = {r.id for r in apply_policy(index.load(spark, path), north).collect()}
+    assert len(got) == 401 and {"R1", "new"} <= got and "R50" not in got
+    index.compact(spark, path)
+    assert {r.id for r in apply_policy(index.load(spark, path), north).collect()} == got
+
+
+def rows_of(spark, *given):
+    return rows(spark, *[(n, i, t) for n, (i, t) in enumerate(given)])
+
+
+def _leaf(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return leaves.head()
+
+
+def test_filter_columns_with_odd_names(spark, tmp_path):
+    path = f"file://{tmp_path}/ix"
+    index.save(rows(spark, (0, "A", "Net. `x` price: Low"), (1, "B", "y")), path, filters=["Net. `x` price"])
+    index.append(rows(spark, (0, "C", "Net. `x` price: LOW")), path)
+    some = AccessPolicy("n", {"Net. `x` price": frozenset({"low"})})
+    assert sorted(r.id for r in apply_policy(index.load(spark, path), some).collect()) == ["A", "C"]
+    empty = AccessPolicy("n", {"Net. `x` price": frozenset({""})})
+    assert [r.id for r in apply_policy(index.load(spark, path), empty).collect()] == ["B"]
+
+
+def test_stored_sketches(spark, tmp_path):
+    base = spark.range(3000).select(F.col("id").alias("pos"), F.concat(F.lit("R"), "id").alias("id"), F.concat(F.lit("Customer: C"), "id", F.lit(" city"), F.col("id") % 7, F.lit(" street"), F.col("id") % 11, F.lit(" item"), F.col("id") % 13).alias("text"))
+    path = f"file://{tmp_path}/ix"
+    index.save(prepared(base), path, buckets=16, sketches=True)
+    text = F.concat(F.lit("customer C"), "pos", F.lit(" street"), F.col("pos") % 11)
+    asked = search.encode(base.where("pos % 100 = 0").select(F.col("pos").alias("query_id"), text.alias("text"))).select("query_id", "hv")
+    same = search.encode(base.where("pos in (5, 6)").select((10_000 + F.col("pos")).alias("query_id"), "text")).select("query_id", "hv")
+    asked = stash(asked.unionByName(same))
+    truth = search.hamming_top_k(index.load(spark, path), asked)
+    key = lambda df: {(r.query_id, r["rank"]): (r.pos, r.distance) for r in df.collect()}
+    want, near, sure = key(truth), index.nearest(path, asked), index.nearest(path, asked, exact=True)
+    assert "sk:binary" in scans(index.load(spark, path).select("pos", "id", "sk"))[0] and "hv" not in scans(index.load(spark, path).select("pos", "id", "sk"))[0].split("ReadSchema")[1]
+    found = near.collect()
+    first = lambda rows: sum(want[r.query_id, 1] == (r.pos, r.distance) for r in rows if r["rank"] == 1) / 32
+    near5 = lambda rows: sum((r.pos, r.distance) in {want[r.query_id, n] for n in range(1, 6)} for r in rows) / len(want)
+    wider = index.nearest(path, asked, candidates=400).collect()
+    print("recall of sketches: first", first(found), "of five", near5(found), "; 400 candidates", first(wider), near5(wider), "; certain", len({r.query_id for r in found if r.certain}))
+    assert first(found) >= 0.9 and near5(wider) >= 0.9
+    assert all(want[r.query_id, r["rank"]] == (r.pos, r.distance) for r in found if r.certain)
+    assert key(sure) == want and all(r.certain for r in sure.collect())
+    one = index.nearest(path, same, k=1)
+    assert {(r.query_id, r.pos, r.distance, r.certain) for r in one.collect()} == {(10_005, 5, 0, True), (10_006, 6, 0, True)}  # nothing can be nearer
+    few = index.nearest(path, same.where("query_id = 10005"), k=1, candidates=2)
+    read = [x.split("PartitionFilters: [")[1].split("]")[0] for x in scans(few) if "hv:binary" in x]
+    assert read and all("bucket" in x and len(re.findall(r"\b\d+\b", x.split("bucket", 1)[1].split("#", 1)[1])) <= 3 for x in read)  # the column's number and two of 16 buckets
+    index.append(rows_of(spark, ("R5", "gone elsewhere"), ("X", "Customer: C5 city5 street5 item5")), path)
+    assert [(r.id, r.distance) for r in index.nearest(path, same.where("query_id = 10005"), k=1).collect()] == [("X", 0)]
+    index.save(rows(spark, (0, "A", "a")), f"file://{tmp_path}/plain")
+    with pytest.raises(ValueError):
+        index.nearest(f"file://{tmp_path}/plain", same)
