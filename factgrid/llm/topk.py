@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Queries of one block and vectors of one page, on average: what one step holds in memory.
-QUERY_BLOCK, PAGE = 512, 1 << 15
+#: Queries of one block and vectors of one page, on average; vectors of a page whose bounds are held at once (16 MB a matrix of a block).
+QUERY_BLOCK, PAGE, TILE = 512, 1 << 15, 1 << 12
 _LONG = 2**63
 
 
@@ -108,24 +108,44 @@ def _pages(store: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(run, "page int, dims int, ids binary, shifts binary, cells binary")
 
 
+def narrow(q: np.ndarray) -> bytes:
+    """Integers held as doubles, in the fewest bytes a value that hold them all (2, 4 or 8)."""
+    most = np.abs(q).max(initial=0)
+    return q.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64).tobytes()
+
+
+def wide(b: bytes, n: int, dims: int) -> np.ndarray:
+    """What ``narrow`` has packed, as doubles."""
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[len(b) // (n * dims)]
+    return np.frombuffer(b, kind).reshape(n, dims).astype(np.float64)
+
+
 class _Bounds:
-    """Bounds of the products of a block of queries with the vectors of a page."""
+    """Bounds of the products of a block of queries with the vectors of a page, a tile of the page at a time."""
 
     def __init__(self, ids: bytes, shifts: bytes, cells: bytes, dims: int):
         self.ids = np.frombuffer(ids, np.int64)
         self.unit = np.ldexp(1.0, np.frombuffer(shifts, np.int32).astype(np.int64))
-        self.low = np.frombuffer(cells, np.int8).reshape(-1, dims).astype(np.float64) * self.unit[:, None]
+        self.cells = np.frombuffer(cells, np.int8).reshape(-1, dims)
+
+    def _of(self, qids: np.ndarray, q: np.ndarray, side, sign: int):
+        # product of the cells' lower corners, what the cells' width adds on this side, and rounding outwards
+        wider, size = side(q, 0).sum(axis=1), 1e-12 * q.shape[1] * np.abs(q).sum(axis=1)
+        for a in range(0, len(self.ids), TILE):
+            unit = self.unit[a : a + TILE]
+            bound = q @ (self.cells[a : a + TILE] * unit[:, None]).T
+            bound += np.multiply.outer(wider, unit - 1)
+            bound += np.multiply.outer(sign * size, 129 * unit)
+            bound[qids[:, None] == self.ids[None, a : a + TILE]] = -np.inf  # a query's own id is no candidate
+            yield self.ids[a : a + TILE], bound
+
+    def lower(self, qids: np.ndarray, q: np.ndarray):
+        """Ids of each tile and lower bounds."""
+        return self._of(qids, q, np.minimum, -1)
 
-    def of(self, qids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, rounded outwards; a query's own id is bounded by minus infinity."""
-        at = q @ self.low.T
-        slack = 1e-12 * q.shape[1] * np.abs(q).sum(axis=1)[:, None] * (129 * self.unit)[None, :]
-        width = (self.unit - 1)[None, :]
-        low = at + np.minimum(q, 0).sum(axis=1)[:, None] * width - slack
-        high = at + np.maximum(q, 0).sum(axis=1)[:, None] * width + slack
-        own = qids[:, None] == self.ids[None, :]
-        low[own] = high[own] = -np.inf
-        return low, high
+    def upper(self, qids: np.ndarray, q: np.ndarray):
+        """Ids of each tile and upper bounds."""
+        return self._of(qids, q, np.maximum, 1)
 
 
 def _meet(pages: DataFrame, blocks: DataFrame, n_pages: int, answer, schema: str) -> DataFrame:
@@ -150,9 +170,8 @@ def _meet(pages: DataFrame, blocks: DataFrame, n_pages: int, answer, schema: str
                 if not part:
                     have[dims] = _Bounds(ids, shifts, cells, dims)
                 elif dims in have:
-                    q = np.frombuffer(cells, np.float64).reshape(-1, dims)
-                    if (got := answer(have[dims], block, np.frombuffer(ids, np.int64), q, floors)) is not None:
-                        yield got
+                    ids = np.frombuffer(ids, np.int64)
+                    yield from answer(have[dims], block, ids, wide(cells, len(ids), dims), floors)
 
     return dealt.mapInArrow(run, schema)
 
@@ -196,17 +215,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY
             ids, q = [], []
             for r in batch.column(2).to_pylist():
                 ids.append(np.array([x["vec_id"] for x in r]).tobytes())
-                q.append(b"".join(x["v"] for x in r))
+                q.append(narrow(np.frombuffer(b"".join(x["v"] for x in r), np.float64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(q, pa.binary())], names=["block", "dims", "ids", "vectors"])
 
     blocks = stash(rows.mapInArrow(pack, "block int, dims int, ids binary, vectors binary"))
 
     def lows(bounds, block, ids, q, _):
-        low, _ = bounds.of(ids, q)
         best = np.full((len(ids), k), -np.inf)
-        got = -np.partition(-low, k - 1, axis=1)[:, :k] if low.shape[1] > k else low
-        best[:, : got.shape[1]] = got
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([q.shape[1]], pa.int32()), pa.array([best.tobytes()], pa.binary())], names=["block", "dims", "lows"])
+        for _, low in bounds.lower(ids, q):
+            low = low if low.shape[1] <= k else -np.partition(-low, k - 1, axis=1)[:, :k]
+            best = -np.partition(-np.concatenate((best, low), axis=1), k - 1, axis=1)[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([q.shape[1]], pa.int32()), pa.array([best.tobytes()], pa.binary())], names=["block", "dims", "lows"])
 
     def floor(batches):
         best: dict[tuple[int, int], np.ndarray] = {}
@@ -222,10 +241,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY
     floors = first.repartition("block", "dims").mapInArrow(floor, "block int, dims int, floors binary")
 
     def candidates(bounds, block, ids, q, floors):
-        _, high = bounds.of(ids, q)
-        # fewer than k vectors leave the floor at minus infinity, where a query's own id is too
-        at, which = np.nonzero((high >= np.frombuffer(floors)[:, None]) & np.isfinite(high))
-        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(bounds.ids[which]), pa.array(high[at, which])], names=["query_id", "vec_id", "high"])
+        floors = np.frombuffer(floors)[:, None]
+        for page_ids, high in bounds.upper(ids, q):
+            # fewer than k vectors leave the floor at minus infinity, where a query's own id is too
+            at, which = np.nonzero((high >= floors) & np.isfinite(high))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(page_ids[which]), pa.array(high[at, which])], names=["query_id", "vec_id", "high"])
 
     found = _meet(pages, blocks.join(stash(floors), ["block", "dims"]), n_pages, candidates, "query_id long, vec_id long, high double")
     # each exact vector is read for those queries only that it may answer; rows that share an id share their greatest bound

@@ -229,6 +229,53 @@ def test_near_vectors(spark, window):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_passes_move_no_vectors(spark):
+    """What is dealt in passes are ids and hashes; vectors go where a candidate is."""
+    x = vectors(3, 60)
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]], 1) for i in range(60)] * 2, "vec_id long, embedding array<float>, label int")
+    folded = df.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")).withColumn("at", F.monotonically_increasing_id())
+    hashed = embeddings._hash(folded.withColumn("label", F.col("label").cast("long")).withColumn("embedding", F.col("embedding").cast("array<double>")), 3, 4)
+    row = hashed.first()
+    assert len(row["keys"]) == embeddings.HASH_BITS // 8 and len(row.prefixes) == 4 and len(row.v) == 64
+    got = {(r.vec_id, r.n_links) for r in embeddings.near_vectors(df).collect()}  # each row twice
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert got == {(i, 2 * int((u @ u[i] >= 0.98).sum()) - 1) for i in range(60)}
+
+
+def test_hashes_at_the_threshold_differ_in_few_bits():
+    for bits, cosine in ((128, 0.98), (256, 0.9), (900, 0.98)):
+        far, p = embeddings.reach(bits, cosine), math.acos(cosine) / math.pi
+        tail = lambda n: sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(n + 1, bits + 1))
+        assert tail(far) <= embeddings.MISS < tail(far - 1)
+    assert embeddings.reach(128, 1.0) == 0 and embeddings.reach(128, -1.0) == 128
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((400, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other = rng.standard_normal((400, 32))
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + math.sqrt(1 - 0.98**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    planes = rng.standard_normal((32, 128))
+    assert ((a @ planes > 0) != (b @ planes > 0)).sum(axis=1).max() <= embeddings.reach(128, 0.98)
+
+
+@pytest.mark.parametrize("scale", [10, 1 << 20, 1 << 40])
+def test_narrow_queries_and_bounds_by_tile(scale, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 7)
+    rng = np.random.default_rng(6)
+    v, q = np.floor(scale * rng.standard_normal((30, 8))), np.floor(scale * rng.standard_normal((5, 8)))
+    packed = topk.narrow(q)
+    assert len(packed) == q.size * (2 if scale == 10 else 4 if scale == 1 << 20 else 8) and (topk.wide(packed, 5, 8) == q).all()
+    cells, shifts = zip(*(topk.cells_of(x) for x in v))
+    bounds = topk._Bounds(np.arange(30).tobytes(), np.array(shifts, np.int32).tobytes(), b"".join(c.tobytes() for c in cells), 8)
+    qids = np.array([100, 101, 3, 102, 103])
+    exact = np.array([[topk.product(a, b) for b in v] for a in q], np.float64)
+    low, high = (np.concatenate([x for _, x in side(qids, q)], axis=1) for side in (bounds.lower, bounds.upper))
+    own = np.zeros((5, 30), bool)
+    own[2, 3] = True
+    assert np.isneginf(low[own]).all() and np.isneginf(high[own]).all()
+    assert (low <= exact)[~own].all() and (exact <= high)[~own].all() and [len(i) for i, _ in bounds.lower(qids, q)] == [7, 7, 7, 7, 2]
+
+
 @pytest.mark.parametrize("block,page", [(2048, 4096), (4, 16)])
 def test_top_k(spark, block, page):
     x = vectors(2, 150)
