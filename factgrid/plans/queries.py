@@ -487,7 +487,8 @@ def ver01_answers(spark, sf_dir):
     q = asked.select("query_id", F.concat(F.lit("What is the status of "), "c", F.lit("?")).alias("question"))
     # as many hits as the customer with most records has, so that no record is left out
     most = e.groupBy("c").count().agg(F.max("count")).first()[0] or 1
-    hits = search.bm25_top_k(e.select(F.col("pos").alias("doc_id"), "text"), q.withColumnRenamed("question", "text"), most)
+    hits = stash(search.bm25_top_k(e.select(F.col("pos").alias("doc_id"), "text"), q.withColumnRenamed("question", "text"), most))
+    e = stash(e.select("pos", "id", "text", "c"))  # read several times
     ranked = hits.withColumnRenamed("doc_id", "pos").join(e.select("pos", "id", "text"), "pos")
     ranked = stash(ranked.select("query_id", "rank", "id", "text", "score"))  # read several times
     return verified.answer_verified(q, ranked, e.select("pos", "id", "text"), e.select(F.lower("c").alias("name")).distinct()).select("query_id", "path", F.array_join("values", ",").alias("vals"))

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgrid.functions import fields as fx
-from factgrid.operators import aggregates
+from factgrid.functions import questions as qx
+from factgrid.operators import aggregates, bm25, search
+from factgrid.plans import queries
+from factgrid.sources import generators
 
 
 @pytest.fixture
@@ -36,3 +39,68 @@ def test_bounds_are_answered_by_ranges(uncoalesced, monkeypatch):
     got = aggregates.answer_aggregates(e, spark.createDataFrame([(q,) for q in want], "question string")).collect()
     got = {r.question: r.value for r in got}
     assert {q: (v, got.get(q)) for q, v in want.items() if got.get(q) != v} == {} and len(got) == len(want)
+
+
+def test_scores_of_documents_are_not_moved(spark, monkeypatch):
+    """Nothing is joined or grouped by question and document; cells of questions give the same rows as one."""
+    d = spark.createDataFrame([(f"d{n}", f"Status of Customer_{n % 7} is open open {'x ' * (n % 5)}ä{n % 3}") for n in range(200)] + [("null", None)], "doc_id string, text string")
+    q = spark.createDataFrame([(n, f"status of customer_{n} x x {n % 3}") for n in range(12)] + [(99, "nothing"), (100, None)], "query_id int, text string")
+    got = bm25.bm25_top_k(d.repartition(3), q, 40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    want = sorted(map(tuple, bm25.Bm25.build(d).top_k(q, 40).collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+    monkeypatch.setattr(bm25, "CELL", 3)
+    assert sorted(map(tuple, bm25.bm25_top_k(d, q, 40).collect())) == want
+    assert bm25.bm25_top_k(d, q.limit(0)).count() == 0 == bm25.bm25_top_k(d.limit(0), q).count()
+
+
+def test_equal_texts_are_compared_once(spark, monkeypatch):
+    e = spark.createDataFrame([(n, f"e{n}", None if n % 11 == 3 else f"word{n % 9} and other{n % 4} ") for n in range(150)], "pos long, id string, text string")
+    q = e.where("pos % 10 = 0").select(F.col("pos").alias("query_id"), "text")
+    want = search.hamming_top_k(search.encode(e), search.encode(q)).select("query_id", "rank", "id", "pos", "distance", "score")
+    met, plain = [], search.hamming_top_k
+    monkeypatch.setattr(search, "hamming_top_k", lambda a, b, k: (met.append((a.count(), b.count())), plain(a, b, k))[1])
+    assert sorted(map(tuple, search.nearest_texts(e, q).collect())) == sorted(map(tuple, want.collect()))
+    assert met == [(37, q.select("text").distinct().count())]
+
+
+def test_rows_without_a_neighbour_are_dealt(uncoalesced):
+    spark = uncoalesced
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.createDataFrame([(n, n + 1 if n % 10 == 0 else None) for n in range(1000)], "pos long, near1 long")
+    got = generators._beside(rows, spark.range(2000).select(F.col("id").alias("near1"), F.lit("t").alias("other")), "near1")
+    parts = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    there = sorted(r.pos for r in got.where("other is not null").collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(parts) == 1000 and max(parts) < 400 and there == list(range(0, 1000, 10))
+
+
+def test_bits_are_made_by_few_rows():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    v = pd.Series([*np.random.default_rng(5).normal(size=(1500, 64)).astype(np.float32)])
+    tracemalloc.start()
+    bits = queries._margins(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and len(bits) == 1500 and bits[700] == queries._margins(v.iloc[700:701])[0]
+
+
+def test_patterns_are_tried_where_their_words_stand(spark):
+    texts = ["Total of meaning", "the mean", "how  many", "counts", "Summe!", "trend is down", "downtrend up", "trend_up down trend", "reopen open", "in production", "north_1 North", "eu", "Eu eu_1", "größte", None, "open tickets", "smallest"]
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    q = F.lower("q")
+    rules = [*qx.OPERATIONS, *qx.AGGREGATE_FIELDS, *qx.LOOKUP_FIELDS]
+    for r in df.select(F.array(*[qx._matches(q, p) for p, _ in rules]).alias("a"), F.array(*[q.rlike(f"(?U){p}") for p, _ in rules]).alias("b")).collect():
+        assert r.a == r.b
+    got = qx.parse(df.withColumnRenamed("q", "question"))
+    plain = F.regexp_replace(q, r"\bopen tickets\b", "tickets")
+    status = F.coalesce(*[F.when(plain.rlike(rf"(?U)\b{s}\b"), F.lit(s)) for s in qx.STATUSES])
+    trend = F.coalesce(*[F.when(q.rlike(qx.TREND_PLACE.format(w=w)), F.lit(t)) for w, t in qx.TRENDS.items()])
+    want = df.select("q", status, trend).collect()
+    assert sorted(map(repr, got.select("question", "status", "trend").rdd.map(tuple).collect())) == sorted(map(repr, map(tuple, want)))
+    assert "contains" in got.select("status")._jdf.queryExecution().optimizedPlan().toString().lower()
