@@ -497,10 +497,8 @@ def ver01_answers(spark, sf_dir):
 @query()
 def hdc_search(spark, sf_dir):
     """10,000-bit vectors of all parts, and the five nearest parts of every fiftieth."""
-    # texts are short and their vectors dear, so rows are dealt to all cores before
-    p = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
-    e = search.encode(p.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("Part_"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("text")))
-    return search.hamming_top_k(e, e.where("pos % 50 = 0").select(F.col("pos").alias("query_id"), "hv"))
+    e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("Part_"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("text"))
+    return search.nearest_texts(e, e.where("pos % 50 = 0").select(F.col("pos").alias("query_id"), "text"))
 
 
 @query()
