@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as fx
@@ -37,8 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders rendered as records: ``pos, id, text, fields``."""
+def order_entries(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Orders rendered as records: ``pos, id, text, fields``, and ``more`` of an order."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     o = o.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -51,9 +51,10 @@ def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("Status"),
         F.col("r_name").alias("Region"),
         F.col("o_orderpriority").alias("Priority"),
+        *more,
     )
     text = F.concat_ws("\n", "id", *[F.concat(F.lit(f"{c}: "), c) for c in ("Customer", "Amount", "Status", "Region", "Priority")])
-    return rows.select("pos", "id", text.alias("text")).withColumn("fields", fx.field_map("text"))
+    return rows.select("pos", "id", text.alias("text"), *rows.columns[7:]).withColumn("fields", fx.field_map("text"))
 
 
 E_SQL = """e AS (SELECT o_orderkey AS pos, 'Order_' || o_orderkey AS id, replace(c_name, '#', '_') AS customer, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
@@ -321,7 +322,6 @@ def top03_certain(spark, sf_dir):
     return index.nearest(path, q, 5, exact=True).select("query_id", "rank", "pos", "distance", "score")
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(range(10000), lambda x: CASE WHEN CAST(embedding[1 + x // 5 % 64] AS DOUBLE) > CAST(embedding[1 + (x // 5 % 64 + x // 320 + 1) % 64] AS DOUBLE) + x % 5 / 16 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE len(embedding) = 64),
 def _margins(v: pd.Series) -> pd.Series:
     """Bits of vectors, of 128 at a time: each takes three times 10,000 doubles on the way."""
     x, out = np.arange(10_000), []
@@ -332,6 +332,7 @@ def _margins(v: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(range(10000), lambda x: CASE WHEN CAST(embedding[1 + x // 5 % 64] AS DOUBLE) > CAST(embedding[1 + (x // 5 % 64 + x // 320 + 1) % 64] AS DOUBLE) + x % 5 / 16 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE len(embedding) = 64),
   s AS (SELECT vec_id, CAST(array_to_string(b, '') AS BIT) AS b FROM v), d AS (SELECT q.vec_id AS query_id, s.vec_id AS pos, CAST(bit_count(xor(q.b, s.b)) AS BIGINT) AS distance FROM s q, s WHERE q.vec_id % 10 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, pos) AS rank FROM d) SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, distance, 1 - distance / 10000 AS score FROM r WHERE rank <= 5""")
 def jn01_bits(spark, sf_dir):
@@ -487,12 +488,12 @@ def set05_difference(spark, sf_dir):
 def ver01_answers(spark, sf_dir):
     """Verified status questions about forty customers: BM25 hits, names and scans over all records."""
     e = order_entries(spark, sf_dir).withColumn("c", fx.field("fields", "Customer")).withColumn("id", F.concat(F.lit("Order of "), "c"))
+    e = stash(e.select("pos", "id", "text", "c"))  # read several times
     asked = e.select(F.right("c", F.lit(9)).cast("long").alias("query_id"), "c").where("query_id < 40").distinct()
     q = asked.select("query_id", F.concat(F.lit("What is the status of "), "c", F.lit("?")).alias("question"))
     # as many hits as the customer with most records has, so that no record is left out
     most = e.groupBy("c").count().agg(F.max("count")).first()[0] or 1
     hits = stash(search.bm25_top_k(e.select(F.col("pos").alias("doc_id"), "text"), q.withColumnRenamed("question", "text"), most))
-    e = stash(e.select("pos", "id", "text", "c"))  # read several times
     ranked = hits.withColumnRenamed("doc_id", "pos").join(e.select("pos", "id", "text"), "pos")
     ranked = stash(ranked.select("query_id", "rank", "id", "text", "score"))  # read several times
     return verified.answer_verified(q, ranked, e.select("pos", "id", "text"), e.select(F.lower("c").alias("name")).distinct()).select("query_id", "path", F.array_join("values", ",").alias("vals"))
@@ -526,8 +527,7 @@ def src07_profile(spark, sf_dir):
 
 def invoice_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as invoices, whose titles have a customer, a month and a year."""
-    o = table(spark, sf_dir, "orders").withColumn("when", F.date_format("o_orderdate", "MMM yyyy"))
-    e = order_entries(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("pos"), "when"), "pos")
+    e = order_entries(spark, sf_dir, F.date_format("o_orderdate", "MMM yyyy").alias("when"))
     return e.withColumn("id", F.concat(F.lit("Invoice "), fx.field("fields", "Customer"), F.lit(" "), "when"))
 
 
