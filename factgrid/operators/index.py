@@ -91,6 +91,8 @@ def known_entities(entries: DataFrame) -> DataFrame:
 # -- the stored index ------------------------------------------------------
 #: Entries of a bucket, by which the number of buckets of a new index follows its size; delta layers that are read before they are folded.
 BUCKET_ENTRIES, DELTAS = 100_000, 8
+#: Rows that a join may broadcast the places and ids of.
+FEW = 1 << 18
 
 
 class Conflict(RuntimeError):
@@ -143,7 +145,24 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.nullif("id", F.lit("")), F.col("pos").cast("string"))), F.lit(buckets)).cast("int")
 
 
-def _write(rows: DataFrame, path: str, kind: str, buckets: int) -> dict:
+def _dealt(rows: DataFrame, buckets: int, most: int) -> DataFrame:
+    """``rows`` (``most`` of them at the most) with their bucket, about ``BUCKET_ENTRIES`` to a task.
+
+    Tasks follow the number of rows, not the bytes moved: vectors that are
+    alike take few bytes on the way and all of them again where they are ordered.
+    """
+    tasks = max(1, -(-most // BUCKET_ENTRIES))
+    parts = -(-tasks // buckets)  # of a bucket
+    task = F.col("bucket") * parts + F.pmod(F.xxhash64("pos"), F.lit(parts)) if parts > 1 else F.col("bucket") % min(tasks, buckets)
+    return rows.withColumn("bucket", _bucket(buckets)).repartitionById(max(parts * buckets, 1) if parts > 1 else min(tasks, buckets), task.cast("int"))
+
+
+def _small(side: DataFrame, rows: int) -> DataFrame:
+    """The narrow side of a join: broadcast if it has few rows, else held by key, so that the wide side is never ordered."""
+    return side.hint("broadcast" if rows <= FEW else "shuffle_hash")
+
+
+def _write(rows: DataFrame, path: str, kind: str, buckets: int, most: int) -> dict:
     """Write a layer, large buckets as several files; its entry for the log.
 
     Rows of a file lie together by their columns for filters, so that the
@@ -151,7 +170,7 @@ def _write(rows: DataFrame, path: str, kind: str, buckets: int) -> dict:
     """
     spark, folder = rows.sparkSession, f"layer-{uuid.uuid4().hex}"
     by = [quoted(c) for c in rows.columns if c.startswith(BY)]
-    dealt = rows.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
+    dealt = _dealt(rows, buckets, most)
     dealt = dealt.sortWithinPartitions("bucket", *by, "pos") if by else dealt
     dealt.write.partitionBy("bucket").parquet(f"{path}/{folder}")
     at = [int(n.removeprefix("bucket=")) for n in names(spark, f"{path}/{folder}") if n.startswith("bucket=")]
@@ -183,10 +202,12 @@ def _merged(spark: SparkSession, path: str, version: Version, only: set[int] | N
     with_gone = _with(schema, "gone", "boolean")
     deltas = [_read(spark, path, x, with_gone, only).withColumn("__n", F.lit(n)) for n, x in enumerate(used("delta"))]
     if deltas:
-        above = reduce(DataFrame.unionByName, deltas)
+        above, n = reduce(DataFrame.unionByName, deltas), sum(x["rows"] for x in used("delta"))
+        last = above.select("pos", "__n")
         if len(deltas) > 1:
-            above = above.groupBy("pos").agg(F.max_by(F.struct(*[quoted(c) for c in above.columns if c != "pos"]), "__n").alias("r")).select("pos", "r.*")
-        base = base.join(above.select("pos"), "pos", "left_anti").unionByName(above.where(~F.coalesce("gone", F.lit(False))).drop("gone", "__n"))
+            last = last.groupBy("pos").agg(F.max("__n").alias("__n"))
+            above = above.join(_small(last, n), ["pos", "__n"], "left_semi")
+        base = base.join(_small(last.select("pos"), n), "pos", "left_anti").unionByName(above.where(~F.coalesce("gone", F.lit(False))).drop("gone", "__n"))
     return base.select(*[quoted(c) for c in schema.names])
 
 
@@ -208,8 +229,9 @@ def save(entries: DataFrame, path: str, dimensions: int = 10_000, encoding: str
     number = before.number if before else 0
     if expected is not None and expected != number:
         raise Conflict(f"{path} is at version {number}, these entries come from {expected}")
-    buckets = buckets or max(1, -(-entries.count() // BUCKET_ENTRIES))
-    layer = _write(entries, path, "base", buckets)
+    n = entries.count()
+    buckets = buckets or max(1, -(-n // BUCKET_ENTRIES))
+    layer = _write(entries, path, "base", buckets, n)
     version = Version(number + 1, layer["rows"], 0, buckets, entries.schema.json(), [layer] if layer["rows"] else [], dimensions, encoding, before.applied if before else {})
     version.next_pos = _merged(spark, path, version).agg(F.coalesce(F.max("pos"), F.lit(-1)) + 1).first()[0]
     while True:
@@ -286,15 +308,16 @@ def append(delta: DataFrame, path: str, source: str | None = None, batch: int =
     with call(spark):
         rows = completed(_latest(delta), [c for c in schema.names if c != "pos"], encoding)
         rows = stash(rows.select("__d", *[F.col(quoted(f.name)).cast(f.dataType) for f in schema if f.name != "pos"]))
+        n = rows.count()  # from the files' footers
 
         def change(version: Version):
             if source is not None and version.applied.get(source, -1) >= batch:
                 return None, None
             touched = {r[0] for r in rows.where("id is not null and id <> ''").select(_bucket_of_id(version.buckets)).distinct().collect()}  # numbers of buckets
             places = _merged(spark, path, version, touched).select("id", "pos").join(rows.select("id").where("id <> ''").distinct(), "id", "left_semi")
-            placed = rows.join(places.groupBy("id").agg(F.max("pos").alias("pos")), "id", "left")
+            placed = rows.join(_small(places.groupBy("id").agg(F.max("pos").alias("pos")), n), "id", "left")
             placed = placed.withColumn("pos", F.coalesce("pos", F.lit(version.next_pos) + F.col("__d"))).select(*[quoted(c) for c in schema.names], F.lit(False).alias("gone"))
-            layer = _write(placed, path, "delta", version.buckets)
+            layer = _write(placed, path, "delta", version.buckets, n)
             applied = version.applied | ({source: batch} if source is not None else {})
             if not layer["rows"]:
                 return layer, replace(version, number=version.number + 1, applied=applied) if source is not None else None
@@ -319,9 +342,9 @@ def withdraw(ids: DataFrame, path: str, tries: int = 5) -> Version:
 
         def change(version: Version):
             touched = {r[0] for r in asked.select(_bucket_of_id(version.buckets)).distinct().collect()}  # numbers of buckets
-            hit = _merged(spark, path, version, touched).select("pos", "id").join(asked, "id", "left_semi")
+            hit = stash(_merged(spark, path, version, touched).select("pos", "id").join(asked, "id", "left_semi"))
             blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in version.schema if f.name not in ("pos", "id")]
-            layer = _write(hit.select("pos", "id", *blank, F.lit(True).alias("gone")), path, "delta", version.buckets)
+            layer = _write(hit.select("pos", "id", *blank, F.lit(True).alias("gone")), path, "delta", version.buckets, hit.count())
             if not layer["rows"]:
                 return layer, None
             return layer, replace(version, number=version.number + 1, layers=[*version.layers, layer], entry_count=version.entry_count - layer["rows"])
@@ -336,7 +359,7 @@ def compact(spark: SparkSession, path: str, tries: int = 5) -> Version:
         touched = {b for x in version.layers if x["kind"] == "delta" for b in x["buckets"]}
         if not touched:
             return None, None
-        layer = _write(_merged(spark, path, version, touched), path, "base", version.buckets)
+        layer = _write(_merged(spark, path, version, touched), path, "base", version.buckets, sum(x["rows"] for x in version.layers))
         kept = []
         for x in version.layers:
             left = [b for b in x["buckets"] if b not in touched]

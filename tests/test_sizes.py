@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgrid.functions import fields as fx
-from factgrid.operators import aggregates, bm25, search
+from factgrid.operators import aggregates, bm25, index, search
 from factgrid.plans import queries
 from factgrid.sources import generators
 
@@ -97,8 +97,29 @@ def test_words_are_counted_where_a_document_is_read(spark, monkeypatch):
     made = bm25._runs(d)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString() and max(len(r.p) for r in made.collect()) == 7
     want = sorted((r.doc_id, r.term, r.tf, r.dl) for r in bm25.postings(d, "doc_id").collect())
-    index = bm25.Bm25.build(d)
-    got = index.held.collect()
-    assert sorted((r.doc_id, r.term, r.tf, r.dl) for r in got) == want and len(want) > 1000 and index.n == 303
-    high = index.levels.agg(F.sum("n"), F.max("level")).first()
-    assert high[0] == len(want) and {r.level for r in got} == {r.level for r in index.levels.collect()} and high[1] < bm25.LEVELS
+    made = bm25.Bm25.build(d)
+    got = made.held.collect()
+    assert sorted((r.doc_id, r.term, r.tf, r.dl) for r in got) == want and len(want) > 1000 and made.n == 303
+    high = made.levels.agg(F.sum("n"), F.max("level")).first()
+    assert high[0] == len(want) and {r.level for r in got} == {r.level for r in made.levels.collect()} and high[1] < bm25.LEVELS
+
+
+def test_layers_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Rows that are alike take few bytes on the way, yet no task gets more than its share of them, and no wide row is ordered to be merged."""
+    monkeypatch.setattr(index, "BUCKET_ENTRIES", 500)
+    monkeypatch.setattr(index, "FEW", 0)
+    e = spark.range(6000).select(F.col("id").alias("pos"), F.concat(F.lit("R"), "id").alias("id"), F.lit("old").alias("text"), F.lit(b"x" * 1250).alias("hv"))
+    for buckets in (12, 3):
+        sizes = [r[1] for r in index._dealt(e, buckets, 6000).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6000 and len(sizes) == 12 and max(sizes) < 700
+    at = f"file://{tmp_path}/ix"
+    index.save(e, at)
+    for k in (3, 2):
+        index.append(e.where(f"pos % {k} = 0").select("pos", "id", F.lit(f"new{k}").alias("text")), at)
+    merged = index.load(spark, at)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and "ShuffledHashJoin" in plan
+    got = {r.pos: r.text for r in merged.collect()}
+    assert len(got) == 6000 == merged.count() and all(t == ("new2" if p % 2 == 0 else "new3" if p % 3 == 0 else "old") for p, t in got.items())
+    index.compact(spark, at)
+    assert {r.pos: r.text for r in index.load(spark, at).collect()} == got
