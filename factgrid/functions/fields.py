@@ -32,9 +32,15 @@ def lines(text) -> Column:
 def field_map(text) -> Column:
     """``MAP<STRING,STRING>`` of the ``Field: value`` lines; a later line wins over an earlier one."""
     def read(p: Column) -> Column:  # p: the lines, evaluated once
-        keys = F.array_distinct(F.transform(p, lambda x: F.substring_index(x, ": ", 1)))
+        keys = F.transform(p, lambda x: F.substring_index(x, ": ", 1))
+        return F.transform(F.array(keys), lambda keys: of(p, keys))[0]
+
+    def of(p: Column, keys: Column) -> Column:
+        own = F.array_distinct(keys)
         last = lambda k: F.element_at(F.filter(p, lambda x: F.startswith(x, F.concat(k, F.lit(": ")))), -1)
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.substr(last(k), F.length(k) + 3)))
+        again = F.map_from_arrays(own, F.transform(own, lambda k: F.substr(last(k), F.length(k) + 3)))
+        # where no key comes twice, each line is read once
+        return F.when(F.size(own) == F.size(keys), F.map_from_arrays(keys, F.transform(p, lambda x: F.substr(x, F.instr(x, ": ") + 2)))).otherwise(again)
 
     pairs = F.filter(lines(text), lambda x: x.contains(": "))
     return F.transform(F.array(F.coalesce(pairs, F.array().cast("array<string>"))), read)[0]

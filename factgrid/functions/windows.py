@@ -22,6 +22,8 @@ _VALUE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 #: Bits of a filter for each hash, bits of a stored block, and of a filter at most (8 MB).
 BITS_EACH, BLOCK_LOG2, MOST_LOG2 = 16, 15, 26
+#: Bytes of a run of texts: a task's arrays have up to 8 bytes for each of them, a dozen of such arrays at a time.
+RUN_BYTES = 1 << 17
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -52,16 +54,18 @@ class Windows:
         return at, x ^ (x >> _U(32))
 
 
-def runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, bytes, starts)`` of runs of rows of at most ``limit`` bytes, one row at least; nulls are empty."""
-    texts = [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, bytes, starts)`` of runs of rows of at most ``limit`` bytes, one row at least; nulls are empty. No text is copied."""
+    if not len(column):
+        return
+    held = column.cast(pa.large_binary()).fill_null(b"")
+    _, ends, data = held.buffers()
+    ends = np.frombuffer(ends, np.int64)[held.offset : held.offset + len(held) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
-    while first < len(texts):
-        last, size = first + 1, len(texts[first])
-        while last < len(texts) and size + len(texts[last]) <= limit:
-            size += len(texts[last])
-            last += 1
-        yield first, np.frombuffer(b"".join(texts[first:last]), np.uint8), np.cumsum([0, *map(len, texts[first:last])])
+    while first < len(held):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, side="right")) - 1)
+        yield first, data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
 
 

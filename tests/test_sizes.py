@@ -123,3 +123,63 @@ def test_layers_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     assert len(got) == 6000 == merged.count() and all(t == ("new2" if p % 2 == 0 else "new3" if p % 3 == 0 else "old") for p, t in got.items())
     index.compact(spark, at)
     assert {r.pos: r.text for r in index.load(spark, at).collect()} == got
+
+
+def test_few_texts_are_made_to_know_that_they_are_many(spark, monkeypatch):
+    """Whether texts are few is told without making all of them, and exactly."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    e = spark.range(0, 40_000, 1, 2).select("id", F.repeat(F.lit("x"), 50).alias("q")).mapInArrow(run, "id long, q string")
+    assert search._beyond(e, 1 << 10) and made.value < 10_000
+    monkeypatch.setattr(search, "_places_held", lambda *a: pytest.fail("many"))
+    names = spark.createDataFrame([("xx",)], "name string")
+    few = spark.createDataFrame([(1, "axxa"), (2, ""), (3, None), (4, "bb")], "id long, q string")
+    few = few.union(spark.range(10, 10 + (search.FEW_LETTERS - 6) // 10, 1, 2).select("id", F.repeat(F.lit("c"), 10)))
+    assert [tuple(r) for r in search.holding(few, names, "id").collect()] == [(1, "xx")]
+    monkeypatch.setattr(search, "_parts_held", lambda *a: pytest.fail("few"))
+    monkeypatch.setattr(search, "_places_held", lambda *a: "many")
+    assert search.holding(few.union(spark.createDataFrame([(5, "c")], "id long, q string")), names, "id") == "many"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_windows_of_a_batch_are_made_run_by_run(spark):
+    """A worker's arrays follow a short run of texts, not the batch; nulls, empty and long texts, and a part of a batch are read alike."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from factgrid.functions import windows
+
+    texts = [None, "", "ä" * 5, "x" * 300_000, "", *[f"text {n} of the batch " * 9 for n in range(20_000)], None, ""]
+    for column, want in ((pa.array(texts), texts), (pa.array(texts).slice(2, 9), texts[2:11]), (pa.array(texts[:2]), texts[:2]), (pa.array([], pa.string()), [])):
+        got = []
+        for first, data, starts in windows.runs(column):
+            assert first == len(got) and (len(data) <= windows.RUN_BYTES or len(starts) == 2)
+            got += [data[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+        assert got == [(t or "").encode() for t in want]
+    tracemalloc.start()
+    for _, data, starts in windows.runs(pa.array(texts[5:])):
+        windows.Windows(data, starts).of(8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+
+
+def test_fields_that_come_once_are_read_once(spark):
+    """Records of many fields take time by their lines; a later line still wins, in the place of the first."""
+    import time
+
+    wide = "Title\n" + "\n".join(f"Field {n}: value: {n}" for n in range(400))
+    rows = [(wide,), ("T\nA: 1\nB: 2: 3\nno field\nA: 4\r\n: x\nC: ",), (None,), ("T",)]
+    got = [r.f for r in spark.createDataFrame(rows, "text string").select(fx.field_map("text").alias("f")).collect()]
+    assert got[0] == {f"Field {n}": f"value: {n}" for n in range(400)} and got[1:] == [{"A": "4", "B": "2: 3", "": "x", "C": ""}, {}, {}]
+    many = spark.range(0, 300, 1, 1).select(F.lit(wide).alias("text"), "id").select(F.concat("text", F.lit("\nId: "), "id").alias("text"))
+    began = time.time()
+    assert many.select(F.sum(F.size(fx.field_map("text")))).first()[0] == 300 * 401
+    assert time.time() - began < 8
