@@ -183,3 +183,31 @@ def test_fields_that_come_once_are_read_once(spark):
     began = time.time()
     assert many.select(F.sum(F.size(fx.field_map("text")))).first()[0] == 300 * 401
     assert time.time() - began < 8
+
+
+def test_questions_of_an_order_are_read_from_one_rendering(spark, sf):
+    plan = queries.scl08_questions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [o_orderkey") == 1
+
+
+def test_words_are_looked_for_before_patterns(spark):
+    """What is read with words looked for first is what the patterns alone read."""
+    from factgrid.functions import questions as qx
+
+    parts = ["total", "sums", "sum of", "how many", "miscount", "owe", "max", "größte", "open tickets", "reopen tickets", "open", "in production", "paid", "unpaid", "über 5", "over $1,0.5", "overdue", "less than ,", "under  7.", "trend up", "us_east", "east", "stocks", "Ä_1", "x A_b1_", "owed", "30-day sales"]
+    texts = [None, "", *parts, *[f"{a}{mark}{b.upper()}" for a in parts for b in parts for mark in (" ", "")]]
+    t = spark.createDataFrame([(x,) for x in texts], "question string").repartition(2)
+    q = F.lower("question")
+    first = lambda q, rules: F.coalesce(*[F.when(q.rlike(f"(?U){p}"), F.lit(v)) for p, v in rules])
+    plain = F.regexp_replace(q, r"\bopen tickets\b", "tickets")
+    want = t.select(
+        "question", first(q, qx.AGGREGATE_FIELDS).alias("field"), first(q, qx.LOOKUP_FIELDS).alias("lookup_field"), first(plain, [(rf"\b{s}\b", s) for s in qx.STATUSES]).alias("status"),
+        first(q, [(qx.TREND_PLACE.format(w=w), v) for w, v in qx.TRENDS.items()]).alias("trend"), first(q, [(qx.REGION_PLACE.format(r=r), r) for r in qx.REGIONS]).alias("region"),
+        F.regexp_extract(q, qx.THRESHOLD, 1).isin(qx.UNDER.split("|")).alias("below"), F.replace(F.regexp_extract(q, qx.THRESHOLD, 2), F.lit(","), F.lit("")).try_cast("decimal(38,2)").alias("bound"),
+        F.nullif(F.lower(F.regexp_extract("question", r"\b[A-Za-z]+_[A-Za-z0-9]+\b", 0)), F.lit("")).alias("entity"),
+    )
+    got = qx.parse(t).withColumn("region", F.lower("region"))
+    assert got.select(*want.columns).exceptAll(want).collect() == [] == want.exceptAll(got.select(*want.columns)).collect()
+    ops = t.select(qx._first(q, qx.OPERATIONS).alias("a"), first(q, qx.OPERATIONS).alias("b"))
+    assert ops.where("not (a <=> b)").count() == 0 < ops.where("a is not null").count()
+    assert set(got.columns) == {"question", "operation", "marked", "wants_record", *want.columns}
