@@ -47,17 +47,15 @@ def _latest(delta: DataFrame) -> DataFrame:
 def completed(rows: DataFrame, columns: list[str], encoding: str = "v1") -> DataFrame:
     """``rows`` with the named columns, in their order: field maps, vectors, sketches and columns for filters are made where they are missing, others are null."""
     made = {"fields": lambda r: r.withColumn("fields", field_map("text")), "hv": lambda r: encode(r, encoding=encoding), "sk": lambda r: r.withColumn("sk", sketch())}
+    by = [c for c in columns if c.startswith(BY) and c not in rows.columns]
+    lent = bool(by) and "fields" not in rows.columns and "fields" not in columns
+    if by:  # a text's field map is made once for all of them
+        rows = rows if "fields" in rows.columns else made["fields"](rows)
+        rows = rows.withColumns({c: filter_value(c.removeprefix(BY)) for c in by})
+    rows = rows.drop("fields") if lent else rows
     for c in columns:
-        if c in rows.columns:
-            continue
-        if c in made:
-            rows = made[c](rows)
-        elif c.startswith(BY):
-            has = "fields" in rows.columns
-            rows = (rows if has else rows.withColumn("fields", field_map("text"))).withColumn(c, filter_value(c.removeprefix(BY)))
-            rows = rows if has else rows.drop("fields")
-        else:
-            rows = rows.withColumn(c, F.lit(None))
+        if c not in rows.columns:
+            rows = made[c](rows) if c in made else rows.withColumn(c, F.lit(None))
     return rows
 
 

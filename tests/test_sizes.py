@@ -211,3 +211,11 @@ def test_words_are_looked_for_before_patterns(spark):
     ops = t.select(qx._first(q, qx.OPERATIONS).alias("a"), first(q, qx.OPERATIONS).alias("b"))
     assert ops.where("not (a <=> b)").count() == 0 < ops.where("a is not null").count()
     assert set(got.columns) == {"question", "operation", "marked", "wants_record", *want.columns}
+
+
+def test_filter_columns_share_one_field_map(spark):
+    e = spark.createDataFrame([(1, "a", "T\nRegion: EU\nStatus: Open"), (2, "b", None)], "pos long, id string, text string")
+    got = index.completed(e, ["id", "text", "by_Region", "by_Status"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    assert sorted(map(tuple, got.collect()))[0][1:] == ("a", "T\nRegion: EU\nStatus: Open", "eu", "open") and got.columns == ["pos", "id", "text", "by_Region", "by_Status"]
+    assert index.completed(e, ["text", "by_Region", "fields"]).where("fields['Status'] = 'Open' and by_Region = 'eu'").count() == 1
