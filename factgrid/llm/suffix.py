@@ -7,8 +7,10 @@ are equal. A text is cut into segments, runs of windows with one anchor.
 1. Segments go to the bucket of their anchor as (anchor, segment, document)
    hashes, folded per task. A segment whose whole content stands in an earlier
    document is removed at once. Where one anchor has different segments, the
-   first carrier of each content is noted in a Bloom filter of fixed size.
-2. The noted segments' bytes go to their bucket. Those that share 40 bytes
+   first carrier of each content is noted.
+2. The noted segments' bytes go to their bucket. They are found in the documents by
+   Bloom filters of fixed size, each for the documents of as many notes as it has
+   room for; so what is moved in vain does not grow with their number. Those that share 40 bytes
    around the anchor with another document enter a multi-document suffix order,
    built column by column: each round inserts one symbol of every segment from
    its end, which turns the collection's Burrows-Wheeler transform and common
@@ -16,7 +18,8 @@ are equal. A text is cut into segments, runs of windows with one anchor.
    Neighbours with a common prefix of 50 bytes are equal windows.
 3. Anchors with very many contents do not meet in one task: their windows are
    grouped by hash, with partial aggregation, instead.
-4. What is to be removed returns to the document and is united there.
+4. What is to be removed returns to the document, packed by parts of the documents,
+   and is united there.
 """
 
 from __future__ import annotations
@@ -29,19 +32,21 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import chunks, mix, prefix, span_hash
 from .common import stash
-from .lm import planes, unplanes
+from .lm import planes, steps, unplanes, unsteps
 
 _U = np.uint64
 WINDOW, GRAM = 50, 20
 #: Windows of one segment at most: as many as can hold one place (periodic texts have endless runs of one anchor).
 RUN = WINDOW - GRAM + 1
-#: Bits of the filter of noted segments; it is the only thing broadcast.
-NOTED_LOG2 = 27
+#: Bits of a filter of noted segments (the only thing broadcast, one at a time), of it for each segment, and pieces in which it is made.
+NOTED_LOG2, BITS_EACH, PIECES_LOG2 = 27, 16, 6
+#: Segments a bucket, and noted ones, that a task gathers before it hands them on: rows have a size besides what they hold.
+GATHERED, GATHERED_NOTED = 64, 16
 #: Contents of one anchor that may meet in one task.
 CROWD = 20_000
 
@@ -87,28 +92,72 @@ def _slot(key: np.ndarray, bits: int):
         x = x + step
 
 
-def _noted(filt: np.ndarray, bucket: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+def _noted(filt: np.ndarray, key: np.ndarray) -> np.ndarray:
+    piece, bits = (key >> _U(64 - PIECES_LOG2)).astype(np.int64), len(filt) * 8 >> PIECES_LOG2
     ok = np.ones(len(key), bool)
     for at in _slot(key, bits):
-        p = bucket * bits + at
+        p = piece * bits + at
         ok &= (filt[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
     return ok
 
 
-def _mark(bits: int, *keys: np.ndarray) -> bytes:
-    seg = np.zeros(bits, bool)
-    for k in keys:
-        for at in _slot(k, bits):
-            seg[at] = True
-    return np.packbits(seg, bitorder="little").tobytes()
+def _filter(keys: DataFrame, log2: int) -> np.ndarray:
+    """A filter of ``2**log2`` bits of the hashes ``key``, made piece by piece."""
+    bits = 1 << (log2 - PIECES_LOG2)
+
+    def run(batches):
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            piece = key >> _U(64 - PIECES_LOG2)
+            for p in np.unique(piece).tolist():
+                seg = made.setdefault(p, np.zeros(bits // 8, np.uint8))
+                for at in _slot(key[piece == p], bits):
+                    np.bitwise_or.at(seg, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        for p, seg in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([seg.tobytes()], pa.binary())], names=["piece", "bits"])
+
+    piece = F.shiftrightunsigned("key", 64 - PIECES_LOG2).cast("int")
+    out = np.zeros((1 << log2) // 8, np.uint8)
+    for r in keys.select("key").repartition(piece).mapInArrow(run, "piece int, bits binary").toLocalIterator():  # 2**log2 bits in all
+        out[r.piece * (bits // 8) : (r.piece + 1) * (bits // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def _carrier(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return (content & _U((1 << 40) - 1)) * _U(0x9E3779B97F4A7C15) + doc.astype(np.uint64)
+    return mix((content & _U((1 << 40) - 1)) * _U(0x9E3779B97F4A7C15) + doc.astype(np.uint64))
+
+
+def _crowded(anchor: np.ndarray, log2: int) -> np.ndarray:
+    """The key of a crowded anchor: of its bits those of the bucket and 32 more."""
+    return mix((anchor >> _U(32 - log2)) ^ _U(0x5DEECE66D))
+
 
+_LOW, _SPREAD = (1 << 31) - 1, 1327217885
 
-def _crowded(anchor: np.ndarray) -> np.ndarray:
-    return mix(anchor & _U(0xFFFFFFFF)) ^ _U(0x5DEECE66D)
+
+def _part(doc: np.ndarray, log2: int) -> np.ndarray:
+    x = doc.view(np.uint64)
+    x = (x ^ (x >> _U(31))) & _U(_LOW)
+    return ((x * _U(_SPREAD)) & _U(_LOW)).astype(np.int64) >> (31 - log2)
+
+
+def _part_of(doc_id: str, log2: int) -> Column:
+    """``_part`` of a column."""
+    x = F.col(doc_id).bitwiseXOR(F.shiftrightunsigned(doc_id, 31)).bitwiseAND(F.lit(_LOW).cast("long"))
+    return F.shiftright((x * F.lit(_SPREAD).cast("long")).bitwiseAND(F.lit(_LOW).cast("long")), 31 - log2).cast("int")
+
+
+def _packed(log2: int, doc: np.ndarray, **cols: np.ndarray) -> pa.RecordBatch:
+    """``part, docs`` and five low bytes of the columns: what belongs to documents, a row for each part of them."""
+    part = _part(doc, log2)
+    order = np.lexsort((doc, part))
+    doc, part = doc[order], part[order]
+    edge = np.flatnonzero(np.diff(part, prepend=-1, append=1 << log2))
+    cuts = [slice(a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+    out = [pa.array([int(part[c.start]) for c in cuts], pa.int32()), pa.array([steps(doc[c].view(np.uint64), 8) for c in cuts], pa.binary())]
+    out += [pa.array([planes(x[order[c]], 5) for c in cuts], pa.binary()) for x in cols.values()]
+    return pa.RecordBatch.from_arrays(out, names=["part", "docs", *cols])
 
 
 def _shared_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -284,57 +333,81 @@ def _log2_buckets(spark) -> int:
 
 
 def _deal(docs: DataFrame, log2: int) -> DataFrame:
-    """Per task and bucket: hashes of the distinct segments with their first document of the task."""
+    """Per run of documents and bucket: hashes of the distinct segments with their first document of the run."""
+    most = max(1 << 17, GATHERED << log2)
+
+    def dealt(a, g, doc):
+        order = np.lexsort((doc, g, a))
+        a, g, doc = a[order], g[order], doc[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
+        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = doc > least
+        a1, g1, d1 = a[new], g[new], doc[new]
+        edge = np.searchsorted(a1 >> _U(64 - log2), np.arange((1 << log2) + 1, dtype=np.uint64))
+        out = []
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            s = slice(edge[b], edge[b + 1])
+            out.append((b, planes(a1[s] >> _U(32 - log2), 4), planes(g1[s], 5), planes(d1[s], 8)))
+        # repeats inside the run need no answer
+        g2, d2 = g[later], doc[later]
+        if len(g2):
+            out.append((int(mix(g2[:1])[0]) % (1 << log2), b"", planes(g2, 5), planes(d2, 8)))
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "a", "g", "d"])
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, data, starts in chunks(batch.column(1)):
                 a, g, row, _, _ = segments(data, starts)
-                doc = ids[first + row]
-                order = np.lexsort((doc, g, a))
-                a, g, doc = a[order], g[order], doc[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
-                least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else doc
-                later = doc > least
-                a1, g1, d1 = a[new], g[new], doc[new]
-                edge = np.searchsorted(a1 >> _U(64 - log2), np.arange((1 << log2) + 1, dtype=np.uint64))
-                out = []
-                for b in np.flatnonzero(np.diff(edge)).tolist():
-                    s = slice(edge[b], edge[b + 1])
-                    out.append((b, planes(a1[s] >> _U(32 - log2), 4), planes(g1[s], 5), planes(d1[s], 8)))
-                # repeats inside the task need no answer
-                g2, d2 = g[later], doc[later]
-                if len(g2):
-                    out.append((int(first) % (1 << log2), b"", planes(g2, 5), planes(d2, 8)))
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "a", "g", "d"])
+                if len(a):
+                    held.append((a, g, ids[first + row]))
+                    n += len(a)
+                if n >= most:
+                    yield dealt(*map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+        if held:
+            yield dealt(*map(np.concatenate, zip(*held)))
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, a binary, g binary, d binary")
 
 
-def _resolve(dealt: DataFrame, log2: int, bits: int, crowd: int) -> DataFrame:
-    """Removed segments (doc_id, g) and the filters of noted carriers and crowded anchors."""
+def _resolve(dealt: DataFrame, log2: int, parts: int, crowd: int) -> DataFrame:
+    """Removed segments (``part, docs, g``), noted carriers (``doc_id, key``) and crowded anchors (``key`` alone)."""
+    names, most = ["part", "docs", "g", "doc_id", "key"], GATHERED << parts
 
-    def rows(doc, g):
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(doc.astype(np.int64)), pa.array(g.astype(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["bucket", "doc_id", "g", "noted", "crowded"])
+    def rows(doc, key):
+        n = len(key)
+        doc = pa.nulls(n, pa.int64()) if doc is None else pa.array(doc)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), doc, pa.array(key.view(np.int64))], names=names)
+
+    def packed(held):
+        doc, g = map(np.concatenate, zip(*held))
+        out = _packed(parts, doc, g=g)
+        none = pa.nulls(out.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([*out.columns, none, none], names=names)
 
     def run(batches):
         got: dict[int, list] = {}
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
             for b, a, g, d in zip(*(c.to_pylist() for c in batch.columns)):
-                if not a:
-                    yield rows(unplanes(d, 8), unplanes(g, 5))
-                else:
+                if a:
                     got.setdefault(b, []).append((a, g, d))
+                    continue
+                held.append((unplanes(d, 8).astype(np.int64), unplanes(g, 5)))
+                n += len(held[-1][0])
+                if n >= most:
+                    yield packed(held)
+                    held, n = [], 0
         for b in sorted(got):
-            parts = got.pop(b)
-            a = np.concatenate([unplanes(x, 4) for x, _, _ in parts])
-            g = np.concatenate([unplanes(x, 5) for _, x, _ in parts])
-            d = np.concatenate([unplanes(x, 8) for _, _, x in parts]).astype(np.int64)
+            found = got.pop(b)
+            a = np.concatenate([unplanes(x, 4) for x, _, _ in found])
+            g = np.concatenate([unplanes(x, 5) for _, x, _ in found])
+            d = np.concatenate([unplanes(x, 8) for _, _, x in found]).astype(np.int64)
             order = np.lexsort((d, g, a))
             a, g, d = a[order], g[order], d[order]
             new_a = np.ones(len(a), bool)
@@ -343,86 +416,152 @@ def _resolve(dealt: DataFrame, log2: int, bits: int, crowd: int) -> DataFrame:
             new_g[1:] |= g[1:] != g[:-1]
             head_a, group_a, group_g = np.flatnonzero(new_a), np.cumsum(new_a) - 1, np.cumsum(new_g) - 1
             gone = d > d[np.flatnonzero(new_g)][group_g]
-            yield rows(d[gone], g[gone])
+            held.append((d[gone], g[gone]))
+            n += len(held[-1][0])
+            if n >= most:
+                yield packed(held)
+                held, n = [], 0
             kinds = np.add.reduceat(new_g.astype(np.int64), head_a)
             several = (kinds > 1) & (np.minimum.reduceat(d, head_a) < np.maximum.reduceat(d, head_a))
             note = new_g & several[group_a]
+            yield rows(d[note], _carrier(g[note], d[note]))
             many = head_a[several & (kinds > crowd)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_mark(bits, _carrier(g[note], d[note]))], pa.binary()), pa.array([_mark(bits // 16, _crowded(a[many])) if len(many) else b""], pa.binary())],
-                names=["bucket", "doc_id", "g", "noted", "crowded"],
-            )
+            if len(many):
+                yield rows(None, _crowded((_U(b) << _U(64 - log2)) | (a[many] << _U(32 - log2)), log2))
+        if n:
+            yield packed(held)
 
-    return dealt.repartition("bucket").mapInArrow(run, "bucket int, doc_id long, g long, noted binary, crowded binary")
+    return dealt.repartition("bucket").mapInArrow(run, "part int, docs binary, g binary, doc_id long, key long")
 
 
-def _noted_segments(docs: DataFrame, shared, log2: int, bits: int) -> DataFrame:
+def _noted_segments(docs: DataFrame, shared, log2: int) -> DataFrame:
     """Bytes of the noted segments by bucket, and windows of those with crowded anchors."""
-    names = ["bucket", "window", "doc_id", "start", "docs", "starts", "sizes", "bytes"]
+    names, most = ["bucket", "window", "doc_id", "start", "docs", "starts", "sizes", "bytes"], max(1 << 14, GATHERED_NOTED << log2)
+
+    def windows(data, starts, doc, row, s, e):
+        n = e - s - WINDOW + 1
+        at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        own = np.repeat(np.arange(len(s)), n)
+        h = span_hash(prefix(data), at, at + WINDOW)
+        z = len(at)
+        return pa.RecordBatch.from_arrays([pa.nulls(z, pa.int32()), pa.array(h.view(np.int64)), pa.array(doc[own]), pa.array(at - starts[row[own]]), *[pa.nulls(z, pa.binary())] * 4], names=names)
+
+    def packed(held):
+        bucket, doc, start, size = (np.concatenate(x) for x in list(zip(*held))[:4])
+        body = np.concatenate([x[4] for x in held])
+        order = np.argsort(bucket, kind="stable")
+        bucket, doc, start, size, at = bucket[order], doc[order], start[order], size[order], (np.cumsum(size) - size)[order]
+        body = body[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(body))]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << log2))
+        cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        cols = [[planes(x[a:b], w) for a, b in cuts] for x, w in ((doc, 8), (start, 5), (size, 2))]
+        cols.append([body[ends[a] : ends[b]].tobytes() for a, b in cuts])
+        null = pa.nulls(len(cuts), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in cuts], pa.int32()), null, null, null, *[pa.array(c, pa.binary()) for c in cols]], names=names)
 
     def run(batches):
         filt, many = shared.value
+        held, n = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, data, starts in chunks(batch.column(1)):
                 a, g, row, s, e = segments(data, starts)
-                doc, bucket = ids[first + row], (a >> _U(64 - log2)).astype(np.int64)
-                keep = np.flatnonzero(_noted(filt, bucket, _carrier(g, doc), bits))
-                if not len(keep):
-                    continue
-                short = (a[keep] >> _U(32 - log2)) & _U(0xFFFFFFFF)
-                hot = _noted(many, bucket[keep], _crowded(short), bits // 16)
-                far = keep[hot]
+                doc = ids[first + row]
+                keep = np.flatnonzero(_noted(filt, _carrier(g, doc)))
+                hot = _noted(many, _crowded(a[keep], log2))
+                far, keep = keep[hot], keep[~hot]
                 if len(far):
-                    n = e[far] - s[far] - WINDOW + 1
-                    at = np.repeat(s[far] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    own = np.repeat(far, n)
-                    h = span_hash(prefix(data), at, at + WINDOW)
-                    z = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(z, pa.int32()), pa.array(h.view(np.int64)), pa.array(doc[own]), pa.array(at - starts[row[own]]), *[pa.nulls(z, pa.binary())] * 4], names=names)
-                keep = keep[~hot]
-                keep = keep[np.argsort(bucket[keep], kind="stable")]
-                b = bucket[keep]
-                cuts = np.flatnonzero(np.diff(b)) + 1
-                out = []
-                for part in np.split(keep, cuts) if len(keep) else []:
-                    body = b"".join(data[x:y].tobytes() for x, y in zip(s[part].tolist(), e[part].tolist()))
-                    out.append((int(bucket[part[0]]), planes(doc[part], 8), planes(s[part] - starts[row[part]], 5), planes(e[part] - s[part], 2), body))
-                if out:
-                    cols = list(zip(*out))
-                    z = len(out)
-                    null = pa.nulls(z, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), null, null, null, *[pa.array(c, pa.binary()) for c in cols[1:]]], names=names)
+                    yield windows(data, starts, doc[far], row[far], s[far], e[far])
+                if len(keep):
+                    size = e[keep] - s[keep]
+                    at = np.repeat(s[keep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    held.append(((a[keep] >> _U(64 - log2)).astype(np.int64), doc[keep], s[keep] - starts[row[keep]], size, data[at]))
+                    n += len(keep)
+                if n >= most:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, window long, doc_id long, start long, docs binary, starts binary, sizes binary, bytes binary")
 
 
-def _ordered(noted: DataFrame) -> DataFrame:
-    """``doc_id, start, end``: ranges to remove, from the suffix order of each bucket."""
+def _ordered(noted: DataFrame, parts: int) -> DataFrame:
+    """``part, docs, starts, sizes``: ranges to remove, from the suffix order of each bucket."""
 
     def run(batches):
         got: dict[int, list] = {}
         for batch in batches:
             for b, *x in zip(*(c.to_pylist() for c in batch.columns)):
                 got.setdefault(b, []).append(x)
+        held, n = [], 0
         for b in sorted(got):
-            parts = got.pop(b)
-            doc = np.concatenate([unplanes(x[0], 8) for x in parts]).astype(np.int64)
-            at = np.concatenate([unplanes(x[1], 5) for x in parts]).astype(np.int64)
-            size = np.concatenate([unplanes(x[2], 2) for x in parts]).astype(np.int64)
-            text = np.frombuffer(b"".join(x[3] for x in parts), np.uint8)
+            found = got.pop(b)
+            doc = np.concatenate([unplanes(x[0], 8) for x in found]).astype(np.int64)
+            at = np.concatenate([unplanes(x[1], 5) for x in found]).astype(np.int64)
+            size = np.concatenate([unplanes(x[2], 2) for x in found]).astype(np.int64)
+            text = np.frombuffer(b"".join(x[3] for x in found), np.uint8)
             own, s, e = _bucket_repeats(text, np.concatenate(([0], np.cumsum(size))), doc)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(at[own] + s), pa.array(at[own] + e)], names=["doc_id", "start", "end"])
+            held.append((doc[own], at[own] + s, e - s))
+            n += len(own)
+            if n >= GATHERED << parts:
+                yield _ranges_of(parts, held)
+                held, n = [], 0
+        if n:
+            yield _ranges_of(parts, held)
 
     packed = noted.where("bucket is not null").select("bucket", "docs", "starts", "sizes", "bytes")
-    return packed.repartition("bucket").mapInArrow(run, "doc_id long, start long, end long")
+    return packed.repartition("bucket").mapInArrow(run, "part int, docs binary, starts binary, sizes binary")
+
+
+def _ranges_of(parts: int, held: list[tuple]) -> pa.RecordBatch:
+    doc, start, size = map(np.concatenate, zip(*held))
+    return _packed(parts, doc, starts=start, sizes=size)
 
 
-def _cut(docs: DataFrame, answers: DataFrame, keep_text: bool) -> DataFrame:
-    """Unite what is to be removed from each text and remove it."""
-    per_doc = answers.groupBy("doc_id").agg(F.collect_list("g").alias("__g"), F.collect_list(F.struct("start", "end")).alias("__r"))
-    per_doc = per_doc.select("doc_id", "__g", F.filter("__r", lambda x: x["start"].isNotNull()).alias("__r")).hint("merge")
-    joined = docs.join(per_doc, "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__g", F.col("__r.start").alias("__rs"), F.col("__r.end").alias("__re"))
+def _windows_packed(late: DataFrame, parts: int) -> DataFrame:
+    """As ``_ordered`` has them: ranges of the windows ``doc_id, start``."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            doc, s, e = _ranges(*(c.to_numpy() for c in batch.columns), WINDOW)
+            held.append((doc, s, e - s))
+            n += len(doc)
+            if n >= GATHERED << parts:
+                yield _ranges_of(parts, held)
+                held, n = [], 0
+        if n:
+            yield _ranges_of(parts, held)
+
+    return late.mapInArrow(run, "part int, docs binary, starts binary, sizes binary")
+
+
+class _Answers:
+    """What is to be removed from the documents of one part."""
+
+    def __init__(self, rows: list[list]):
+        gone = [(unsteps(d, 8), unplanes(g, 5)) for d, g, _, _ in rows if g is not None]
+        cut = [(unsteps(d, 8), unplanes(s, 5), unplanes(n, 5)) for d, g, s, n in rows if g is None]
+        none = np.zeros(0, np.uint64)
+        self.gone, self.cut = (self._ordered(x or [(none, none, none)]) for x in (gone, cut))
+
+    @staticmethod
+    def _ordered(rows: list[tuple]) -> list[np.ndarray]:
+        doc, *cols = (np.concatenate(x).astype(np.int64) for x in zip(*rows))
+        order = np.argsort(doc, kind="stable")
+        return [doc[order], *[c[order] for c in cols]]
+
+    @staticmethod
+    def of(held: list[np.ndarray], ids: np.ndarray, valid: np.ndarray):
+        """The columns' runs of each document."""
+        a, b = np.searchsorted(held[0], ids, "left"), np.searchsorted(held[0], ids, "right")
+        return [[x[p:q] for x in held[1:]] if ok else None for p, q, ok in zip(a.tolist(), b.tolist(), (valid & (b > a)).tolist())]
+
+
+def _cut(docs: DataFrame, answers: DataFrame, parts: int, keep_text: bool) -> DataFrame:
+    """Unite what is to be removed from each text and remove it: the packed ``answers`` of a part go before its documents."""
     kept = list(docs.columns)
     added = "text string" if keep_text else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = docs.select(*[c for c in kept if c != "text"]).schema
@@ -430,49 +569,71 @@ def _cut(docs: DataFrame, answers: DataFrame, keep_text: bool) -> DataFrame:
         schema = schema.add(*part.split(" "))
     i_text = kept.index("text")
     others = [i for i in range(len(kept)) if i != i_text]
+    docs = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    docs = docs.withColumn("__part", F.coalesce(_part_of("__id", parts), F.pmod(F.xxhash64("text"), F.lit(1 << parts)).cast("int"))).withColumn("__first", F.lit(False))
+    answers = answers.select(F.col("part").alias("__part"), F.lit(True).alias("__first"), *[F.col(c).alias(f"__{c}") for c in ("docs", "g", "starts", "sizes")])
+    met = docs.unionByName(answers, allowMissingColumns=True).repartition("__part").sortWithinPartitions("__part", F.desc("__first"))
+    packed = ["__docs", "__g", "__starts", "__sizes"]
+
+    def cut(batch, known):
+        """The rows of documents in a batch of one part."""
+        valid = batch["__id"].is_valid().to_numpy(zero_copy_only=False)
+        ids = batch["__id"].fill_null(0).to_numpy()
+        present = batch.column(i_text).is_valid().to_pylist()
+        for first, data, starts in chunks(batch.column(i_text)):
+            n = len(starts) - 1
+            own = slice(first, first + n)
+            change = np.zeros(len(data) + 1, np.int64)
+            want = known.of(known.gone, ids[own], valid[own])
+            if any(x is not None for x in want):
+                _, g, row, s, e = segments(data, starts)
+                g = (g & _U((1 << 40) - 1)).astype(np.int64)
+                edge = np.searchsorted(row, np.arange(n + 1))
+                for r, x in enumerate(want):
+                    if x is not None:
+                        part = slice(edge[r], edge[r + 1])
+                        hit = np.isin(g[part], x[0])
+                        np.add.at(change, s[part][hit], 1)
+                        np.add.at(change, e[part][hit], -1)
+            for r, x in enumerate(known.of(known.cut, ids[own], valid[own])):
+                if x is not None:
+                    np.add.at(change, x[0] + starts[r], 1)
+                    np.add.at(change, x[0] + x[1] + starts[r], -1)
+            gone = np.cumsum(change[:-1]) > 0
+            begin = gone.copy()
+            begin[1:] &= ~gone[:-1]
+            begin[starts[:-1][np.diff(starts) > 0]] |= gone[starts[:-1][np.diff(starts) > 0]]
+            total = np.concatenate(([0], np.cumsum(gone)))
+            spans = np.concatenate(([0], np.cumsum(begin)))
+            edge = starts.tolist()
+            out, left = [], data[~gone].tobytes()
+            left_at = (starts - total[starts]).tolist()
+            for r in range(n):
+                out.append(left[left_at[r] : left_at[r + 1]])
+            base = [batch.column(i).slice(first, n) for i in others]
+            if keep_text:
+                more = [pa.array([t.decode("utf-8", "ignore") if present[first + r] else None for r, t in enumerate(out)], pa.string())]
+            else:
+                more = [pa.array(np.diff(starts)), pa.array(total[starts[1:]] - total[starts[:-1]]), pa.array(spans[starts[1:]] - spans[starts[:-1]]), pa.array([hashlib.sha256(t).hexdigest() for t in out])]
+            yield pa.RecordBatch.from_arrays([*base, *more], names=schema.names)
 
     def run(batches):
+        now, rows, known = None, [], None
         for batch in batches:
-            gs, rs, re_ = (batch.column(len(kept) + k) for k in range(3))
-            known = batch.column(i_text).is_valid().to_pylist()
-            for first, data, starts in chunks(batch.column(i_text)):
-                n = len(starts) - 1
-                change = np.zeros(len(data) + 1, np.int64)
-                want = [np.array(gs[first + r].as_py() or [], np.int64) for r in range(n)]
-                if any(len(x) for x in want):
-                    _, g, row, s, e = segments(data, starts)
-                    g = (g & _U((1 << 40) - 1)).astype(np.int64)
-                    edge = np.searchsorted(row, np.arange(n + 1))
-                    for r in range(n):
-                        if len(want[r]):
-                            part = slice(edge[r], edge[r + 1])
-                            hit = np.isin(g[part], want[r])
-                            np.add.at(change, s[part][hit], 1)
-                            np.add.at(change, e[part][hit], -1)
-                for r in range(n):
-                    a, b = rs[first + r].as_py(), re_[first + r].as_py()
-                    if a:
-                        np.add.at(change, np.array(a) + starts[r], 1)
-                        np.add.at(change, np.array(b) + starts[r], -1)
-                gone = np.cumsum(change[:-1]) > 0
-                begin = gone.copy()
-                begin[1:] &= ~gone[:-1]
-                begin[starts[:-1][np.diff(starts) > 0]] |= gone[starts[:-1][np.diff(starts) > 0]]
-                total = np.concatenate(([0], np.cumsum(gone)))
-                spans = np.concatenate(([0], np.cumsum(begin)))
-                edge = starts.tolist()
-                out, left = [], data[~gone].tobytes()
-                left_at = (starts - total[starts]).tolist()
-                for r in range(n):
-                    out.append(left[left_at[r] : left_at[r + 1]])
-                base = [batch.column(i).slice(first, n) for i in others]
-                if keep_text:
-                    more = [pa.array([t.decode("utf-8", "ignore") if known[first + r] else None for r, t in enumerate(out)], pa.string())]
-                else:
-                    more = [pa.array(np.diff(starts)), pa.array(total[starts[1:]] - total[starts[:-1]]), pa.array(spans[starts[1:]] - spans[starts[:-1]]), pa.array([hashlib.sha256(t).hexdigest() for t in out])]
-                yield pa.RecordBatch.from_arrays([*base, *more], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+            part, first = batch["__part"].to_numpy(), batch["__first"].to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate(([True], (np.diff(part) != 0) | (first[1:] != first[:-1]), [True])))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if part[a] != now:
+                    now, rows, known = part[a], [], None
+                some = batch.slice(a, b - a)
+                if first[a]:
+                    rows += zip(*(some[c].to_pylist() for c in packed))
+                    continue
+                if known is None:
+                    known, rows = _Answers(rows), []
+                yield from cut(some, known)
+
+    return met.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False, noted_log2: int = NOTED_LOG2, crowd: int = CROWD) -> DataFrame:
@@ -488,20 +649,31 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, noted_log2: int = N
     spark = docs.sparkSession
     docs = docs if keep_text else docs.select("doc_id", "text")
     log2 = _log2_buckets(spark)
-    bits = 1 << (noted_log2 - log2)
+    parts = log2 - 1
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    answers = stash(_resolve(_deal(named, log2), log2, bits, crowd))
-    noted, crowded = np.zeros((1 << noted_log2) // 8, np.uint8), np.zeros((1 << noted_log2) // 128, np.uint8)
-    for r in answers.where("bucket is not null").select("bucket", "noted", "crowded").toLocalIterator():  # 2**noted_log2 bits in all
-        noted[r.bucket * (bits // 8) : (r.bucket + 1) * (bits // 8)] = np.frombuffer(r.noted, np.uint8)
-        if r.crowded:
-            crowded[r.bucket * (bits // 128) : (r.bucket + 1) * (bits // 128)] = np.frombuffer(r.crowded, np.uint8)
-    shared = spark.sparkContext.broadcast((noted, crowded))
-    segs = stash(_noted_segments(named, shared, log2, bits))
-    ranges = _ordered(segs)
+    answers = stash(_resolve(_deal(named, log2), log2, parts, crowd))
+    notes = answers.where("doc_id is not null").select("doc_id", "key")
+    many = _filter(answers.where("doc_id is null and key is not null"), max(noted_log2 - 4, PIECES_LOG2 + 3))
+    segs = None
+    for some in _passes(notes, 1 << noted_log2):
+        shared = spark.sparkContext.broadcast((_filter(notes.where(some), noted_log2), many))
+        found = stash(_noted_segments(named.where(some), shared, log2))
+        shared.destroy()
+        segs = segs.unionAll(found) if segs else found
     windows = segs.where("window is not null").select("window", "doc_id", "start")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    late = windows.join(least, "window").where("doc_id > first").select("doc_id", "start", (F.col("start") + WINDOW).alias("end"))
-    found = answers.where("doc_id is not null").select("doc_id", "g", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
-    more = ranges.unionAll(late).select("doc_id", F.lit(None).cast("long").alias("g"), "start", "end")
-    return _cut(docs, found.unionAll(more), keep_text)
+    late = windows.join(least, "window").where("doc_id > first").select("doc_id", "start")
+    ranges = _ordered(segs, parts).unionAll(_windows_packed(late, parts))
+    gone = answers.where("part is not null").select("part", "docs", "g")
+    return _cut(docs, gone.unionByName(ranges, allowMissingColumns=True), parts, keep_text)
+
+
+def _passes(notes: DataFrame, bits: int) -> list[Column]:
+    """Conditions on ``doc_id`` that each hold for about as many ``notes`` as a filter of so many bits has room for, and for each document one of them."""
+    n = -(-notes.count() * BITS_EACH // bits)
+    if n < 2:
+        return [F.lit(True)]
+    at = {min(int(x), (1 << 63) - 1) for x in notes.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)}
+    edge = [None, *sorted(at), None]
+    doc = F.col("doc_id")
+    return [(F.lit(True) if a is None else doc >= a) & (F.lit(True) if b is None else doc < b) for a, b in zip(edge, edge[1:])]

@@ -10,6 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark drops the shuffle files of a query at its end, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the calls that are running, the innermost last.
 _calls: ContextVar[tuple[str, ...]] = ContextVar("calls", default=())
 
@@ -33,12 +35,19 @@ def stash(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and return it re-read.
 
     This cuts lineage: later steps read files that every executor sees, so a
-    lost executor costs a re-read and never a recomputation of the chain.
+    lost executor costs a re-read and never a recomputation of the chain, and
+    what was moved to make the table goes from the disks as soon as it is there.
     Inside ``call`` the files go to the call's folder, with ``outer`` to that
     of the call around it.
     """
     path = folder(df.sparkSession, outer)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    was = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

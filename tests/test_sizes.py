@@ -219,3 +219,31 @@ def test_filter_columns_share_one_field_map(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
     assert sorted(map(tuple, got.collect()))[0][1:] == ("a", "T\nRegion: EU\nStatus: Open", "eu", "open") and got.columns == ["pos", "id", "text", "by_Region", "by_Status"]
     assert index.completed(e, ["text", "by_Region", "fields"]).where("fields['Status'] = 'Open' and by_Region = 'eu'").count() == 1
+
+
+def test_noted_segments_are_found_by_filters_that_have_room(spark, monkeypatch):
+    """What is moved does not grow when a filter is full: there are as many as are needed; answers go back packed."""
+    import random
+
+    from factgrid.llm import suffix
+
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrases = [some(24) for _ in range(150)]
+    texts = ["".join(x for p in rng.sample(phrases, 12) for x in (some(200), p)) for _ in range(160)]
+    texts += [texts[n][100:900] + some(50) for n in range(40)] + [texts[7]] * 3
+    d = spark.createDataFrame([*enumerate(texts, -50)], "doc_id long, text string").repartition(3)
+    written, plain = [], suffix.stash
+    monkeypatch.setattr(suffix, "stash", lambda df: (written.append(plain(df)), written[-1])[1])
+
+    def run(log2):
+        written.clear()
+        got = sorted(map(tuple, suffix.remove_repeats(d, noted_log2=log2).collect()))
+        return got, sum(t.agg(F.sum(F.length("bytes"))).first()[0] or 0 for t in written if "bytes" in t.columns), len(written)
+
+    want, moved, _ = run(22)
+    again, small, tables = run(13)
+    assert again == want and sum(r[2] for r in want) > 30_000 and tables >= 3
+    assert moved <= small < 1.3 * moved < 0.7 * sum(map(len, texts))
+    gone = written[0].where("g is not null")
+    assert gone.count() < 300 < gone.agg(F.sum(F.length("g") / 5)).first()[0]  # many to a row
