@@ -41,6 +41,12 @@ def stash(df: DataFrame, outer: bool = False) -> DataFrame:
     of the call around it.
     """
     path = folder(df.sparkSession, outer)
+    put(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put(df: DataFrame, path: str) -> None:
+    """Write ``df`` to a new folder, and drop what was moved for it."""
     conf = df.sparkSession.conf
     was = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
@@ -48,7 +54,6 @@ def stash(df: DataFrame, outer: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEANUP, was)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def folder(spark: SparkSession, outer: bool = False) -> str:

@@ -247,3 +247,45 @@ def test_noted_segments_are_found_by_filters_that_have_room(spark, monkeypatch):
     assert moved <= small < 1.3 * moved < 0.7 * sum(map(len, texts))
     gone = written[0].where("g is not null")
     assert gone.count() < 300 < gone.agg(F.sum(F.length("g") / 5)).first()[0]  # many to a row
+
+
+def test_queries_beyond_what_is_broadcast_take_rounds(spark, monkeypatch):
+    """Vectors of entries are written once and neither moved nor repeated for each tile of queries; the rows are as all distances give them."""
+    import numpy as np
+
+    for name, value in (("QUERY_TILE", 16), ("ENTRY_TILE", 64), ("SCAN_BYTES", 2 * 16 * 1350)):
+        monkeypatch.setattr(search, name, value)
+    plans, plain = [], getattr(search, "put", None)
+    monkeypatch.setattr(search, "put", lambda df, path: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, path))[1], raising=False)
+    texts = [f"old{n % 4} ring brand {n % 5} kind{n % 3} {n // 7}" for n in range(420)]
+    e = spark.createDataFrame([(n, f"e{n}", t) for n, t in enumerate(texts)], "pos long, id string, text string")
+    found = search.nearest_texts(e, e.where("pos % 3 = 0").select(F.col("pos").alias("query_id"), "text"))
+    bits = [np.frombuffer(v, np.uint8) for v in search.bundles(texts)]
+    want = []
+    for q in range(0, 420, 3):
+        d = sorted((int(np.bitwise_count(bits[q] ^ v).sum()), n) for n, v in enumerate(bits))
+        want += [(q, r, f"e{n}", n, x, 1 - x / 10_000) for r, (x, n) in enumerate(d[:5], 1)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert len(plans) >= 4 and not any(x in p for p in plans for x in ("Join", "Generate"))
+
+
+def test_runs_of_entries_that_are_alike_are_passed_over():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    near = lambda v: np.packbits(np.unpackbits(np.frombuffer(v, np.uint8)) ^ (rng.random(10_000) < 0.09)).tobytes()
+    first = [rng.bytes(1250) for _ in range(30)]
+    hv, qs = [near(v) for v in first for _ in range(50)], [near(v) for v in first]
+    all_d = np.array([[(int.from_bytes(q) ^ int.from_bytes(v)).bit_count() for v in hv] for q in qs])
+    bounds = np.sort(all_d, axis=1)[:, 4].tolist()
+    pos = rng.permutation(len(hv))
+    tile = search._Tile(pa.table({"pos": pos, "id": [str(p) for p in pos], "hv": pa.array(hv, pa.binary())}), 40)
+    wide = search._wide(b"".join(qs), len(qs))
+    best = search._Best([*range(len(qs))], wide, bounds, 5)
+    best.meet(tile)
+    want = [(q, p, str(p), d) for q in range(len(qs)) for d, p in sorted(zip(all_d[q].tolist(), pos.tolist()))[:5]]
+    assert sorted((q, p, n, d) for q, n, p, d in best.rows()) == sorted((q, p, n, d) for q, p, n, d in want)
+    kept = [tile.beside(v, b) for v, b in zip(wide, bounds)]
+    assert sum(len(hv) if x is None else len(x) for x in kept) < 0.2 * len(qs) * len(hv)
+    assert search._Tile(pa.table({"pos": [1, 2], "id": ["a", "b"], "hv": pa.array([bytes(1250), b"\xff" * 1250])}), 40).heads is None
